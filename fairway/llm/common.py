@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +60,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = batch.schema.get_field_index(column)
-        ends = np.cumsum([len(x) for x in rows_as_bytes(batch.column(at))])
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.llm import exact_dedup, simhash
+from fairway.llm import bpe_codec, exact_dedup, packing, simhash, token_counts
+from fairway.llm.bpe import VOCABULARY
 from fairway.llm.common import table
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY, limit=2048)
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 4-word shingles of every document, linked at 4 or fewer differing bits."""
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, bits=4)
@@ -20,9 +31,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end=0)
+
+
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
+    "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
