@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.llm import bpe_codec, exact_dedup, packing, simhash, token_counts
+from fairway.llm import bpe_codec, exact_dedup, media, packing, simhash, token_counts, warc
 from fairway.llm.bpe import VOCABULARY
-from fairway.llm.common import table
+from fairway.llm.common import materialise, table
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as PNG, read back and hashed."""
+    return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +36,24 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    archives = materialise(warc.write_archives(table(spark, sf_dir, "pages")), "warc")
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end=0)
 
 
 QUERIES = {
+    "op2_media": op2_media,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
