@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.llm import bpe_codec, exact_dedup, media, packing, simhash, token_counts, warc
+from fairway.llm import bpe_codec, exact_dedup, importance, media, packing, simhash, token_counts, url_filter, warc
 from fairway.llm.bpe import VOCABULARY
 from fairway.llm.common import materialise, table
 
 
+#: Rules (action, host/path), and the hosts whose URLs label the training sample as bad.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+BAD_HOSTS = ["ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under the rules and the trees."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.train(url_filter.seeded_labels(pages, BAD_HOSTS)), URL_RULES)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as PNG, read back and hashed."""
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log importance weight of every document, and whether the sample keeps it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(docs, table(spark, sf_dir, "labels")).judged(docs)
+    return out.select("doc_id", F.col("__weight").alias("log_weight"), F.col("__kept").alias("kept"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY, limit=2048)
@@ -48,7 +66,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_media": op2_media,
+    "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash": op6_simhash,
