@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.llm import bpe_codec, exact_dedup, importance, media, packing, simhash, token_counts, url_filter, warc
+from fairway.llm import bpe_codec, exact_dedup, importance, license_scan, media, packing, simhash, token_counts, url_filter, warc
 from fairway.llm.bpe import VOCABULARY
 from fairway.llm.common import materialise, table
 
@@ -49,6 +49,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and texts in every document."""
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group, keeper and digest of every document's text."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash": op6_simhash,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import group_bounds, materialise, rows_as_bytes, small, sorted_groups
+from fairway.llm.common import by_bytes, group_bounds, materialise, rows_as_bytes, small, sorted_groups
+from fairway.llm.textstream import mix, shingles, tokens
 
 #: Members of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
 CHUNK = 4096
@@ -84,24 +85,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _links(bits: int):
-    """Within each bucket (sorted by g): a spanning forest of the fingerprints at `bits` or fewer differing bits."""
+def _links(bits: int, wide_bits: int | None):
+    """Within each bucket (sorted by g): a spanning forest of the nodes whose fingerprints differ in `bits` bits at most, and their wide ones in `wide_bits`."""
 
-    def forest(fp: np.ndarray, node: np.ndarray) -> tuple[list[int], list[int]]:
-        left, src, dst = np.arange(len(fp)), [], []
-        close: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
+    def pairs(fp: np.ndarray, wide: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, (1 << 20) // len(fp))
+        for s in range(0, len(fp), step):
+            a, b = np.nonzero(np.bitwise_count(fp[s : s + step, None] ^ fp[None, :]) <= bits)
+            a += s
+            keep = a < b
+            a, b = a[keep], b[keep]
+            if wide is not None and len(a):
+                near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int32) <= wide_bits
+                a, b = a[near], b[near]
+            yield a, b
+
+    def forest(fp: np.ndarray, wide: np.ndarray | None, node: np.ndarray) -> tuple[list[int], list[int]]:
+        src, dst, total, found = [], [], 0, []
         if len(fp) <= 2 * CHUNK:
-            step = max(1, (1 << 20) // len(fp))
-            for s in range(0, len(fp), step):
-                a, b = np.nonzero(np.bitwise_count(fp[s : s + step, None] ^ fp[None, :]) <= bits)
-                a += s
-                keep = a < b
-                close.append((a[keep], b[keep]))
-                total += int(keep.sum())
+            for a, b in pairs(fp, wide):
+                found.append((a, b))
+                total += len(a)
                 if total > 50_000:
                     break
-            if total <= 50_000:
+            else:
                 root = list(range(len(fp)))
 
                 def find(x: int) -> int:
@@ -110,7 +117,7 @@ def _links(bits: int):
                         x = root[x]
                     return x
 
-                for a, b in close:
+                for a, b in found:
                     for x, y in zip(a.tolist(), b.tolist()):
                         x, y = find(x), find(y)
                         if x != y:
@@ -120,12 +127,16 @@ def _links(bits: int):
                         src.append(int(node[x]))
                         dst.append(int(node[r]))
                 return src, dst
+        left = np.arange(len(fp))
         while len(left):  # a dense bucket: breadth first, comparing with what is not reached yet
             front, left = [left[0]], left[1:]
             first = front[0]
             while front and len(left):
                 x = front.pop()
                 near = np.bitwise_count(fp[left] ^ fp[x]) <= bits
+                if wide is not None and near.any():
+                    at = np.flatnonzero(near)
+                    near[at] = np.bitwise_count(wide[left[at]] ^ wide[x]).sum(1, dtype=np.int32) <= wide_bits
                 got = left[near]
                 left = left[~near]
                 front.extend(got.tolist())
@@ -137,11 +148,12 @@ def _links(bits: int):
         for t in sorted_groups(batches, "g"):
             g, fp, node = (t.column(c).to_numpy() for c in ("g", "fp", "node"))
             fp = fp.view(np.uint64)
+            wide = None if wide_bits is None else np.frombuffer(b"".join(t.column("wide").to_pylist()), "<u8").reshape(len(fp), -1)
             edges = group_bounds(g)
             src, dst = [], []
-            for a, b in zip(edges[:-1], edges[1:]):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if b - a > 1:
-                    s, d = forest(fp[a:b], node[a:b])
+                    s, d = forest(fp[a:b], None if wide is None else wide[a:b], node[a:b])
                     src += s
                     dst += d
             if src:
@@ -150,24 +162,25 @@ def _links(bits: int):
     return run
 
 
-def close_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """Links (u, v) between nodes of `distinct` (node, fp; fp distinct) that connect all at `bits` or fewer differing bits.
+def close_links(distinct: DataFrame, bits: int, wide_bits: int | None = None) -> DataFrame:
+    """Links (u, v) between nodes of `distinct` (node, fp, and wide where wide_bits is given) that connect all at `bits` or fewer differing bits.
 
     Only a spanning forest of each bucket is returned, never all its pairs. A bucket of more than CHUNK members is dealt
     out as pairs of chunks over many tasks.
     """
     n = distinct.count()
     masks = block_masks(blocks_for(n, bits), bits)
-    keyed = distinct.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("mask", "key"))
+    carried = ["fp", "node"] + ["wide"] * (wide_bits is not None)
+    keyed = distinct.select(*carried, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("mask", "key"))
     keyed = keyed.withColumn("g", F.xxhash64("mask", "key"))
     large = materialise(keyed.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK), "simhash-large")
     if large.limit(1).count():
         chunks = F.ceil(F.coalesce("m", F.lit(1)) / F.lit(CHUNK)).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
+        mine = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
         keyed = keyed.join(small(large), "g", "left").withColumn("c", chunks).withColumn("i", mine)
         keyed = keyed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         keyed = keyed.withColumn("g", F.when(F.col("c") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j"))))
-    return keyed.select("g", "fp", "node").repartition("g").sortWithinPartitions("g").mapInArrow(_links(bits), "u long, v long")
+    return keyed.select("g", *carried).repartition("g").sortWithinPartitions("g").mapInArrow(_links(bits, wide_bits), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -209,5 +222,66 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return fps.join(lookup, "fp").select("id", "fp", "component")
 
 
+#: near_duplicates(): lanes of 64 bits of the wide fingerprint, bits in which the narrow one may differ, and the seeds' spread.
+LANES, WORD_BITS = 8, 8
+
+
+def expected_bits(similarity: float, size: int, spread: float = 1.65) -> int:
+    """Differing bits of `size`-bit SimHashes of sets with this Jaccard similarity, plus `spread` standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(size * p + spread * np.sqrt(size * p * (1 - p)))
+
+
+def _wide(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 2 << 20):
+            t = tokens(batch.column(1), lower=True, punctuation=False)
+            n = np.bincount(t.owner, minlength=t.rows)
+            # distinct words of each text: of few but frequent words the rest still counts
+            first = np.sort(np.unique(mix(t.hashes + t.owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1])
+            narrow = majority(t.hashes[first], np.searchsorted(t.owner[first], np.arange(t.rows + 1)))
+            h, at = shingles(t, words)
+            owner = t.owner[at]
+            short = np.flatnonzero((n > 0) & (n < words))
+            if len(short):  # the whole sequence is the one shingle
+                own = np.searchsorted(t.owner, short)
+                whole = np.array([np.bitwise_xor.reduce(mix(t.hashes[a : a + n[r]] + np.arange(n[r], dtype=np.uint64))) for a, r in zip(own, short)], np.uint64)
+                owner, h = np.r_[owner, short], np.r_[h, whole]
+                order = np.argsort(owner, kind="stable")
+                owner, h = owner[order], h[order]
+            bounds = np.searchsorted(owner, np.arange(t.rows + 1))
+            lanes = np.stack([majority(mix(h + np.uint64(i + 1)), bounds) for i in range(LANES)], axis=1)
+            rows = np.ascontiguousarray(lanes, "<u8").tobytes()
+            wide = [rows[8 * LANES * i : 8 * LANES * (i + 1)] for i in range(t.rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(narrow.view(np.int64)), pa.array(wide, pa.binary())], names=["id", "fp", "wide"])
+
+    return run
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) per row; rows are linked whose `words`-word shingles have about this Jaccard similarity or more.
+
+    Texts this similar share nearly all words, so a 64-bit SimHash of the distinct words differs in few bits and finds
+    the pairs by pigeonhole blocks; a SimHash of LANES * 64 bits over the shingles verifies them: at most as many bits
+    may differ as at that similarity, plus 1.65 standard deviations. Words are runs of letters and digits, A-Z lower-
+    cased; texts without any are alike. Null texts count as empty; rows without an id are never linked (component null).
+    """
+    fps = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_wide(words), "id long, fp long, wide binary"), "near-fingerprints")
+    distinct = materialise(fps.where("id is not null").groupBy("fp", "wide").agg(F.min("id").alias("node")), "near-distinct")
+    roots = components(close_links(distinct, WORD_BITS, expected_bits(similarity, 64 * LANES)))
+    lookup = distinct.join(roots, "node", "left").select("fp", "wide", F.coalesce("root", "node").alias("component"))
+    return fps.join(lookup, ["fp", "wide"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `df` that stay, with all their columns: of each group of near duplicates the one with the smallest id.
+
+    Rows without an id stay; rows that repeat the id of one that stays, stay with it.
+    """
+    found = near_duplicates(df, id_col, text_col, words, similarity)
+    gone = materialise(found.where("component is not null and id <> component").select(F.col("id").alias("__gone")).distinct(), "near-gone")
+    return df.join(small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def hex16(fp) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
