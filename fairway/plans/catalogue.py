@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairway.functions import scalars as X
+from fairway.operators import changes, codes, governance, match, parsing, relational as R, routes, stats
+from fairway.sources import adapters as A
 from fairway.sources.tables import table
 
+DAY = datetime.date(1998, 6, 15)
+DATES = {"stat_date", "day"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query under `name`, with its SQL where there is one."""
+def query(name: str, sql: str | None = None, plain: str = ""):
+    """Registers a query under `name`, with its SQL where there is one.
+
+    plain: columns that leave as JSON would have them: dates as ISO text, decimals as numbers.
+    """
+    columns = plain.split()
 
     def put(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("string" if c in DATES else "double") for c in columns})
+
+        QUERIES[name] = run
         if sql:
-            ORACLE_SQL[name] = sql
+            kinds = ", ".join(f"CAST({c} AS {'VARCHAR' if c in DATES else 'DOUBLE'}) AS {c}" for c in columns)
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({kinds}) FROM ({sql})" if columns else sql
         return f
 
     return put
@@ -29,8 +45,7 @@ def query(name: str, sql: str | None = None):
     "q01_heatmap_daily",
     """SELECT CAST(l_shipdate AS DATE) AS stat_date, l_suppkey AS node_id, 'CARGO_ORIGIN' AS stat_type,
               count(*) AS cargo_count, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(16,2)) AS total_tonnage
-       FROM lineitem GROUP BY 1, 2""",
-)
+       FROM lineitem GROUP BY 1, 2""", plain="stat_date total_tonnage")
 def heatmap_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cargo count and tonnage by origin node and loading day."""
     return (
@@ -39,3 +54,465 @@ def heatmap_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("cargo_count"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(16,2)").alias("total_tonnage"))
         .withColumn("stat_type", F.lit("CARGO_ORIGIN"))
     )
+
+
+@query("q02_equal_filters", """SELECT o_orderkey AS id, o_custkey AS customer_id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'""")
+def equal_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional equalities; those that are None drop out."""
+    o = A.orders(spark, sf_dir)
+    return o.where(R.equal_filters(status="F", input_type="2-HIGH", customer_id=None)).select("id", "customer_id", "status")
+
+
+@query("q03_falsy_filters", """SELECT s_suppkey AS id, s_name AS name FROM supplier""")
+def falsy_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter value of 0 is no filter in this mode, though key 0 exists."""
+    return A.nodes(spark, sf_dir).where(R.equal_filters("falsy", id=0)).select("id", "name")
+
+
+@query("q03b_key_zero", """SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey = 0""")
+def key_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same value filters in the other mode."""
+    return A.nodes(spark, sf_dir).where(R.equal_filters("none", id=0)).select("id", "name")
+
+
+@query("q04_keyword_or", """SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part WHERE p_name ILIKE '%RED%' OR p_brand ILIKE '%RED%'""")
+def keyword_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    return p.where(R.keyword(["name", "brand"], "RED"))
+
+
+@query("q05_keyword_wildcard", """SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name ILIKE '%r_d%g%'""")
+def keyword_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wildcards in the keyword stay live."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return p.where(R.keyword(["name"], "r_d%g"))
+
+
+@query("q06_date_range", """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'""", plain="day")
+def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the bounds are on the stored column, so that they reach the scan; midnight closes the last day
+    o = A.orders(spark, sf_dir)
+    end = datetime.datetime(1998, 1, 31, 23, 59, 59, 999999)
+    return o.where(F.col("created_at").between(F.lit(datetime.datetime(1998, 1, 1)).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))).select("id", F.to_date("created_at").alias("day"))
+
+
+@query("q07_parent", """WITH t AS (SELECT r_regionkey AS code, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM nation)
+SELECT 'top' AS branch, CAST(code AS BIGINT) AS code, name FROM t WHERE parent IS NULL UNION ALL SELECT 'child', code, name FROM t WHERE parent = 2""")
+def parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null parent is the top level; another value selects its children."""
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("code"), F.lit(None).cast("int").alias("parent"), F.col("r_name").alias("name"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("code"), F.col("n_regionkey").alias("parent"), F.col("n_name").alias("name"))
+    t = r.unionByName(n)
+    top = t.where(R.parent_is("parent", None)).select(F.lit("top").alias("branch"), "code", "name")
+    return top.unionByName(t.where(R.parent_is("parent", 2)).select(F.lit("child").alias("branch"), "code", "name"))
+
+
+@query("q07b_unknown_parent", """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, n_regionkey AS region FROM nation""")
+def unknown_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown parent code drops the filter."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    parents = table(spark, sf_dir, "region").select(F.col("r_name").alias("code"))
+    return R.under_parent_code(n, parents, "NOWHERE", "region")
+
+
+@query("q08_page_newest", """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20""", plain="day")
+def page_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.page(A.orders(spark, sf_dir), [F.desc("created_at"), F.desc("id")], 2, 20).select("id", F.to_date("created_at").alias("day"))
+
+
+@query("q09_page_total", """SELECT o_orderkey AS id, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS total FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10""")
+def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = A.orders(spark, sf_dir).where(R.equal_filters(status="O"))
+    return R.page_with_total(o, [F.desc("created_at"), F.desc("id")], 1, 10).select("id", "total")
+
+
+@query("q10_page_sort_order", """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, n_regionkey AS sort_order FROM nation ORDER BY n_regionkey, n_nationkey LIMIT 10 OFFSET 5""")
+def page_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("sort_order"))
+    return n.orderBy("sort_order", "id").offset(5).limit(10)
+
+
+@query("q11_status_counts", """SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1""")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.orders(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("q12_conditional_counts", """SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS open_count, count(*) FILTER (o_orderstatus = 'F') AS final_count FROM orders""")
+def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = lambda s: F.count(F.when(F.col("status") == s, 1))
+    return A.orders(spark, sf_dir).agg(F.count("*").alias("total"), hit("O").alias("open_count"), hit("F").alias("final_count"))
+
+
+_AUDIT = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'NODE' WHEN 1 THEN 'VESSEL' WHEN 2 THEN 'VESSEL_TYPE' WHEN 3 THEN 'COMMODITY' ELSE 'ROUTE' END AS target_type,
+ user_id AS submitter_id, CASE WHEN event_type IN ('view', 'click') THEN 'PENDING' WHEN event_type = 'error' THEN 'REJECTED' ELSE 'APPROVED' END AS audit_result, ts AS created_at FROM events"""
+
+
+@query("q13_pending_by_type", f"""WITH a AS ({_AUDIT}), k AS (SELECT unnest(['NODE','VESSEL','VESSEL_TYPE','COMMODITY','ROUTE','REGION']) AS kind),
+c AS (SELECT kind, count(id) AS n FROM k LEFT JOIN a ON kind = target_type AND audit_result = 'PENDING' GROUP BY kind)
+SELECT kind, n FROM c UNION ALL SELECT 'TOTAL', CAST(sum(n) AS BIGINT) FROM c""")
+def pending_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending records of a fixed list of types, zeros included, and their total."""
+    a = A.audit_records(spark, sf_dir).where("audit_result = 'PENDING'")
+    return R.counts_with_zeros(a, "target_type", ["NODE", "VESSEL", "VESSEL_TYPE", "COMMODITY", "ROUTE", "REGION"])
+
+
+@query("q14_newest_of_key", """SELECT event_id AS id, user_id AS vessel_id, event_type AS vessel_status FROM events WHERE user_id = 8 ORDER BY ts DESC, event_id DESC LIMIT 50""")
+def newest_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.newest(A.vessel_events(spark, sf_dir), "vessel_id", 8, [F.desc("ts"), F.desc("id")], 50).select("id", "vessel_id", "vessel_status")
+
+
+@query("q15_stale_sweep", """SELECT event_id AS id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 HOUR THEN 'PENDING' ELSE event_type END AS status FROM events""")
+def stale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.vessel_events(spark, sf_dir).select("id", F.col("vessel_status").alias("status"), F.col("ts").alias("updated_at"))
+    return governance.stale_reset(e, datetime.datetime(2024, 1, 20), 1, busy="view").select("id", "status")
+
+
+@query("q16_clean_text", """SELECT doc_id AS id, replace(replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '，', ','), '。', '.') AS cleaned FROM documents""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query("q17_extract_phone", """SELECT doc_id AS id, nullif(regexp_extract(text, '1[3-9][0-9]{9}', 0), '') AS phone FROM documents""")
+def extract_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.extract_phone(F.col("text")).alias("phone"))
+
+
+@query("q18_tonnage", """WITH t AS (SELECT p_partkey AS id, CAST(p_size AS VARCHAR) || CASE p_partkey % 4 WHEN 0 THEN '万吨' WHEN 1 THEN '千吨' WHEN 2 THEN '吨' ELSE '.5万吨' END AS x FROM part)
+SELECT id, CAST(nullif(regexp_extract(replace(replace(x, '万吨', '0000'), '千吨', '000'), '([0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS compat,
+ CAST(CAST(regexp_extract(x, '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) * CASE WHEN x LIKE '%万吨' THEN 10000 WHEN x LIKE '%千吨' THEN 1000 ELSE 1 END AS DOUBLE) AS fixed FROM t""")
+def tonnage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both readings of tonnage texts."""
+    i = F.pmod("p_partkey", F.lit(4))
+    unit = F.when(i == 0, "万吨").when(i == 1, "千吨").when(i == 2, "吨").otherwise(".5万吨")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_size").cast("string"), unit).alias("x"))
+    return p.select("id", X.normalize_tonnage(F.col("x")).alias("compat"), X.normalize_tonnage(F.col("x"), "fixed").alias("fixed"))
+
+
+@query("q19_safe_date", """SELECT o_orderkey AS id, CAST(try_strptime(CASE WHEN o_orderkey % 5 = 0 THEN '1998-13-' || CAST(o_orderkey % 9 AS VARCHAR) ELSE strftime(o_orderdate, '%Y-%m-%d') END, '%Y-%m-%d') AS DATE) AS day FROM orders""", plain="day")
+def safe_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are no dates give null."""
+    text = F.when(F.pmod("id", F.lit(5)) == 0, F.concat(F.lit("1998-13-"), F.pmod("id", F.lit(9)).cast("string"))).otherwise(F.date_format("created_at", "yyyy-MM-dd"))
+    return A.orders(spark, sf_dir).select("id", X.safe_date(text).alias("day"))
+
+
+_NODES = """SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS BIGINT) AS waterway_id, CASE WHEN s_acctbal >= 0 THEN 1 ELSE 0 END AS status,
+ CAST((s_suppkey * 37) % 200 AS DOUBLE) / 10.0::DOUBLE + 100.0::DOUBLE AS longitude, CAST((s_suppkey * 53) % 150 AS DOUBLE) / 10.0::DOUBLE + 22.0::DOUBLE AS latitude FROM supplier"""
+_ALIASES = """SELECT s_suppkey * 2 AS id, s_suppkey AS node_id, 'S' || CAST(s_suppkey AS VARCHAR) AS alias_name, CAST(s_suppkey % 10 AS INTEGER) AS priority, CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE 1 END AS status FROM supplier
+ UNION ALL SELECT s_suppkey * 2 + 1, s_suppkey, n_name || '-' || CAST(s_suppkey AS VARCHAR), 5, 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+
+
+@query("q20_distances", f"""WITH n AS ({_NODES}), p AS (SELECT a.id AS origin_id, b.id AS dest_id, radians(a.latitude) AS p1, radians(b.latitude) AS p2, radians(b.latitude - a.latitude) AS dp, radians(b.longitude - a.longitude) AS dl FROM n a JOIN n b ON b.id = a.id + 1),
+h AS (SELECT origin_id, dest_id, power(sin(dp / 2), 2) + cos(p1) * cos(p2) * power(sin(dl / 2), 2) AS a FROM p)
+SELECT origin_id, dest_id, CAST(6371.0::DOUBLE * 2 * atan2(sqrt(a), sqrt(1 - a)) AS DECIMAL(12, 2)) AS km, CAST(6371.0::DOUBLE * 2 * atan2(sqrt(a), sqrt(1 - a)) * 1.5::DOUBLE AS DECIMAL(12, 2)) AS waterway_km FROM h""", plain="km waterway_km")
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight and river distances between nodes of consecutive ids."""
+    n = A.nodes(spark, sf_dir)
+    b = n.select((F.col("id") - 1).alias("id"), F.col("id").alias("dest_id"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
+    km = X.haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
+    return n.join(b, "id").select(F.col("id").alias("origin_id"), "dest_id", km.cast("decimal(12,2)").alias("km"), X.waterway_km(km).cast("decimal(12,2)").alias("waterway_km"))
+
+
+@query("q21_codes", """SELECT CAST(100 + n_nationkey AS BIGINT) AS id, printf('%02d-%s-%03d', n_regionkey + 1, CASE WHEN n_nationkey % 5 = 0 THEN '03' ELSE '02' END, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) AS code FROM nation""")
+def waterway_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes for a batch of children, numbered on after each parent's existing ones."""
+    r = table(spark, sf_dir, "region")
+    old = r.select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.format_string("%02d-01-001", F.col("r_regionkey") + 1).alias("code"))
+    old = old.unionByName(r.select((F.col("r_regionkey") + 50).cast("long").alias("id"), F.col("r_regionkey").cast("long").alias("parent_id"), F.format_string("%02d-02-001", F.col("r_regionkey") + 1).alias("code")))
+    new = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 == 0, 3).otherwise(2).alias("level"), F.col("n_regionkey").cast("long").alias("parent_id"))
+    return codes.allocate(new, old, ["id"]).select("id", "code")
+
+
+@query("q22_json", """SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of JSON that may be wrapped in other text."""
+    e = A.vessel_events(spark, sf_dir)
+    return e.select("id", X.json_rescue(F.concat(F.lit("reply: "), "props", F.lit(" end")), "k int")["k"].alias("k"))
+
+
+@query("q23_active_aliases", f"""SELECT a.id AS alias_id, a.alias_name, n.id AS node_id, n.name FROM ({_ALIASES}) a JOIN ({_NODES}) n ON a.node_id = n.id WHERE a.status = 1 AND n.status = 1""")
+def active_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, n = A.node_aliases(spark, sf_dir).where("status = 1"), A.nodes(spark, sf_dir).where("status = 1")
+    return a.select(F.col("id").alias("alias_id"), "alias_name", "node_id").join(n.select(F.col("id").alias("node_id"), "name"), "node_id").select("alias_id", "alias_name", "node_id", "name")
+
+
+@query("q24_name_or_alias", f"""SELECT id, name FROM ({_NODES}) n WHERE name ILIKE '%00007%' OR id IN (SELECT node_id FROM ({_ALIASES}) a WHERE alias_name ILIKE '%00007%')""")
+def name_or_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_name_or_alias(A.nodes(spark, sf_dir), A.node_aliases(spark, sf_dir), "00007").select("id", "name")
+
+
+@query("q24b_alias_only", f"""SELECT id, name FROM ({_NODES}) n WHERE name ILIKE '%nation_1-%' OR id IN (SELECT node_id FROM ({_ALIASES}) a WHERE alias_name ILIKE '%nation_1-%')""")
+def alias_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_name_or_alias(A.nodes(spark, sf_dir), A.node_aliases(spark, sf_dir), "nation_1-").select("id", "name")
+
+
+@query("q25_conflicts", """SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'conflict' ELSE 'accepted' END AS outcome FROM customer""")
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that exist already, and those that are new."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    o = A.orders(spark, sf_dir).where("status = 'F'").select(F.col("customer_id").alias("id"))
+    return changes.present(c, o, ["id"]).withColumn("outcome", F.lit("conflict")).unionByName(changes.absent(c, o, ["id"]).withColumn("outcome", F.lit("accepted")))
+
+
+@query("q26_children", """SELECT r_regionkey AS id, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey <> 3), '') AS children FROM region""")
+def children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents with their children in order."""
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey <> 3")
+    out = R.nested(r, n, "id", "n_regionkey", ["n_nationkey", "n_name"])
+    return out.select("id", F.array_join(F.transform("children", lambda x: x["n_name"]), ",").alias("children"))
+
+
+@query("q26b_order_lines", """SELECT o_orderkey AS id, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS parts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = A.orders(spark, sf_dir).select("id")
+    out = R.nested(o, table(spark, sf_dir, "lineitem"), "id", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"])
+    return out.select("id", F.array_join(F.transform("children", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("q27_roles", """WITH r AS (SELECT unnest([0, 1, 2, 3]) AS id, unnest(['SUPER_ADMIN', 'ADMIN', 'OPERATOR', 'VIEWER']) AS code), l AS (SELECT c_custkey AS user_id, c_custkey % 4 AS role_id FROM customer WHERE c_custkey % 6 <> 0 UNION SELECT c_custkey, c_nationkey % 4 FROM customer WHERE c_custkey % 6 <> 0)
+SELECT c_custkey AS id, coalesce(string_agg(code, ',' ORDER BY code), '') AS roles, coalesce(bool_or(code IN ('SUPER_ADMIN', 'ADMIN')), false) AS may_audit FROM customer LEFT JOIN l ON user_id = c_custkey LEFT JOIN r ON r.id = role_id GROUP BY 1""")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with their role codes, and whether they may audit."""
+    c = table(spark, sf_dir, "customer")
+    role = spark.createDataFrame([(0, "SUPER_ADMIN"), (1, "ADMIN"), (2, "OPERATOR"), (3, "VIEWER")], "id int, code string")
+    linked = c.where(F.pmod("c_custkey", F.lit(6)) != 0)
+    links = linked.select(F.col("c_custkey").alias("user_id"), F.pmod("c_custkey", F.lit(4)).cast("int").alias("role_id")).unionByName(linked.select(F.col("c_custkey").alias("user_id"), F.pmod("c_nationkey", F.lit(4)).alias("role_id")))
+    out = governance.role_codes(c.select(F.col("c_custkey").alias("id")), links, role)
+    return out.select("id", F.array_join("roles", ",").alias("roles"), governance.may(F.col("roles"), "ADMIN").alias("may_audit"))
+
+
+@query("q28_star", """SELECT CAST(l_shipdate AS DATE) AS stat_date, s_name AS node_name, n_name AS nation, r_name AS region, count(*) AS cargo_count, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(16,2)) AS total_tonnage
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-07-01' GROUP BY 1, 2, 3, 4""", plain="stat_date total_tonnage")
+def star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heatmap with names: aggregated on keys first, then joined to the dimensions."""
+    span = F.col("l_shipdate").between(F.lit(datetime.datetime(1998, 1, 1)).cast("timestamp_ntz"), F.lit(datetime.datetime(1998, 6, 30, 23, 59, 59, 999999)).cast("timestamp_ntz"))
+    li = table(spark, sf_dir, "lineitem").where(span)
+    cargo = li.select(F.col("l_suppkey").alias("origin_node_id"), F.to_date("l_shipdate").alias("loading_date"), F.col("l_quantity").cast("decimal(12,2)").alias("tonnage"))
+    heat = stats.cargo_heatmap(cargo, "origin_node_id", "CARGO_ORIGIN")
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    places = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("node_name"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    return heat.join(places, "node_id").select("stat_date", "node_name", "nation", "region", "cargo_count", "total_tonnage")
+
+
+@query("q29_parent_join", """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, r_name AS parent_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+def parent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey, "left").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("parent_name"))
+
+
+def _origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.cargo_heatmap(A.opportunities(spark, sf_dir), "origin_node_id", "CARGO_ORIGIN")
+
+
+@query("q30_dashboard", """SELECT (SELECT count(*) FROM orders) AS total_opportunities, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS active_opportunities, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS pending_opportunities,
+ (SELECT count(DISTINCT user_id) FROM events) AS active_vessels, (SELECT count(*) FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1998-06-08' AND DATE '1998-06-15') AS recent_cargo""")
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.dashboard(A.orders(spark, sf_dir), A.vessel_events(spark, sf_dir), _origin(spark, sf_dir), DAY, 7, "O", "P")
+
+
+@query("q31_heatmap_region", f"""WITH n AS ({_NODES}) SELECT CAST(l_shipdate AS DATE) AS stat_date, l_suppkey AS node_id, n.name AS node_name, n.longitude, n.latitude, count(*) AS cargo_count FROM lineitem JOIN n ON l_suppkey = n.id JOIN nation ON waterway_id = n_nationkey
+WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1998-06-01' AND DATE '1998-06-15' AND n_regionkey = 2 GROUP BY ALL""", plain="stat_date")
+def heatmap_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of dates and a region, both honoured."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("waterway_id"), F.col("n_regionkey").alias("region_id"))
+    places = A.nodes(spark, sf_dir).join(n, "waterway_id")
+    out = stats.heatmap_on(_origin(spark, sf_dir), places, datetime.date(1998, 6, 1), DAY, "CARGO_ORIGIN", 2)
+    return out.select("stat_date", "node_id", "node_name", "longitude", "latitude", "cargo_count")
+
+
+_VESSEL = """SELECT CAST(ts AS DATE) AS stat_date, user_id % 10 AS node_id, count(DISTINCT user_id) AS vessel_count FROM events GROUP BY 1, 2"""
+
+
+@query("q32_vessel_heatmap", f"""SELECT stat_date, node_id, vessel_count, CAST(total AS DECIMAL(16,2)) AS total_deadweight FROM ({_VESSEL}) JOIN (SELECT stat_date, node_id, sum(d) AS total FROM (SELECT CAST(ts AS DATE) AS stat_date, user_id % 10 AS node_id, user_id, max(CAST(1000 + user_id % 50 AS DECIMAL(12,2))) AS d FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (stat_date, node_id)""", plain="stat_date total_deadweight")
+def vessel_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.vessel_heatmap(_vessel_days(spark, sf_dir)).drop("stat_type")
+
+
+def _vessel_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.vessel_events(spark, sf_dir)
+    return e.select(F.to_date("ts").alias("stat_date"), F.pmod("vessel_id", F.lit(10)).alias("node_id"), "vessel_id", (F.pmod("vessel_id", F.lit(50)) + 1000).cast("decimal(12,2)").alias("deadweight"))
+
+
+@query("q33_trend", """SELECT CAST(l_shipdate AS DATE) AS stat_date, count(*) AS value FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1998-05-16' AND DATE '1998-06-15' GROUP BY 1""", plain="stat_date")
+def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 days back gives 31 dates."""
+    return stats.trend(_origin(spark, sf_dir), DAY, 30)
+
+
+@query("q34_top_nodes", """SELECT l_suppkey AS node_id, count(*) AS value FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.top_nodes(_origin(spark, sf_dir), 10)
+
+
+_DEST = """SELECT CAST(l_shipdate AS DATE) AS stat_date, CAST(c_nationkey AS BIGINT) AS node_id, count(*) AS cargo_count, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(16,2)) AS total_tonnage FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
+
+
+@query("q35_heatmap_types", f"""SELECT stat_date, node_id, 'CARGO_ORIGIN' AS stat_type, cargo_count, total_tonnage, CAST(0 AS BIGINT) AS vessel_count, CAST(0 AS DECIMAL(16,2)) AS total_deadweight FROM (SELECT CAST(l_shipdate AS DATE) AS stat_date, l_suppkey AS node_id, count(*) AS cargo_count, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(16,2)) AS total_tonnage FROM lineitem GROUP BY 1, 2)
+UNION ALL SELECT stat_date, node_id, 'CARGO_DEST', cargo_count, total_tonnage, 0, 0 FROM ({_DEST})
+UNION ALL SELECT stat_date, node_id, 'VESSEL', 0, 0, vessel_count, CAST(total AS DECIMAL(16,2)) FROM ({_VESSEL}) JOIN (SELECT stat_date, node_id, sum(d) AS total FROM (SELECT CAST(ts AS DATE) AS stat_date, user_id % 10 AS node_id, user_id, max(CAST(1000 + user_id % 50 AS DECIMAL(12,2))) AS d FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (stat_date, node_id)""", plain="stat_date total_tonnage total_deadweight")
+def heatmap_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins, destinations and vessels in one table of statistics."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    to = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("order_id"), F.col("c_nationkey").cast("long").alias("dest_node_id"))
+    dest = A.opportunities(spark, sf_dir).join(to, "order_id")
+    return stats.all_types(_origin(spark, sf_dir), stats.cargo_heatmap(dest, "dest_node_id", "CARGO_DEST"), stats.vessel_heatmap(_vessel_days(spark, sf_dir)))
+
+
+@query("q36_merge", """WITH h AS (SELECT CAST(l_shipdate AS DATE) AS stat_date, l_suppkey AS node_id, l_returnflag AS f FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' AND l_shipdate < TIMESTAMP '1998-06-16'),
+o AS (SELECT stat_date, node_id, count(*) AS n FROM h WHERE f <> 'N' GROUP BY 1, 2), w AS (SELECT stat_date, node_id, count(*) AS n FROM h WHERE f <> 'A' GROUP BY 1, 2)
+SELECT coalesce(w.stat_date, o.stat_date) AS stat_date, coalesce(w.node_id, o.node_id) AS node_id, coalesce(w.n, o.n) AS cargo_count FROM o FULL OUTER JOIN w ON o.stat_date = w.stat_date AND o.node_id = w.node_id""", plain="stat_date")
+def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New statistics over stored ones; nodes without new cargo keep their row."""
+    cargo = A.opportunities(spark, sf_dir).where(F.col("loading_date").between(F.lit(datetime.date(1998, 6, 1)), F.lit(DAY)))
+    old = stats.cargo_heatmap(cargo.where("status <> 'N'"), "origin_node_id", "CARGO_ORIGIN")
+    new = stats.cargo_heatmap(cargo.where("status <> 'A'"), "origin_node_id", "CARGO_ORIGIN")
+    return stats.merge(old, new).select("stat_date", "node_id", "cargo_count")
+
+
+@query("q37_report", """WITH d AS (SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS node FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1998-05-16' AND DATE '1998-06-15'),
+t AS (SELECT node, count(*) AS v FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5), s AS (SELECT day, count(*) AS v FROM d GROUP BY 1 ORDER BY 1 DESC LIMIT 5)
+SELECT CAST(row_number() OVER (ORDER BY v DESC, node) AS INTEGER) AS line_no, 'node ' || node || ': ' || v AS line FROM t UNION ALL SELECT CAST(5 + row_number() OVER (ORDER BY day) AS INTEGER), day || ': ' || v FROM s""")
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.report_lines(_origin(spark, sf_dir), DAY, 30)
+
+
+def _goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names as goods with two aliases."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    return names.select("id", "name", F.array(F.regexp_replace("name", " ", "-"), F.element_at(F.split("name", " "), 2)).alias("aliases"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to link: part names as they are, shortened, extended, misspelt and shouted."""
+    i = F.pmod("p_partkey", F.lit(7))
+    n = F.col("p_name")
+    text = F.when(i == 0, n).when(i == 1, F.upper(n)).when(i == 2, F.concat(F.lit(" fresh "), n)).when(i == 3, F.substring(n, 1, 5)).when(i == 4, F.regexp_replace(n, " ", "-")).when(i == 5, F.regexp_replace(n, "e", "a")).otherwise(F.reverse(n))
+    return table(spark, sf_dir, "part").select(text.alias("text"))
+
+
+_GOODS = """SELECT min(p_partkey) AS id, p_name AS name, [replace(p_name, ' ', '-'), split_part(p_name, ' ', 2)] AS aliases FROM part GROUP BY p_name"""
+_ASKED = """SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN ' fresh ' || p_name WHEN 3 THEN substring(p_name, 1, 5) WHEN 4 THEN replace(p_name, ' ', '-') WHEN 5 THEN replace(p_name, 'e', 'a') ELSE reverse(p_name) END AS text FROM part"""
+
+
+@query("q38_match_rules", f"""WITH p AS (SELECT text, lower(trim(text)) AS t, id, name, [lower(x) FOR x IN aliases] AS a FROM ({_ASKED}), ({_GOODS})),
+s AS (SELECT text, id, name, CASE WHEN t = lower(name) THEN 100 WHEN list_contains(a, t) THEN 95 WHEN contains(t, lower(name)) OR contains(lower(name), t) THEN 85 WHEN len([x FOR x IN a IF contains(t, x) OR contains(x, t)]) > 0 THEN 80 END AS score FROM p)
+SELECT text, id, name, CAST(score AS INTEGER) AS score, CASE score WHEN 100 THEN 'exact' WHEN 95 THEN 'alias_exact' WHEN 85 THEN 'contains' ELSE 'alias_contains' END AS via, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 3""")
+def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_entities(_asked(spark, sf_dir), _goods(spark, sf_dir), fuzzy=False)
+
+
+@query("q39_match_entities")
+def match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matcher with similarity; tested against its rules in plain Python."""
+    return match.match_entities(_asked(spark, sf_dir), _goods(spark, sf_dir))
+
+
+@query("q40_match_names")
+def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second matcher; tested against its rules in plain Python."""
+    g = _goods(spark, sf_dir)
+    aliases = g.select("id", F.posexplode("aliases").alias("i", "alias_name")).select((F.col("id") * 2 + F.col("i")).alias("id"), F.col("id").alias("entity_id"), "alias_name", F.pmod("id", F.lit(10)).cast("int").alias("priority"), F.lit(1).alias("status"))
+    return match.match_names(_asked(spark, sf_dir), g.select("id", "name", F.lit(1).alias("status")), aliases, "entity_id")
+
+
+@query("q41_match_unpruned")
+def match_unpruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matcher without its length bound: the same result as q39."""
+    return match.match_entities(_asked(spark, sf_dir), _goods(spark, sf_dir), prune=False)
+
+
+@query("q42_confidence", """WITH s AS (SELECT doc_id AS id, CAST(doc_id % 101 AS INTEGER) AS a, CAST((doc_id * 7) % 101 AS INTEGER) AS b, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST((doc_id * 13) % 101 AS INTEGER) END AS c FROM documents)
+SELECT id, CAST(trunc((a + b + coalesce(c, 0)) / 3) AS INTEGER) AS overall3, CAST(trunc((a + b + coalesce(c, 0) + 90) / 4) AS INTEGER) AS overall4, CASE WHEN c IS NULL THEN a ELSE CAST(trunc((a + c) / 2) AS INTEGER) END AS blended FROM s""")
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of three and of four confidences, and the blend of two."""
+    i = F.col("doc_id")
+    score = lambda k: F.pmod(i * k, F.lit(101)).cast("int")
+    s = table(spark, sf_dir, "documents").select(i.alias("id"), score(1).alias("a"), score(7).alias("b"), F.when(F.pmod(i, F.lit(3)) != 0, score(13)).alias("c"))
+    return s.select("id", X.mean_truncated(F.col("a"), F.col("b"), F.col("c")).alias("overall3"), X.mean_truncated(F.col("a"), F.col("b"), F.col("c"), F.lit(90)).alias("overall4"), parsing.blended_confidence(F.col("a"), F.col("c"), F.col("c")).alias("blended"))
+
+
+@query("q43_confirm", """SELECT o_orderkey AS parse_result_id, CASE WHEN o_orderkey % 4 = 1 THEN 777 ELSE o_custkey END AS origin_node_id, CASE WHEN o_orderkey % 4 = 2 THEN CAST(5 AS DECIMAL(12,2)) ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS tonnage, 'ACTIVE' AS status FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 < 2 AND o_orderkey % 3 = 0""", plain="tonnage")
+def confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed results as opportunities; overrides of 0 and null do not count."""
+    o = A.orders(spark, sf_dir)
+    results = o.select("id", F.col("customer_id").alias("origin_node_id"), F.col("freight_price").alias("tonnage"), F.when(F.col("status") == "P", "PENDING_CONFIRM").otherwise("CONFIRMED").alias("parse_status"))
+    i = F.pmod("id", F.lit(4))
+    asked = o.where(F.pmod("id", F.lit(3)) == 0).select("id", F.when(i == 1, 777).when(i == 3, 0).cast("long").alias("origin_node_id"), F.when(i == 2, 5).when(i == 0, 0).cast("decimal(12,2)").alias("tonnage"))
+    out, _ = parsing.confirm(results, asked, ["origin_node_id", "tonnage"])
+    return out.select("parse_result_id", "origin_node_id", "tonnage", "status")
+
+
+@query("q44_audit", f"""WITH a AS ({_AUDIT}), d AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision, CASE WHEN event_id % 4 = 0 THEN user_id ELSE user_id + 1 END AS auditor, CASE event_id % 7 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' ELSE 'ADMIN' END AS role FROM events WHERE event_id % 2 = 0),
+j AS (SELECT a.id, audit_result, decision, auditor, CASE WHEN decision IS NULL THEN NULL WHEN audit_result <> 'PENDING' THEN 'not pending' WHEN role = 'VIEWER' THEN 'no permission' WHEN auditor = submitter_id AND decision = 'APPROVE' AND role <> 'SUPER_ADMIN' THEN 'own submission' END AS reject_reason FROM a LEFT JOIN d ON a.id = d.id)
+SELECT id, CASE WHEN decision IS NOT NULL AND reject_reason IS NULL THEN CASE WHEN decision = 'APPROVE' THEN 'APPROVED' ELSE 'REJECTED' END ELSE audit_result END AS audit_result, CASE WHEN decision IS NOT NULL AND reject_reason IS NULL THEN auditor END AS auditor_id, reject_reason FROM j""")
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records after approvals and rejections under the rules of role and own submission."""
+    r = A.audit_records(spark, sf_dir)
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").where(i % 2 == 0)
+    role = F.when(i % 7 == 0, "SUPER_ADMIN").when(i % 7 == 1, "VIEWER").otherwise("ADMIN")
+    d = e.select(i.alias("record_id"), F.when(i % 3 == 0, "REJECT").otherwise("APPROVE").alias("decision"), F.when(i % 4 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("auditor_id"), F.array(role).alias("roles"), F.lit("ok").alias("remark"), F.col("ts").alias("decided_at"))
+    later = d.withColumn("decision", F.lit("APPROVE")).withColumn("decided_at", F.col("decided_at") + F.expr("INTERVAL 1 HOUR"))
+    return governance.decide(r, d.unionByName(later)).select("id", "audit_result", "auditor_id", "reject_reason")
+
+
+@query("q45_latest", """SELECT user_id AS vessel_id, arg_max(event_id, (ts, event_id)) AS id, arg_max(event_type, (ts, event_id)) AS vessel_status FROM events GROUP BY 1""")
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest report of each vessel."""
+    return governance.latest(A.vessel_events(spark, sf_dir), "vessel_id").select("vessel_id", "id", "vessel_status")
+
+
+@query("q46_change_log", """SELECT vessel_id, old_value, new_value, changed_at FROM (SELECT user_id AS vessel_id, lag(event_type) OVER w AS old_value, event_type AS new_value, ts AS changed_at, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n > 1 AND old_value IS DISTINCT FROM new_value""")
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.change_log(A.vessel_events(spark, sf_dir), "vessel_id", "vessel_status")
+
+
+@query("q47_route_distance", f"""WITH n AS ({_NODES}), p AS (SELECT id % 10 AS route_id, CAST(id / 10 AS BIGINT) AS sequence, id AS node_id, latitude, longitude FROM (SELECT *, id - id % 10 AS base FROM n)),
+q AS (SELECT route_id, (node_id - node_id % 10) // 10 AS sequence, node_id, latitude, longitude FROM p), l AS (SELECT *, lag(latitude) OVER w AS la, lag(longitude) OVER w AS lo FROM q WINDOW w AS (PARTITION BY route_id ORDER BY sequence)),
+k AS (SELECT route_id, sequence, node_id, coalesce(power(sin(radians(latitude - la) / 2), 2) + cos(radians(la)) * cos(radians(latitude)) * power(sin(radians(longitude - lo) / 2), 2), 0) AS a FROM l)
+SELECT route_id, sequence, node_id, CAST(sum(6371.0::DOUBLE * 2 * atan2(sqrt(a), sqrt(1 - a))) OVER (PARTITION BY route_id ORDER BY sequence) AS DECIMAL(12,2)) AS distance_from_start FROM k""", plain="distance_from_start")
+def route_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance from the start along each route."""
+    n = A.nodes(spark, sf_dir)
+    path = n.select(F.pmod("id", F.lit(10)).alias("route_id"), F.floor(F.col("id") / 10).alias("sequence"), F.col("id").alias("node_id"))
+    return routes.distances(path, n).select("route_id", "sequence", "node_id", F.col("distance_from_start").cast("decimal(12,2)").alias("distance_from_start"))
+
+
+@query("q48_replace_children", """SELECT l_orderkey AS route_id, l_partkey AS node_id FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL SELECT DISTINCT l_orderkey, CAST(-1 AS BIGINT) FROM lineitem WHERE l_orderkey % 10 = 0""")
+def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some routes get a new path; the others keep theirs."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route_id"), F.col("l_partkey").alias("node_id"))
+    new = li.where(F.pmod("route_id", F.lit(10)) == 0).select("route_id").distinct().withColumn("node_id", F.lit(-1).cast("long"))
+    return routes.replace_path(li, new)
+
+
+@query("q49_top_per_day", """SELECT stat_date, node_id, value FROM (SELECT CAST(l_shipdate AS DATE) AS stat_date, l_suppkey AS node_id, count(*) AS value, row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE) ORDER BY count(*) DESC, l_suppkey) AS r FROM lineitem GROUP BY 1, 2) WHERE r <= 3""", plain="stat_date")
+def top_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three leading nodes of every day."""
+    h = _origin(spark, sf_dir).select("stat_date", "node_id", F.col("cargo_count").alias("value"))
+    return R.top_per_key(h, ["stat_date"], [F.desc("value"), F.asc("node_id")], 3)
+
+
+@query("q50_snapshot", """SELECT DATE '1998-06-15' AS stat_date, l_suppkey AS node_id, count(*) AS cargo_count FROM lineitem GROUP BY 2""", plain="stat_date")
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's other mode: all cargo so far, under one date."""
+    return stats.cargo_heatmap(A.opportunities(spark, sf_dir), "origin_node_id", "CARGO_ORIGIN", mode="snapshot", target_date=DAY).select("stat_date", "node_id", "cargo_count")
+
+
+@query("q51_update_rows", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE s_name END AS name, CASE WHEN s_suppkey % 3 = 0 THEN 9 WHEN s_acctbal >= 0 THEN 1 ELSE 0 END AS status FROM supplier WHERE s_suppkey % 11 <> 0""")
+def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed fields, then deleted rows."""
+    n = A.nodes(spark, sf_dir).select("id", "name", "status")
+    changed = n.where(F.pmod("id", F.lit(3)) == 0).select("id", F.upper("name").alias("name"), F.lit(9).alias("status"))
+    return changes.delete_rows(changes.update_rows(n, changed, ["id"]), n.where(F.pmod("id", F.lit(11)) == 0), ["id"])
+
+
+@query("q52_parse_messages")
+def parse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages made of node and part names, parsed and linked; tested on literal messages."""
+    n = match.dictionary(A.nodes(spark, sf_dir), A.node_aliases(spark, sf_dir), "node_id")
+    o = A.orders(spark, sf_dir)
+    text = F.concat(F.lit("Supplier#"), F.lpad(F.pmod("customer_id", F.lit(100)).cast("string"), 9, "0"), F.lit("到S"), F.pmod("id", F.lit(100)).cast("string"), F.lit("，"), F.pmod("id", F.lit(9)).cast("string"), F.lit("千吨red widget"))
+    goods = _goods(spark, sf_dir)
+    out = parsing.parse_messages(o.select("id", text.alias("raw_text")), n, goods)
+    return out.select("id", "origin_id", "dest_id", "commodity_id", "tonnage", "overall_confidence", "parse_status")
