@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, DoubleType
 
 EARTH_KM, WINDING = 6371.0, 1.5
 
@@ -82,7 +82,7 @@ def override(new: Column, stored: Column) -> Column:
     return F.when(new.isNotNull() & ~new.cast("string").isin("", "0", "0.0", "0.00"), new).otherwise(stored)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity of two texts, first argument first: it is not symmetric. Either empty: 0."""
     cache: dict[tuple[str, str], float] = {}

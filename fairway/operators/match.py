@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from fairway.functions.scalars import percent_half_even, ratio_bound, similarity_ratio, strip_unicode
 
@@ -29,7 +30,7 @@ def dictionary(entities: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     return entities.select("id", "name").join(lists, "id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
-@F.pandas_udf("score int, via string")
+@F.pandas_udf(StructType([StructField("score", IntegerType()), StructField("via", StringType())]))
 def _fuzzy(text: pd.Series, name: pd.Series, aliases: pd.Series) -> pd.DataFrame:
     def ratio(a: str, b: str) -> int:
         return int(SequenceMatcher(None, a, b).ratio() * 100) if a and b else 0
