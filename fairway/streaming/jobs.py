@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fairway.operators.governance import latest
+from fairway.schemas import conform
 from fairway.sources.store import Store
 
 
@@ -35,7 +36,7 @@ def latest_stream(events: DataFrame, store: Store, table: str, key: str, checkpo
     def save(batch: DataFrame, number: int) -> None:
         new = latest(batch, key, time, "id")
         old = store.read(table)
-        store.write(table, latest(old.unionByName(new.select(old.columns)), key, time, "id"))
+        store.write(table, latest(old.unionByName(conform(new, table)), key, time, "id"))
 
     return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
