@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Callable
 
 import ahocorasick
@@ -18,13 +19,17 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct pieces, and ids of theirs, that a worker keeps; beyond either it starts anew.
-PIECES, IDS = 1_000_000, 8_000_000
+#: Pieces and words that a worker keeps, some 40 bytes each; beyond them a table starts anew.
+PIECES, WORDS = 600_000, 800_000
 
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _SPECIAL = b"<|"
+_KEY = np.dtype("<u8")
+#: Punctuation that, at the end of a piece of letters, is a word of its own.
+_STOPS = b".,;:!?"
 
 
 def memo(f: Callable) -> dict:
@@ -50,10 +55,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def token_texts(path: str) -> dict[int, str]:
+    """The texts of all tokens of a vocabulary file by id, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
 class PrefixBpe:
     """Encoder of a byte-level BPE vocabulary with word ends, as the tokenizers library encodes with it.
 
-    A word is a string of symbols: chr(b) for a byte, chr(256 + b) for the last byte of the word.
+    Within, a word is a string of symbols: chr(b) for a byte, chr(256 + b) for the last byte of the word.
     """
 
     def __init__(self, path: str):
@@ -71,9 +83,7 @@ class PrefixBpe:
             return "".join(map(chr, b[:-1])) + chr(b[-1] + last)
 
         vocab = spec["model"]["vocab"]
-        self.text = {i: t for t, i in vocab.items()}
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.text |= {i: t.decode() for t, i in self.special.items()}
         self.id_of = {symbols(t): i for t, i in vocab.items()}
         self.symbols_of = {i: s for s, i in self.id_of.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -119,15 +129,16 @@ class PrefixBpe:
                     # of equal merges the leftmost comes first
                     if (m := rank.get((x, y))) is not None and m[0] < until and m[0] <= before:
                         ok = False
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > 400_000:
             self.compatible.clear()
         self.compatible[key] = ok
         return ok
 
-    def word(self, w: str) -> list[int]:
-        """Ids of one word of symbols."""
+    def word(self, word: bytes) -> bytes:
+        """Ids of one word, as unsigned 32-bit numbers."""
+        w = word[:-1].decode("latin-1") + chr(256 + word[-1])
         if (whole := self.id_of.get(w)) is not None and (self.compatible.get(whole) or self._test(whole, -1, whole)):
-            return [whole]
+            return array("I", (whole,)).tobytes()
         last = [-1] * (len(w) + 1)
         size = [0] * (len(w) + 1)
         known = self.compatible
@@ -146,30 +157,33 @@ class PrefixBpe:
         while at:
             ids.append(last[at])
             at -= size[at]
-        return ids[::-1]
-
-    def words(self, piece: bytes) -> list[str]:
-        """The words of symbols of a piece of text without ASCII white space and special strings."""
+        ids.reverse()
+        return array("I", ids).tobytes()
+
+    def words(self, piece: bytes) -> list[bytes]:
+        """The words of a piece of text without ASCII white space and special strings, normalised."""
+        low = piece.lower()
+        if low.isalpha():  # ASCII letters
+            return [low]
+        if low[-1] in _STOPS and low[:-1].isalpha():
+            return [low[:-1], low[-1:]]
         text = piece.decode()
         if max(text) < "ɐ":  # no characters that normalisation changes, and letters that no Unicode version moves
-            found = [p.encode() for p in _PARTS.findall(text.lower())]
-        else:
-            shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            found = [bytes(map(self.bytes_of.__getitem__, p)) for p, _ in shown]
-        return [p[:-1].decode("latin-1") + chr(256 + p[-1]) for p in found if p]
-
-    def piece(self, piece: bytes, words: dict[str, list[int]]) -> list[int]:
-        """Ids of a piece of text without ASCII white space; words: those already known."""
+            return [p.encode() for p in _PARTS.findall(text.lower())]
+        shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes_of.__getitem__, p)) for p, _ in shown if p]
+
+    def parts(self, piece: bytes) -> list[bytes]:
+        """The words, and special strings as they are, of a piece of text without ASCII white space."""
         if not piece:
             return []
         if _SPECIAL in piece and self._split and len(parts := self._split.split(piece)) > 1:
-            return [i for p in parts if p for i in ([self.special[p]] if p in self.special else self.piece(p, words))]
-        ids: list[int] = []
-        for w in self.words(piece):
-            if (got := words.get(w)) is None:
-                got = words[w] = self.word(w)
-            ids += got
-        return ids
+            return [w for p in parts if p for w in ([p] if p in self.special else self.words(p))]
+        return self.words(piece)
+
+    def part(self, part: bytes) -> bytes:
+        """Ids of one of those."""
+        return array("I", (self.special[part],)).tobytes() if part in self.special else self.word(part)
 
 
 def split_pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -183,48 +197,107 @@ def split_pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), bounds
 
 
-class PieceTable:
-    """Ids of the pieces seen so far by this worker, as one array with bounds."""
+class IdTable:
+    """Ids of byte strings by their 64-bit hashes, in arrays: a few dozen bytes for each string.
 
-    def __init__(self, encoder: PrefixBpe):
-        self.encoder = encoder
+    Two of a million strings share a hash with a chance of 3e-8; a table never holds many more.
+    """
+
+    def __init__(self):
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
+        self.keys = np.empty(0, _KEY)  # sorted
+        self.slot = np.empty(0, np.int32)
+        self.start = np.zeros(1, np.int64)
+        self.ids = np.empty(0, np.uint32)
+        self.used = 0
+
+    @property
+    def n(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the keys; -1 for those not there."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < self.n
+        there[there] = self.keys[at[there]] == keys[there]
+        out = np.full(len(keys), -1, np.int64)
+        out[there] = self.slot[at[there]]
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Puts new keys with their ids, one after another; their slots."""
+        slots = np.arange(self.n, self.n + len(keys))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(ids), self.used // 2, 1 << 16), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes)])
+        self.used += len(ids)
+        new = np.argsort(keys)
+        both = np.concatenate([self.keys, keys[new]])
+        order = np.argsort(both, kind="stable")  # merges two sorted runs
+        self.keys, self.slot = both[order], np.concatenate([self.slot, slots[new].astype(np.int32)])[order]
+        return slots
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the slots in order, and the number of each."""
+        start = self.start[slots]
+        n = self.start[slots + 1] - start
+        ends = np.cumsum(n)
+        where = np.repeat(start - (ends - n), n)
+        where += np.arange(len(where))
+        return self.ids[where], n
 
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        if len(self.at) + len(pieces) > PIECES or self.start[len(self.at)] > IDS or len(self.words) > PIECES:
+    def make_room(self, entries: int) -> None:
+        """Starts anew beyond so many entries, or ten ids for each of them."""
+        if self.n > entries or self.used > 10 * entries:
             self.reset()
-        at, piece, words = self.at, self.encoder.piece, self.words
-        new = [p for p in pieces if p not in at]
-        if new:
-            found = [piece(p, words) for p in new]
-            n, used = len(at), int(self.start[len(at)])
-            ends = used + np.cumsum([len(x) for x in found])
-            if n + len(new) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros(max(len(self.start), len(new)), np.int64)])
-            if ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(ends[-1]) - used), np.uint32)])
-            self.start[n + 1 : n + 1 + len(new)] = ends
-            self.ids[used : int(ends[-1])] = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1]) - used)
-            at.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
+
+
+def _keys(strings: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), _KEY, len(strings))
+
+
+class PieceTable:
+    """Ids of the pieces and words seen so far by this worker."""
+
+    def __init__(self, encoder: PrefixBpe):
+        self.encoder = encoder
+        self.pieces, self.words = IdTable(), IdTable()
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Slots of distinct pieces in the table of pieces."""
+        self.pieces.make_room(PIECES)
+        keys = _keys(pieces)
+        slots = self.pieces.find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            split = [self.encoder.parts(pieces[i]) for i in new.tolist()]
+            count = np.array([len(x) for x in split])
+            ids, n = self._words([w for x in split for w in x])
+            total = np.r_[0, np.cumsum(n)]
+            ends = np.cumsum(count)
+            slots[new] = self.pieces.add(keys[new], ids, total[ends] - total[ends - count])
+        return slots
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.words.make_room(WORDS)
+        keys = _keys(words)
+        slots = self.words.find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            kinds, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            made = [self.encoder.part(words[i]) for i in new[first].tolist()]
+            sizes = np.array([len(x) for x in made]) // 4
+            slots[new] = self.words.add(kinds, np.frombuffer(b"".join(made), np.uint32), sizes)[back]
+        return self.words.gather(slots)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and each text's bounds."""
         pieces, order, bounds = split_pieces(texts)
-        k = self.numbers(pieces)[order] if len(order) else np.empty(0, np.int64)
-        start = self.start[k]
-        n = self.start[k + 1] - start
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(start - (ends - n), n)
-        where += np.arange(total)
-        return self.ids[where], np.r_[0, ends][bounds]
+        ids, n = self.pieces.gather(self.numbers(pieces)[order] if len(order) else np.empty(0, np.int64))
+        return ids, np.r_[0, np.cumsum(n)][bounds]
 
 
 _TABLES: dict[str, PieceTable] = {}
