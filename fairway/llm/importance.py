@@ -2,8 +2,10 @@
 
 Two generative models over hashed word and word-pair counts, one of good labelled texts and one of all texts, give each
 text the logarithm of their ratio, per n-gram and scaled to a text of REFERENCE n-grams, so that long texts are not
-judged by their length. Gumbel top-k then samples without replacement in proportion to the ratios: k is the number of
-texts whose weight reaches the cut that separates the labelled texts best.
+judged by their length; PRIOR neutral n-grams besides keep short texts near 0. A word that follows itself is one n-gram
+of its own, whatever the word. Gumbel top-k then samples without replacement in proportion to the ratios: k is the number
+of texts whose weight reaches the cut that separates the labelled texts best, a good text lost counting as much as COST
+bad ones caught.
 """
 
 from __future__ import annotations
@@ -19,24 +21,29 @@ from pyspark.sql import functions as F
 from fairway.llm.common import by_bytes, materialise
 from fairway.llm.textstream import mix, shingles, tokens
 
-#: Buckets of hashed n-grams; labelled rows of each class that fit the model and the cut, at most; n-grams of a text that weights are scaled to.
-BUCKETS, LABELLED, REFERENCE = 1 << 14, 20_000, 100
+#: Buckets of hashed n-grams; labelled rows of each class that fit the model and the cut, at most.
+BUCKETS, LABELLED = 1 << 14, 20_000
+#: N-grams of a text that weights are scaled to, neutral ones added to each text, and the cost of a good text lost.
+REFERENCE, PRIOR, COST = 1000, 40, 20
 #: Steps of a key in one unit, and bins of one pass of the selection.
 STEPS, BINS = 1_000_000, 4096
 
 
 def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word and word pair of the texts."""
+    """(row, bucket) of every word, word pair and repeated word of the texts."""
     t = tokens(texts)
     pair, at = shingles(t, 2)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    return np.concatenate([t.owner, t.owner[at]]), np.concatenate([mix(t.hashes) >> shift, pair >> shift]).astype(np.int64)
+    w = np.flatnonzero(t.words)
+    again = w[1:][(t.hashes[w[1:]] == t.hashes[w[:-1]]) & (t.owner[w[1:]] == t.owner[w[:-1]])]
+    rows = np.concatenate([t.owner, t.owner[at], t.owner[again]])
+    return rows, np.concatenate([mix(t.hashes) >> shift, pair >> shift, np.zeros(len(again), np.uint64)]).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of this partition's buckets, in all texts and in those with quality 1."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in by_bytes(batches, "text", 2 << 20):
+    for batch in by_bytes(batches, "text", 1 << 20):
         row, bucket = _buckets(batch.column(0))
         raw += np.bincount(bucket, minlength=BUCKETS)
         good = pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False) == 1
@@ -72,10 +79,10 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str
 def _score(model, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = model.value
-        for batch in by_bytes(batches, "__text", 2 << 20):
+        for batch in by_bytes(batches, "__text", 1 << 20):
             row, bucket = _buckets(batch.column("__text"))
             n = np.bincount(row, minlength=batch.num_rows)
-            weight = np.bincount(row, ratio[bucket], batch.num_rows) / np.maximum(n, 1) * REFERENCE
+            weight = np.bincount(row, ratio[bucket], batch.num_rows) / (n + PRIOR) * REFERENCE
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.round(weight, 6))], names=[*fields, "__weight"])
 
@@ -117,7 +124,7 @@ def kth_largest(keys: DataFrame, k: int, column: str = "key") -> int | None:
 
 
 def best_cut(weights: list[tuple[float, int]]) -> float:
-    """The weight that separates labelled good (1) and bad texts with the best mean of both hit rates, in the middle of its gap.
+    """The weight that separates labelled good (1) from bad texts best, in the middle of its gap: most bad ones below it, and at COST times good ones.
 
     Without both classes nothing is cut.
     """
@@ -131,7 +138,7 @@ def best_cut(weights: list[tuple[float, int]]) -> float:
     caught = np.r_[0, np.cumsum(~good)] / (~good).sum()
     edges = np.r_[-np.inf, (w[1:] + w[:-1]) / 2, np.inf]
     real = np.r_[True, w[1:] > w[:-1], True]
-    value = np.where(real, caught - lost, -np.inf)
+    value = np.where(real, caught - COST * lost, -np.inf)
     return float(edges[int(np.argmax(value))])
 
 

@@ -47,6 +47,7 @@ class Tokens:
     owner: np.ndarray  # row of each token
     start: np.ndarray  # its first byte, and the one after its last, in the row
     end: np.ndarray
+    words: np.ndarray  # whether it is a word, not punctuation
     rows: int
 
 
@@ -73,7 +74,7 @@ def tokens(texts: pa.Array, lower: bool = False, punctuation: bool = True) -> To
     total[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     owner = np.searchsorted(offsets, start, side="right") - 1
-    return Tokens(mix((total[end] - total[start]) * down[start]), owner, start - offsets[owner], end - offsets[owner], len(data))
+    return Tokens(mix((total[end] - total[start]) * down[start]), owner, start - offsets[owner], end - offsets[owner], kind[start] == 1, len(data))
 
 
 def shingles(t: Tokens, words: int) -> tuple[np.ndarray, np.ndarray]:
