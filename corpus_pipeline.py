@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairway.llm import exact_dedup, importance, packing, simhash
 from fairway.llm.bpe import VOCABULARY
-from fairway.llm.common import materialise, table
+from fairway.llm.common import bounded, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +21,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id stays."""
+    bounded(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (5-word shingles, similarity 0.8), the document with the smallest doc_id stays."""
+    bounded(spark)
     return simhash.near_dedup(docs, words=5, similarity=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
+    bounded(spark)
     return packing.pack(docs, VOCABULARY, capacity=2048, end=0)
 
 

@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.bpe import piece_table
-from fairway.llm.common import by_bytes
+from fairway.llm.bpe import piece_table, token_texts, vocabulary_path
+from fairway.llm.common import by_bytes, tidy
 
 
 def _encode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(vocabulary)
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 2 << 20):
             ids, bounds = table.encode(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
@@ -31,13 +31,18 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     Null and empty texts give no ids; null ids and repeated rows pass through; other columns are ignored.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode(vocabulary), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_encode(vocabulary)), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+_TEXTS: dict[str, np.ndarray] = {}
 
 
 def _strings(vocabulary: str) -> np.ndarray:
-    """The token texts by id, and the decimal ids; both as bytes."""
-    text = piece_table(vocabulary).encoder.text
-    return np.array([text.get(i, "").encode() for i in range(max(text) + 1)], object)
+    """The token texts by id, as bytes; kept for the life of the worker."""
+    if vocabulary not in _TEXTS:
+        text = token_texts(vocabulary_path(vocabulary))
+        _TEXTS[vocabulary] = np.array([text.get(i, "").encode() for i in range(max(text) + 1)], object)
+    return _TEXTS[vocabulary]
 
 
 def _decode(vocabulary: str):
@@ -58,7 +63,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     """
     kind = df.schema[id_col].dataType.simpleString()
     lists = F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids")
-    return df.select(F.col(id_col).alias("id"), lists).mapInArrow(_decode(vocabulary), f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), lists).mapInArrow(tidy(_decode(vocabulary)), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def _digest(vocabulary: str):
@@ -78,4 +83,4 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row: digests of the decimal ids joined by a space and of the decoded text."""
     kind = df.schema[id_col].dataType.simpleString()
     encoded = encode(df, vocabulary, id_col, text_col)
-    return encoded.mapInArrow(_digest(vocabulary), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return encoded.mapInArrow(tidy(_digest(vocabulary)), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

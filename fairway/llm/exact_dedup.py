@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import ascii_lower, group_bounds, materialise, small, sorted_groups
+from fairway.llm.common import ascii_lower, group_bounds, materialise, small, sorted_groups, tidy
 
 #: Bits of a fingerprint beyond the logarithm of the row count: a unique row is a suspect with a chance of 2**-SPARE.
 SPARE = 12
@@ -120,9 +120,9 @@ def suspects(texts: DataFrame, n_rows: int) -> DataFrame:
     owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # gaps within a sender's range are about 2**bits / rows of a sender; the code's parameter follows that mean
     k = max(0, bits - max(1, int(np.log2(max(2, n_rows / owners)))) - 1)
-    sent = materialise(texts.select("h").mapInArrow(_send(bits, owners, k), "owner long, sender long, piece long, n long, coded binary, own binary"), "golomb-sent")
-    answers = sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(_answer(k), "sender long, owner long, piece long, dup binary")
-    marked = sent.join(answers, ["sender", "owner", "piece"]).mapInArrow(_marked(bits, owners, k), "h long")
+    sent = materialise(texts.select("h").mapInArrow(tidy(_send(bits, owners, k)), "owner long, sender long, piece long, n long, coded binary, own binary"), "golomb-sent")
+    answers = sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(tidy(_answer(k)), "sender long, owner long, piece long, dup binary")
+    marked = sent.join(answers, ["sender", "owner", "piece"]).mapInArrow(tidy(_marked(bits, owners, k)), "h long")
     return materialise(marked.distinct(), "golomb-suspects")
 
 

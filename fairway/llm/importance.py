@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import by_bytes, materialise
+from fairway.llm.common import by_bytes, materialise, tidy
 from fairway.llm.textstream import mix, shingles, tokens
 
 #: Buckets of hashed n-grams; labelled rows of each class that fit the model and the cut, at most.
@@ -63,7 +63,7 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str
     """log(target / raw) of each bucket: raw counts over all of `df`, target counts over its labelled good texts."""
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     marked = texts.join(F.broadcast(sample), F.col("__id") == F.col("__lid"), "left").select("text", "__quality")  # 2 * LABELLED rows at most
-    counts = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
+    counts = marked.mapInArrow(tidy(_count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in counts:
         raw[r["bucket"]] += r["raw"]
@@ -96,7 +96,7 @@ def weighted(df: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFr
     plain = df.toDF(*fields)
     kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(fields, plain.schema))
     source = F.col(fields[df.columns.index(text_col)]).cast("string").alias("__text")
-    return plain.select("*", source).mapInArrow(_score(model, fields), f"{kinds}, __weight double").toDF(*df.columns, "__weight")
+    return plain.select("*", source).mapInArrow(tidy(_score(model, fields)), f"{kinds}, __weight double").toDF(*df.columns, "__weight")
 
 
 def gumbel_key(weight: Column, row_id: Column, seed: int) -> Column:

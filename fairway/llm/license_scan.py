@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import by_bytes, rows_as_bytes
+from fairway.llm.common import by_bytes, rows_as_bytes, tidy
 from fairway.llm.licenses import TEMPLATES
 from fairway.llm.textstream import Tokens, mix, shingles, tokens
 
@@ -143,7 +143,7 @@ class Index:
 def _scan(templates: dict[str, str], containment: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates, containment)
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             t = tokens(batch.column(1), lower=True, punctuation=False)
             rows = list(index.matches(rows_as_bytes(batch.column(1)), t))
             if rows:
@@ -161,4 +161,4 @@ def license_matches(df: DataFrame, templates: dict[str, str] = TEMPLATES, contai
     """
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_scan(templates, containment), f"id {kind}, template string, start_word long, end_word long, containment double").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(_scan(templates, containment)), f"id {kind}, template string, start_word long, end_word long, containment double").withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import by_bytes, materialise, rows_as_bytes
+from fairway.llm.common import by_bytes, materialise, rows_as_bytes, tidy
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by colour type.
@@ -159,7 +159,7 @@ def store_texts(df: DataFrame, unit: int = 576, width: int = 576, fill: int = 25
     """
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_store(unit, width, fill, level), f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(_store(unit, width, fill, level)), f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def media_features(df: DataFrame, key_cols: list[str], media_col: str = "media")
     """The key columns, then payload and media figures and the cosine hash of each PNG; `error` tells why one can't be read. Null media are unreadable."""
     packed = df.select(F.struct(*key_cols).alias("key"), F.col(media_col).alias("media"))
     kind = packed.schema["key"].dataType.simpleString()
-    out = packed.mapInArrow(_features, f"key {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    out = packed.mapInArrow(tidy(_features), f"key {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
     return out.select("key.*", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
 
 

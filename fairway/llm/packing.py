@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairway.llm.bpe import piece_table
-from fairway.llm.common import by_bytes, materialise, small
+from fairway.llm.common import by_bytes, materialise, small, tidy
 
 #: Groups of large lengths; lengths of over 1/LARGE of the capacity are large.
 GROUPS, LARGE = 96, 8
@@ -250,12 +250,12 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, id_
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"
-    pieces = materialise(texts.mapInArrow(_tokenise(vocabulary, capacity, end), schema), "packing-pieces")
+    pieces = materialise(texts.mapInArrow(tidy(_tokenise(vocabulary, capacity, end)), schema), "packing-pieces")
     counts = materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "packing-counts")
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = materialise(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")), "packing-bases")
     ranked = pieces.join(small(bases), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     places = spark.sparkContext.broadcast(_places(pack_histogram(hist, capacity)) if hist else {})  # grows with the capacity, not with the rows
-    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(places), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(_place(places)), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

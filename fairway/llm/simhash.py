@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import by_bytes, group_bounds, materialise, rows_as_bytes, small, sorted_groups
+from fairway.llm.common import by_bytes, group_bounds, materialise, rows_as_bytes, small, sorted_groups, tidy
 from fairway.llm.textstream import mix, shingles, tokens
 
 #: Members of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
@@ -65,7 +65,7 @@ def _fingerprints(words: int):
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id, fp) of each row: 64-bit SimHash of its word shingles as a signed long; null and wordless texts give zero."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(words), "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_fingerprints(words)), "id long, fp long")
 
 
 def blocks_for(n: int, bits: int) -> int:
@@ -180,7 +180,7 @@ def close_links(distinct: DataFrame, bits: int, wide_bits: int | None = None) ->
         keyed = keyed.join(small(large), "g", "left").withColumn("c", chunks).withColumn("i", mine)
         keyed = keyed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         keyed = keyed.withColumn("g", F.when(F.col("c") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j"))))
-    return keyed.select("g", *carried).repartition("g").sortWithinPartitions("g").mapInArrow(_links(bits, wide_bits), "u long, v long")
+    return keyed.select("g", *carried).repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_links(bits, wide_bits)), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def expected_bits(similarity: float, size: int, spread: float = 1.65) -> int:
 
 def _wide(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             t = tokens(batch.column(1), lower=True, punctuation=False)
             n = np.bincount(t.owner, minlength=t.rows)
             # distinct words of each text: of few but frequent words the rest still counts
@@ -266,7 +266,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     may differ as at that similarity, plus 1.65 standard deviations. Words are runs of letters and digits, A-Z lower-
     cased; texts without any are alike. Null texts count as empty; rows without an id are never linked (component null).
     """
-    fps = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_wide(words), "id long, fp long, wide binary"), "near-fingerprints")
+    fps = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_wide(words)), "id long, fp long, wide binary"), "near-fingerprints")
     distinct = materialise(fps.where("id is not null").groupBy("fp", "wide").agg(F.min("id").alias("node")), "near-distinct")
     roots = components(close_links(distinct, WORD_BITS, expected_bits(similarity, 64 * LANES)))
     lookup = distinct.join(roots, "node", "left").select("fp", "wide", F.coalesce("root", "node").alias("component"))

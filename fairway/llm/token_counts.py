@@ -16,11 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.bpe import PIECES, split_pieces, vocabulary_path
-from fairway.llm.common import by_bytes
+from fairway.llm.bpe import split_pieces, vocabulary_path
+from fairway.llm.common import by_bytes, tidy
 
 #: Bytes of text in one batch of the encoder, and bytes of distinct pieces in one call of the library.
 BATCH, CALL = 8 << 20, 1 << 16
+#: Distinct pieces whose counts a worker keeps.
+PIECES = 600_000
 
 
 class Counter:
@@ -99,5 +101,5 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str
     tokens; null ids and repeated rows pass through; other columns are ignored.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count(vocabulary), f"id {kind}, n_bytes long, n_tokens long")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_count(vocabulary)), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import materialise, small
+from fairway.llm.common import materialise, small, tidy
 
 #: Magic numbers: the dictionary's skippable frame, a Zstandard frame, and the mask of all skippable frames.
 DICTIONARY_FRAME, ZSTD_FRAME, SKIPPABLE = 0x184D2A5D, 0xFD2FB528, 0x184D2A50
@@ -182,7 +182,7 @@ def write_archives(pages: DataFrame, least: int = 1000, date: str = "2024-01-01T
     Null payloads count as empty. A row without an id becomes a record named by its URL and digest, never the one that
     others refer to; rows that repeat the largest id of a group are all responses. An empty table gives no archives.
     """
-    return with_revisits(pages, least, id_col, url_col, payload_col).mapInArrow(_write(date), "archive string, content binary")
+    return with_revisits(pages, least, id_col, url_col, payload_col).mapInArrow(tidy(_write(date)), "archive string, content binary")
 
 
 def _read(payloads: bool):
@@ -208,4 +208,4 @@ def _read(payloads: bool):
 
 def read_archives(archives: DataFrame, name_col: str = "archive", content_col: str = "content", payloads: bool = True) -> DataFrame:
     """The records of archives, one row each (see RECORD); `error` tells what is wrong with one. Null contents hold none."""
-    return archives.select(F.col(name_col).alias("archive"), F.col(content_col).alias("content")).mapInArrow(_read(payloads), f"archive string, {RECORD}")
+    return archives.select(F.col(name_col).alias("archive"), F.col(content_col).alias("content")).mapInArrow(tidy(_read(payloads)), f"archive string, {RECORD}")
