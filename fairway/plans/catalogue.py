@@ -516,3 +516,40 @@ def parse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     goods = _goods(spark, sf_dir)
     out = parsing.parse_messages(o.select("id", text.alias("raw_text")), n, goods)
     return out.select("id", "origin_id", "dest_id", "commodity_id", "tonnage", "overall_confidence", "parse_status")
+
+
+@query("q53_parse_status", """SELECT o_orderkey AS id, CAST(count(l_linenumber) AS BIGINT) AS parse_count, coalesce(string_agg(l_returnflag || CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber, l_returnflag), '') AS results FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 500 GROUP BY 1""")
+def parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with their parse results and the number of these, also where there is none."""
+    messages = A.orders(spark, sf_dir).where("id < 500").select("id")
+    out = R.nested(messages, table(spark, sf_dir, "lineitem"), "id", "l_orderkey", ["l_linenumber", "l_returnflag"], "results")
+    shown = F.transform("results", lambda r: F.concat(r["l_returnflag"], r["l_linenumber"].cast("string")))
+    return out.select("id", F.size("results").cast("long").alias("parse_count"), F.array_join(shown, ",").alias("results"))
+
+
+@query("q54_audit_list", f"""SELECT id, target_type, submitter_id, (SELECT count(*) FROM ({_AUDIT}) WHERE audit_result = 'PENDING' AND target_type = 'NODE') AS total FROM ({_AUDIT}) WHERE audit_result = 'PENDING' AND target_type = 'NODE' ORDER BY created_at DESC, id DESC LIMIT 20""")
+def audit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of pending records of a type, newest first; an empty submitter is no filter."""
+    a = A.audit_records(spark, sf_dir).where(R.equal_filters("falsy", audit_result="PENDING", target_type="NODE", submitter_id=0))
+    return R.page_with_total(a, [F.desc("created_at"), F.desc("id")], 1, 20).select("id", "target_type", "submitter_id", "total")
+
+
+@query("q55_max_sibling_code", """SELECT n_regionkey AS parent_id, max(printf('%02d-02-%03d', n_regionkey + 1, n_nationkey + 1)) AS max_code FROM nation GROUP BY 1""")
+def max_sibling_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest code among the children of each parent."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("parent_id"), F.format_string("%02d-02-%03d", F.col("n_regionkey") + 1, F.col("n_nationkey") + 1).alias("code"))
+    return n.groupBy("parent_id").agg(F.max("code").alias("max_code"))
+
+
+@query("q56_lookup", """SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey = 77""")
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row by its key; the filter reaches the scan."""
+    return A.orders(spark, sf_dir).where(R.equal_filters(id=77)).select("id", "status")
+
+
+@query("q57_foreign_keys", """SELECT l_orderkey AS order_id, l_suppkey AS node_id FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) AND l_shipdate >= TIMESTAMP '2001-06-01'""")
+def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose node is not among the active ones."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit(datetime.datetime(2001, 6, 1)).cast("timestamp_ntz"))
+    rows = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("node_id"))
+    return changes.absent(rows, A.nodes(spark, sf_dir).where("status = 1").select(F.col("id").alias("node_id")), ["node_id"]).select("order_id", "node_id")
