@@ -34,11 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fairway.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("fairway.checkpoint.dir", d) if spark.conf.get("fairway.checkpoint.dir", None) is None else None
-        d = spark.conf.get("fairway.checkpoint.dir")
+        spark.conf.set("fairway.checkpoint.dir", d)
     return d.rstrip("/")
 
 
