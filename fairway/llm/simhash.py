@@ -85,31 +85,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _links(bits: int, wide_bits: int | None):
-    """Within each bucket (sorted by g): a spanning forest of the nodes whose fingerprints differ in `bits` bits at most, and their wide ones in `wide_bits`."""
+def _links(bits: int, signature: str):
+    """Within each bucket (sorted by g): a spanning forest of the nodes whose signatures differ in `bits` bits at most."""
 
-    def pairs(fp: np.ndarray, wide: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, (1 << 20) // len(fp))
-        for s in range(0, len(fp), step):
-            a, b = np.nonzero(np.bitwise_count(fp[s : s + step, None] ^ fp[None, :]) <= bits)
+    def apart(x: np.ndarray) -> np.ndarray:
+        n = np.bitwise_count(x)
+        return n[..., 0] if x.shape[-1] == 1 else n.sum(-1, dtype=np.int32)
+
+    def pairs(sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, (1 << 20) // sig.size)
+        for s in range(0, len(sig), step):
+            a, b = np.nonzero(apart(sig[s : s + step, None] ^ sig[None, :]) <= bits)
             a += s
             keep = a < b
-            a, b = a[keep], b[keep]
-            if wide is not None and len(a):
-                near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int32) <= wide_bits
-                a, b = a[near], b[near]
-            yield a, b
+            yield a[keep], b[keep]
 
-    def forest(fp: np.ndarray, wide: np.ndarray | None, node: np.ndarray) -> tuple[list[int], list[int]]:
+    def forest(sig: np.ndarray, node: np.ndarray) -> tuple[list[int], list[int]]:
         src, dst, total, found = [], [], 0, []
-        if len(fp) <= 2 * CHUNK:
-            for a, b in pairs(fp, wide):
+        if len(sig) <= 2 * CHUNK:
+            for a, b in pairs(sig):
                 found.append((a, b))
                 total += len(a)
                 if total > 50_000:
                     break
             else:
-                root = list(range(len(fp)))
+                root = list(range(len(sig)))
 
                 def find(x: int) -> int:
                     while root[x] != x:
@@ -122,21 +122,17 @@ def _links(bits: int, wide_bits: int | None):
                         x, y = find(x), find(y)
                         if x != y:
                             root[max(x, y)] = min(x, y)
-                for x in range(len(fp)):
+                for x in range(len(sig)):
                     if (r := find(x)) != x:
                         src.append(int(node[x]))
                         dst.append(int(node[r]))
                 return src, dst
-        left = np.arange(len(fp))
+        left = np.arange(len(sig))
         while len(left):  # a dense bucket: breadth first, comparing with what is not reached yet
             front, left = [left[0]], left[1:]
             first = front[0]
             while front and len(left):
-                x = front.pop()
-                near = np.bitwise_count(fp[left] ^ fp[x]) <= bits
-                if wide is not None and near.any():
-                    at = np.flatnonzero(near)
-                    near[at] = np.bitwise_count(wide[left[at]] ^ wide[x]).sum(1, dtype=np.int32) <= wide_bits
+                near = apart(sig[left] ^ sig[front.pop()]) <= bits
                 got = left[near]
                 left = left[~near]
                 front.extend(got.tolist())
@@ -146,14 +142,14 @@ def _links(bits: int, wide_bits: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "g"):
-            g, fp, node = (t.column(c).to_numpy() for c in ("g", "fp", "node"))
-            fp = fp.view(np.uint64)
-            wide = None if wide_bits is None else np.frombuffer(b"".join(t.column("wide").to_pylist()), "<u8").reshape(len(fp), -1)
+            g, node, sig = t.column("g").to_numpy(), t.column("node").to_numpy(), t.column(signature)
+            sig = np.frombuffer(b"".join(sig.to_pylist()), "<u8") if pa.types.is_binary(sig.type) else sig.to_numpy().view(np.uint64)
+            sig = sig.reshape(len(g), -1)
             edges = group_bounds(g)
             src, dst = [], []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if b - a > 1:
-                    s, d = forest(fp[a:b], None if wide is None else wide[a:b], node[a:b])
+                    s, d = forest(sig[a:b], node[a:b])
                     src += s
                     dst += d
             if src:
@@ -162,17 +158,12 @@ def _links(bits: int, wide_bits: int | None):
     return run
 
 
-def close_links(distinct: DataFrame, bits: int, wide_bits: int | None = None) -> DataFrame:
-    """Links (u, v) between nodes of `distinct` (node, fp, and wide where wide_bits is given) that connect all at `bits` or fewer differing bits.
+def bucket_links(keyed: DataFrame, bits: int, signature: str) -> DataFrame:
+    """Links (u, v) that connect all nodes of a bucket g of `keyed` (g, node, signature) at `bits` or fewer differing bits.
 
     Only a spanning forest of each bucket is returned, never all its pairs. A bucket of more than CHUNK members is dealt
     out as pairs of chunks over many tasks.
     """
-    n = distinct.count()
-    masks = block_masks(blocks_for(n, bits), bits)
-    carried = ["fp", "node"] + ["wide"] * (wide_bits is not None)
-    keyed = distinct.select(*carried, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("mask", "key"))
-    keyed = keyed.withColumn("g", F.xxhash64("mask", "key"))
     large = materialise(keyed.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK), "simhash-large")
     if large.limit(1).count():
         chunks = F.ceil(F.coalesce("m", F.lit(1)) / F.lit(CHUNK)).cast("int")
@@ -180,7 +171,15 @@ def close_links(distinct: DataFrame, bits: int, wide_bits: int | None = None) ->
         keyed = keyed.join(small(large), "g", "left").withColumn("c", chunks).withColumn("i", mine)
         keyed = keyed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         keyed = keyed.withColumn("g", F.when(F.col("c") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j"))))
-    return keyed.select("g", *carried).repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_links(bits, wide_bits)), "u long, v long")
+    return keyed.select("g", signature, "node").repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_links(bits, signature)), "u long, v long")
+
+
+def close_links(distinct: DataFrame, bits: int) -> DataFrame:
+    """Links (u, v) between nodes of `distinct` (node, fp) that connect all at `bits` or fewer differing bits."""
+    n = distinct.count()
+    masks = block_masks(blocks_for(n, bits), bits)
+    keyed = distinct.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("mask", "key"))
+    return bucket_links(keyed.withColumn("g", F.xxhash64("mask", "key")), bits, "fp")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -222,8 +221,25 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return fps.join(lookup, "fp").select("id", "fp", "component")
 
 
-#: near_duplicates(): lanes of 64 bits of the wide fingerprint, bits in which the narrow one may differ, and the seeds' spread.
-LANES, WORD_BITS = 8, 8
+#: near_duplicates(): lanes of 64 bits of the wide fingerprint; MinHash bands that retrieve pairs, and MinHashes of a band.
+LANES, BANDS, ROWS = 8, 16, 4
+_ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_FLIP = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
+
+
+def retrieval_probability(similarity: float) -> float:
+    """Chance that two sets with this Jaccard similarity share a band."""
+    return 1 - (1 - similarity**ROWS) ** BANDS
+
+
+def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per run of `hashes` (starts and end in `bounds`), one key for each band; zeros for an empty run."""
+    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        for i, (f, o) in enumerate(zip(_FLIP, _ODD)):
+            out[full, i // ROWS] = mix(out[full, i // ROWS] + np.minimum.reduceat((hashes ^ f) * o, bounds[full]))
+    return out
 
 
 def expected_bits(similarity: float, size: int, spread: float = 1.65) -> int:
@@ -237,9 +253,6 @@ def _wide(words: int):
         for batch in by_bytes(batches, "text", 1 << 20):
             t = tokens(batch.column(1), lower=True, punctuation=False)
             n = np.bincount(t.owner, minlength=t.rows)
-            # distinct words of each text: of few but frequent words the rest still counts
-            first = np.sort(np.unique(mix(t.hashes + t.owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1])
-            narrow = majority(t.hashes[first], np.searchsorted(t.owner[first], np.arange(t.rows + 1)))
             h, at = shingles(t, words)
             owner = t.owner[at]
             short = np.flatnonzero((n > 0) & (n < words))
@@ -253,7 +266,9 @@ def _wide(words: int):
             lanes = np.stack([majority(mix(h + np.uint64(i + 1)), bounds) for i in range(LANES)], axis=1)
             rows = np.ascontiguousarray(lanes, "<u8").tobytes()
             wide = [rows[8 * LANES * i : 8 * LANES * (i + 1)] for i in range(t.rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(narrow.view(np.int64)), pa.array(wide, pa.binary())], names=["id", "fp", "wide"])
+            keys = band_keys(h, bounds).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(wide, pa.binary())], names=["id", "keys", "wide"])
 
     return run
 
@@ -261,16 +276,17 @@ def _wide(words: int):
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) per row; rows are linked whose `words`-word shingles have about this Jaccard similarity or more.
 
-    Texts this similar share nearly all words, so a 64-bit SimHash of the distinct words differs in few bits and finds
-    the pairs by pigeonhole blocks; a SimHash of LANES * 64 bits over the shingles verifies them: at most as many bits
-    may differ as at that similarity, plus 1.65 standard deviations. Words are runs of letters and digits, A-Z lower-
-    cased; texts without any are alike. Null texts count as empty; rows without an id are never linked (component null).
+    Pairs that share one of BANDS bands of ROWS MinHashes of the shingles are compared, over 0.999 of those at 0.8,
+    whatever was edited; a SimHash of LANES * 64 bits over the shingles verifies them: at most as many bits may differ as
+    at that similarity, plus 1.65 standard deviations. Words are runs of letters and digits, A-Z lower-cased; texts
+    without any are alike. Null texts count as empty; rows without an id are never linked (component null).
     """
-    fps = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_wide(words)), "id long, fp long, wide binary"), "near-fingerprints")
-    distinct = materialise(fps.where("id is not null").groupBy("fp", "wide").agg(F.min("id").alias("node")), "near-distinct")
-    roots = components(close_links(distinct, WORD_BITS, expected_bits(similarity, 64 * LANES)))
-    lookup = distinct.join(roots, "node", "left").select("fp", "wide", F.coalesce("root", "node").alias("component"))
-    return fps.join(lookup, ["fp", "wide"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    fps = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_wide(words)), "id long, keys array<long>, wide binary"), "near-fingerprints")
+    distinct = materialise(fps.where("id is not null").groupBy("keys", "wide").agg(F.min("id").alias("node")), "near-distinct")
+    keyed = distinct.select("wide", "node", F.posexplode("keys").alias("band", "key")).withColumn("g", F.xxhash64("band", "key"))
+    roots = components(bucket_links(keyed, expected_bits(similarity, 64 * LANES), "wide"))
+    lookup = distinct.join(roots, "node", "left").select("keys", "wide", F.coalesce("root", "node").alias("component"))
+    return fps.join(lookup, ["keys", "wide"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

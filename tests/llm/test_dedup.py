@@ -159,3 +159,52 @@ def test_near_dedup(spark):
     left = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame([(i, t, 0, "") for i, t in rows], SCHEMA)).collect()}
     assert left == {i for i, _ in rows} - near
     assert clean <= left
+
+
+def shingle_set(text, words=5):
+    w = re.findall(r"[^\W_]+", lower(text))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def linked(spark, pairs):
+    """Which pairs of texts near_duplicates() links."""
+    rows = [(2 * i + j, t, 0, "") for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    c = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    return [c[2 * i] == c[2 * i + 1] for i in range(len(pairs))]
+
+
+def test_near_duplicates_with_other_passages(spark):
+    """Passages of other words of the same vocabulary, appended, cut off or replaced as a block, against brute force."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    words = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    pairs, kinds = [], []
+    for kind in ("appended", "cut off", "replaced"):
+        for similarity in (0.8, 0.82, 0.85, 0.9, 0.95, 0.3):
+            for n in [100, 300, 1000] * 13:
+                base, part = words(n), round(n * (1 - similarity))
+                if kind == "appended":
+                    copy = base + words(round(n / similarity) - n)
+                elif kind == "cut off":
+                    copy = base[: n - part]
+                else:
+                    part, at = round(n * (1 - similarity) / (1 + similarity)), rnd.randrange(n // 2)
+                    copy = base[:at] + words(part) + base[at + part :]
+                pairs.append((" ".join(base), " ".join(copy)))
+                kinds.append(kind)
+    got = linked(spark, pairs)
+    true = [jaccard(*p) for p in pairs]
+    for kind in ("appended", "cut off", "replaced"):
+        for low, high, least in ((0.8, 0.84, 0.9), (0.84, 0.88, 0.95), (0.88, 1, 0.99)):
+            found = [g for g, t, k in zip(got, true, kinds) if k == kind and low <= t < high]
+            assert len(found) >= 20 and sum(found) >= least * len(found), (kind, low, sum(found), len(found))
+    assert not [t for g, t in zip(got, true) if g and t < 0.45]
+
+
+def test_bands_retrieve_nearly_all():
+    assert simhash.retrieval_probability(0.8) > 0.999
