@@ -262,6 +262,9 @@ def _wide(words: int):
                 owner, h = np.r_[owner, short], np.r_[h, whole]
                 order = np.argsort(owner, kind="stable")
                 owner, h = owner[order], h[order]
+            # distinct shingles of each text: a repeated line counts once
+            first = np.sort(np.unique(mix(h + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1])
+            owner, h = owner[first], h[first]
             bounds = np.searchsorted(owner, np.arange(t.rows + 1))
             lanes = np.stack([majority(mix(h + np.uint64(i + 1)), bounds) for i in range(LANES)], axis=1)
             rows = np.ascontiguousarray(lanes, "<u8").tobytes()
@@ -277,7 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, component) per row; rows are linked whose `words`-word shingles have about this Jaccard similarity or more.
 
     Pairs that share one of BANDS bands of ROWS MinHashes of the shingles are compared, over 0.999 of those at 0.8,
-    whatever was edited; a SimHash of LANES * 64 bits over the shingles verifies them: at most as many bits may differ as
+    whatever was edited; a SimHash of LANES * 64 bits over the distinct shingles verifies them: at most as many bits may differ as
     at that similarity, plus 1.65 standard deviations. Words are runs of letters and digits, A-Z lower-cased; texts
     without any are alike. Null texts count as empty; rows without an id are never linked (component null).
     """

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -208,3 +209,21 @@ def test_near_duplicates_with_other_passages(spark):
 
 def test_bands_retrieve_nearly_all():
     assert simhash.retrieval_probability(0.8) > 0.999
+
+
+def test_repeated_lines_count_once(spark):
+    rnd = random.Random(12)
+    words = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    same, other = [], []
+    for _ in range(8):
+        for n, times in ((300, 5), (300, 10), (300, 20), (300, 40), (1000, 20), (1000, 60)):
+            base = words(n)
+            at = rnd.randrange(n - 12)
+            same.append((" ".join(base), " ".join(base[: at + 12] + base[at : at + 12] * times + base[at + 12 :])))
+        line = words(12) * 20
+        other.append((" ".join(words(300) + line), " ".join(words(300) + line)))
+    assert all(jaccard(*p) > 0.95 for p in same) and all(jaccard(*p) < 0.1 for p in other)
+    assert all(linked(spark, same)) and not any(linked(spark, other))
+    texts = pa.RecordBatch.from_pydict({"id": [0, 1], "text": list(other[0])})
+    wide = [int.from_bytes(x, "little") for b in simhash._wide(5)(iter([texts])) for x in b.column("wide").to_pylist()]
+    assert (wide[0] ^ wide[1]).bit_count() > simhash.expected_bits(0.8, 64 * simhash.LANES)
