@@ -116,28 +116,54 @@ class Index:
             if cache is None or cache[0] != row:
                 cache = (row, word_shingles(_words(texts[row], t, row)), int(np.searchsorted(owner, row)))
             own = self.shingles[name]
+            span = 2 * len(own) + 2 * WORDS
+            around: list[list[int]] = []
             for a, b in runs:
-                a, b = a - cache[2], b - cache[2]
-                yield from self._verified(row, name, own, cache[1], a, b)
-
-    def _verified(self, row, name, own, found, a, b):
-        """Occurrences within a region: the template's shingles in order, as far apart as the template is long at most."""
-        run: list[tuple[int, int]] = []
-
-        def close():
-            if run and len(run) >= self.containment * len(own) - 1e-9:
-                return [(row, name, run[0][0], run[-1][0] + WORDS, round(len(run) / len(own), 6))]
-            return []
-
-        for i in range(a, min(b, len(found))):
-            k = own.get(found[i])
-            if k is None:
-                continue
-            if run and (k <= run[-1][1] or i - run[0][0] > 2 * len(own) + 2 * WORDS):
-                yield from close()
-                run = []
-            run.append((i, k))
-        yield from close()
+                a, b = max(0, a - cache[2] - span), min(b - cache[2] + span, len(cache[1]))
+                if around and a <= around[-1][1]:
+                    around[-1][1] = max(b, around[-1][1])
+                else:
+                    around.append([a, b])
+            for a, b in around:
+                hits = [(i, k) for i in range(a, b) if (k := own.get(cache[1][i])) is not None]
+                for first, last, n in occurrences(hits, self.containment * len(own) - 1e-9, span, len(own)):
+                    yield row, name, first, last + WORDS, round(n / len(own), 6)
+
+
+def occurrences(hits: list[tuple[int, int]], least: float, span: int, length: int) -> list[tuple[int, int, int]]:
+    """(first, last, distinct shingles) of runs of `hits` (place, shingle; by place) with `least` distinct shingles or more.
+
+    A run is `span` places long at most, whatever the order of its shingles, and runs do not overlap. From the
+    first run that has enough on, until `length` places bring no more shingles, the one with the most is taken, then the
+    shortest; what lies before it and after it is searched for itself.
+    """
+    out, todo = [], [(0, len(hits))]
+    while todo:
+        start, stop = todo.pop()
+        count: dict[int, int] = defaultdict(int)
+        best, horizon, low, begin = None, None, start, start
+        for r in range(start, stop):
+            place, k = hits[r]
+            if horizon is not None and place > horizon:
+                break
+            count[k] += 1
+            while place - hits[low][0] > span or count[hits[low][1]] > 1:
+                old = hits[low][1]
+                count[old] -= 1
+                if not count[old]:
+                    del count[old]
+                low += 1
+            if len(count) >= least:
+                if best is None:
+                    begin = low
+                if best is None or -len(count) < best[0]:
+                    horizon = place + length
+                now = (-len(count), place - hits[low][0], low, r)
+                best = now if best is None else min(best, now)
+        if best is not None:
+            out.append((hits[best[2]][0], hits[best[3]][0], -best[0]))
+            todo += [(best[3] + 1, stop), (begin, best[2])]
+    return sorted(out)
 
 
 def _scan(templates: dict[str, str], containment: float):
@@ -154,9 +180,10 @@ def _scan(templates: dict[str, str], containment: float):
 
 
 def license_matches(df: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, template, start_word, end_word, containment) per match: at least this share of the template's 5-word shingles, in order.
+    """(id, template, start_word, end_word, containment) per match: at least this share of the template's distinct 5-word shingles.
 
-    Words are runs of letters and digits, A-Z lower-cased. A row without matches, or with a null text, gives none; a row
+    The shingles of a match may come in any order, within about twice the template's length; matches of a template do not
+    overlap. Words are runs of letters and digits, A-Z lower-cased. A row without matches, or with a null text, gives none; a row
     may match several templates, and one several times. Null ids and repeated rows pass through; other columns are ignored.
     """
     kind = df.schema[id_col].dataType.simpleString()

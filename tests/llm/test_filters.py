@@ -146,3 +146,34 @@ def test_license_scan(spark):
 @pytest.mark.parametrize("size", [8, 16, 32, 64, 128, 256])
 def test_collisions_are_nearly_certain(size):
     assert min(license_scan.collision_probability(size, w) for w in range(max(5, size // 2 + 1), size + 1)) > 0.999
+
+
+def test_license_scan_of_changed_texts(spark):
+    """Exact copies are whole, and what still has 0.8 of the shingles is found wherever words are changed."""
+    rnd = random.Random(16)
+    noise = lambda n: ["".join(rnd.choice("abcdefg") for _ in range(4)) for _ in range(n)]
+    texts = [(name, t) for name, t in TEMPLATES.items()]
+    for name, t in TEMPLATES.items():
+        for n in [2, 3, 4] * 30:
+            w = re.findall(r"[^\W_]+", t)
+            for i in rnd.sample(range(len(w)), min(n, len(w))):
+                w[i] = "changed"
+            texts.append((name, " ".join(noise(rnd.randint(0, 40)) + w + noise(rnd.randint(0, 40)))))
+    header = TEMPLATES["gpl-3.0-header"]
+    texts.append(("gpl-3.0-header", f"{header} GNU General Public License GNU General Public License {header}"))
+    got = license_scan.license_matches(spark.createDataFrame(list(enumerate(x for _, x in texts)), "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.template): r for r in got}
+    for i, (name, t) in enumerate(texts):
+        assert {n for d, n in found if d == i} == brute_licenses(t), (i, name)
+        if i < len(TEMPLATES):
+            assert found[i, name].containment == 1 and (found[i, name].start_word, found[i, name].end_word) == (0, len(re.findall(r"[^\W_]+", t)))
+    assert [r.containment for r in got if r.doc_id == len(texts) - 1 and r.template == "gpl-3.0-header"] == [1, 1]
+
+
+def test_occurrences_do_not_shadow_each_other():
+    copy = lambda at, ids: [(at + k, k) for k in ids]
+    whole, part = list(range(10)), [0, 1, 2, 3, 5, 6, 7, 8]
+    assert license_scan.occurrences(copy(0, part) + copy(10, whole), 8, 30, 10) == [(0, 8, 8), (10, 19, 10)]
+    assert license_scan.occurrences(copy(0, whole) + copy(10, part), 8, 30, 10) == [(0, 9, 10), (10, 18, 8)]
+    assert license_scan.occurrences([(0, 5), (1, 4), (2, 3), (40, 2)], 3, 30, 10) == [(0, 2, 3)]
+    assert license_scan.occurrences([], 1, 30, 10) == []
