@@ -251,7 +251,7 @@ def expected_bits(similarity: float, size: int, spread: float = 1.65) -> int:
 def _wide(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            t = tokens(batch.column(1), lower=True, punctuation=False)
+            t = tokens(batch.column("text"), lower=True, punctuation=False)
             n = np.bincount(t.owner, minlength=t.rows)
             h, at = shingles(t, words)
             owner = t.owner[at]
@@ -271,7 +271,7 @@ def _wide(words: int):
             wide = [rows[8 * LANES * i : 8 * LANES * (i + 1)] for i in range(t.rows)]
             keys = band_keys(h, bounds).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(wide, pa.binary())], names=["id", "keys", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), keys, pa.array(wide, pa.binary())], names=["id", "digest", "keys", "wide"])
 
     return run
 
@@ -283,23 +283,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whatever was edited; a SimHash of LANES * 64 bits over the distinct shingles verifies them: at most as many bits may differ as
     at that similarity, plus 1.65 standard deviations. Words are runs of letters and digits, A-Z lower-cased; texts
     without any are alike. Null texts count as empty; rows without an id are never linked (component null).
+    Rows that share an id but not the text are judged each for itself; component is the smallest id of its group.
     """
-    fps = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_wide(words)), "id long, keys array<long>, wide binary"), "near-fingerprints")
-    distinct = materialise(fps.where("id is not null").groupBy("keys", "wide").agg(F.min("id").alias("node")), "near-distinct")
+    return _near(df, id_col, text_col, words, similarity).select("id", "component")
+
+
+def _near(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(id, digest, component) of near_duplicates(), with the hash of the text."""
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
+    fps = materialise(texts.select("id", "text", "digest").mapInArrow(tidy(_wide(words)), "id long, digest long, keys array<long>, wide binary"), "near-fingerprints")
+    distinct = fps.where("id is not null").groupBy("keys", "wide").agg(F.min("id").alias("least"))
+    distinct = materialise(distinct.withColumn("node", F.xxhash64("keys", "wide")), "near-distinct")
     keyed = distinct.select("wide", "node", F.posexplode("keys").alias("band", "key")).withColumn("g", F.xxhash64("band", "key"))
     roots = components(bucket_links(keyed, expected_bits(similarity, 64 * LANES), "wide"))
-    lookup = distinct.join(roots, "node", "left").select("keys", "wide", F.coalesce("root", "node").alias("component"))
-    return fps.join(lookup, ["keys", "wide"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    linked = materialise(distinct.select("node", "least").join(roots, "node"), "near-linked")
+    best = materialise(linked.groupBy("root").agg(F.min("least").alias("best")), "near-best")
+    lookup = distinct.join(linked.join(small(best), "root").select("node", "best"), "node", "left").select("keys", "wide", F.coalesce("best", "least").alias("component"))
+    return fps.join(lookup, ["keys", "wide"], "left").select("id", "digest", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `df` that stay, with all their columns: of each group of near duplicates the one with the smallest id.
 
-    Rows without an id stay; rows that repeat the id of one that stays, stay with it.
+    Rows without an id stay; rows of the group that repeat the id of the one that stays, stay with it. Of rows that share
+    an id only those go whose own text is a near duplicate.
     """
-    found = near_duplicates(df, id_col, text_col, words, similarity)
-    gone = materialise(found.where("component is not null and id <> component").select(F.col("id").alias("__gone")).distinct(), "near-gone")
-    return df.join(small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    found = _near(df, id_col, text_col, words, similarity)
+    gone = materialise(found.where("component is not null and id <> component").select(F.col("id").alias("__gone"), F.col("digest").alias("__digest")).distinct(), "near-gone")
+    own = F.xxhash64(F.col(text_col).cast("string"))
+    return df.join(small(gone), (F.col(id_col) == F.col("__gone")) & (own == F.col("__digest")), "left_anti")
 
 
 def hex16(fp) -> Column:

@@ -224,6 +224,16 @@ def test_repeated_lines_count_once(spark):
         other.append((" ".join(words(300) + line), " ".join(words(300) + line)))
     assert all(jaccard(*p) > 0.95 for p in same) and all(jaccard(*p) < 0.1 for p in other)
     assert all(linked(spark, same)) and not any(linked(spark, other))
-    texts = pa.RecordBatch.from_pydict({"id": [0, 1], "text": list(other[0])})
+    texts = pa.RecordBatch.from_pydict({"id": [0, 1], "text": list(other[0]), "digest": [0, 1]})
     wide = [int.from_bytes(x, "little") for b in simhash._wide(5)(iter([texts])) for x in b.column("wide").to_pylist()]
     assert (wide[0] ^ wide[1]).bit_count() > simhash.expected_bits(0.8, 64 * simhash.LANES)
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    rnd = random.Random(14)
+    words = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    base = words(300)
+    unique, one, copy = " ".join(words(300)), " ".join(base), " ".join(base[:-1] + ["zz"])
+    rows = [(3, one), (5, copy), (5, unique), (5, unique), (None, copy), (9, None), (9, unique.upper()), (7, " ")]
+    out = simhash.near_dedup(spark.createDataFrame([(i, t, 0, "") for i, t in rows], SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(3, one), (5, unique), (5, unique), (None, copy), (7, " ")])
