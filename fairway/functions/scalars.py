@@ -82,17 +82,44 @@ def override(new: Column, stored: Column) -> Column:
     return F.when(new.isNotNull() & ~new.cast("string").isin("", "0", "0.0", "0.00"), new).otherwise(stored)
 
 
-@F.pandas_udf(DoubleType())
-def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks similarity of two texts, first argument first: it is not symmetric. Either empty: 0."""
-    cache: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a, b):
-        if pair not in cache:
-            x, y = pair
-            cache[pair] = SequenceMatcher(None, x, y).ratio() if x and y else 0.0
-        out.append(cache[pair])
-    return pd.Series(out, dtype="float64")
+def text_or_null(c: Column) -> Column:
+    """A number as text; null where it is null or zero."""
+    return F.when(c != 0, c.cast("string"))
+
+
+class Ratios:
+    """Matching-blocks similarities, first text first: they are not symmetric. What is known of a second text is kept for the next first one."""
+
+    def __init__(self, least: float = 0.0, kept: int = 20_000):
+        self.least, self.kept, self.known = least, kept, {}
+
+    def __call__(self, a: str | None, b: str | None) -> float:
+        """The ratio; 0 where either is empty, or where the letters alone show that it is below `least`."""
+        if not a or not b:
+            return 0.0
+        m = self.known.get(b)
+        if m is None:
+            if len(self.known) >= self.kept:
+                self.known.clear()
+            m = self.known[b] = SequenceMatcher(None, "", b)
+        m.set_seq1(a)
+        if self.least and (m.real_quick_ratio() < self.least or m.quick_ratio() < self.least):
+            return 0.0
+        return m.ratio()
+
+
+def ratio_udf(least: float = 0.0):
+    """The similarity as a function of two columns; ratios below `least` may come out as 0."""
+
+    @F.pandas_udf(DoubleType())
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        ratio = Ratios(least)
+        return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return similarity
+
+
+similarity_ratio = ratio_udf()
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
@@ -102,5 +129,13 @@ def ratio_bound(a: Column, b: Column) -> Column:
 
 
 def register(spark) -> None:
-    """The scalar functions for use in SQL text."""
+    """The functions for use in SQL text: similarity_ratio, haversine_km, waterway_km, tonnage_of and phone_of."""
     spark.udf.register("similarity_ratio", similarity_ratio)
+    sql = {
+        "haversine_km(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE": f"{EARTH_KM}D * 2 * atan2(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)), sqrt(1 - (pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))",
+        "waterway_km(straight DOUBLE) RETURNS DOUBLE": f"straight * {WINDING}D",
+        "tonnage_of(t STRING) RETURNS DOUBLE": r"try_cast(nullif(regexp_extract(regexp_replace(regexp_replace(t, '万吨', '0000'), '千吨', '000'), '([0-9]+([.][0-9]+)?)', 1), '') AS DOUBLE)",
+        "phone_of(t STRING) RETURNS STRING": r"nullif(regexp_extract(t, '1[3-9][0-9]{9}', 0), '')",
+    }
+    for head, body in sql.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

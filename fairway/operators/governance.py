@@ -11,8 +11,8 @@ ADMINS = ("SUPER_ADMIN", "ADMIN")
 
 
 def may(roles: Column, *allowed: str) -> Column:
-    """Whether an array of role codes has SUPER_ADMIN or one of the allowed."""
-    return F.array_contains(roles, "SUPER_ADMIN") | F.arrays_overlap(roles, F.array(*map(F.lit, allowed)))
+    """Whether an array of role codes has SUPER_ADMIN or one of the allowed; null roles and null codes may nothing."""
+    return F.coalesce(F.exists(roles, lambda r: F.coalesce(r.isin("SUPER_ADMIN", *allowed), F.lit(False))), F.lit(False))
 
 
 def role_codes(users: DataFrame, links: DataFrame, roles: DataFrame) -> DataFrame:
@@ -26,18 +26,48 @@ def decide(records: DataFrame, decisions: DataFrame, self_check: tuple[str, ...]
 
     The first decision on a record by time, then auditor, counts; those after it find the record no longer pending and
     so do not. Only pending records change, only by admins, and none but SUPER_ADMIN decides on their own submission for
-    the decisions in `self_check`. `reject_reason` tells why a decision did not count, and is null otherwise.
+    the decisions in `self_check`. `reject_reason` tells why a decision did not count, and is null otherwise. Deciders
+    without roles, null among them, have no permission; an unknown auditor counts as the submitter of a record without one.
     """
     first = decisions.withColumn("__n", F.row_number().over(Window.partitionBy("record_id").orderBy("decided_at", "auditor_id"))).where("__n = 1")
     d = first.select(F.col("record_id").alias("id"), "decision", F.col("auditor_id").alias("__auditor"), "roles", F.col("remark").alias("__remark"))
-    own = (F.col("__auditor") == F.col("submitter_id")) & F.col("decision").isin(*self_check) & ~F.array_contains("roles", "SUPER_ADMIN")
-    reason = F.when(F.col("decision").isNull(), None).when(F.col("audit_result") != "PENDING", "not pending").when(~may(F.col("roles"), *ADMINS), "no permission").when(own, "own submission")
+    own = F.col("__auditor").eqNullSafe(F.col("submitter_id")) & F.col("decision").isin(*self_check) & ~may(F.col("roles"))
+    reason = F.when(F.col("decision").isNull(), None).when(~F.col("audit_result").eqNullSafe("PENDING"), "not pending").when(~may(F.col("roles"), *ADMINS), "no permission").when(own, "own submission")
     out = records.join(d, "id", "left").withColumn("reject_reason", reason)
     takes = F.col("decision").isNotNull() & F.col("reject_reason").isNull()
     new = F.when(takes, F.when(F.col("decision") == "APPROVE", "APPROVED").otherwise("REJECTED")).otherwise(F.col("audit_result"))
     return out.select(*[c for c in records.columns if c not in ("audit_result", "auditor_id", "audit_remark")], new.alias("audit_result"), F.when(takes, F.col("__auditor")).alias("auditor_id"), F.when(takes, F.col("__remark")).alias("audit_remark"), "reject_reason")
 
 
+#: Decisions that none but SUPER_ADMIN may take on their own submission, where entities are approved directly.
+SELF_CHECKS = {"NODE": ("APPROVE", "REJECT"), "VESSEL": ("APPROVE",), "VESSEL_TYPE": ()}
+
+
+def decide_directly(rows: DataFrame, decisions: DataFrame, target_type: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, audit records) after direct decisions on entities (id, decision, auditor_id, roles, remark, decided_at).
+
+    audit_status becomes 1 for APPROVE and 2 for REJECT, whatever it was; of several decisions on an entity the last one by
+    time, then auditor, counts. Only admins decide, and none but SUPER_ADMIN on their own submission for the decisions of
+    SELF_CHECKS. Rows without submitter_id have none. Each decision that counts gives one record; others change nothing.
+    """
+    last = decisions.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("decided_at"), F.desc("auditor_id")))).where("__n = 1")
+    d = last.select("id", F.col("decision").alias("__decision"), F.col("auditor_id").alias("__auditor"), F.col("roles").alias("__roles"), F.col("remark").alias("__remark"), F.col("decided_at").alias("__at"))
+    submitter = F.col("submitter_id") if "submitter_id" in rows.columns else F.lit(None)
+    own = submitter.isNotNull() & (F.col("__auditor") == submitter) & F.col("__decision").isin(*SELF_CHECKS[target_type]) & ~may(F.col("__roles"))
+    joined = rows.join(d, "id", "left").withColumn("__takes", F.coalesce(F.col("__decision").isin("APPROVE", "REJECT") & may(F.col("__roles"), *ADMINS) & ~F.coalesce(own, F.lit(False)), F.lit(False)))
+    status = F.when(F.col("__decision") == "APPROVE", 1).otherwise(2)
+    after = joined.withColumn("audit_status", F.when(F.col("__takes"), status).otherwise(F.col("audit_status"))).select(rows.columns)
+    data = F.to_json(F.struct(status.alias("audit_status"), F.col("__remark").alias("remark")))
+    records = joined.where("__takes").select(F.lit(target_type).alias("target_type"), F.col("id").alias("target_id"), F.col("__decision").alias("action"), F.lit(None).cast("string").alias("before_data"), data.alias("after_data"), F.lit("APPROVED").alias("audit_result"), F.col("__auditor").alias("submitter_id"), F.col("__at").alias("created_at"))
+    return after, records
+
+
+def pending_for(records: DataFrame, target_type: str, target_id: int) -> DataFrame:
+    """The pending record of a target: no row, or one, of several the newest by id."""
+    mine = (F.col("target_type") == target_type) & (F.col("target_id") == target_id) & (F.col("audit_result") == "PENDING")
+    return records.where(mine).orderBy(F.desc("id")).limit(1)
+
+
 def system_aliases(approved: DataFrame) -> DataFrame:
     """Optional step after approval of nodes (id, name): each name becomes an alias of the system, priority 100."""
     return approved.select(F.col("id").alias("node_id"), F.col("name").alias("alias_name"), F.lit("SYSTEM").alias("alias_type"), F.lit(100).alias("priority"), F.lit(1).alias("status"))

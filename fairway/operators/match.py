@@ -6,14 +6,12 @@ and whose lengths alone don't rule them out, reach the similarity function in Py
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fairway.functions.scalars import percent_half_even, ratio_bound, similarity_ratio, strip_unicode
+from fairway.functions.scalars import Ratios, percent_half_even, percent_truncated, ratio_bound, ratio_udf, strip_unicode
 
 #: Rows of a dictionary that may be broadcast.
 DICTIONARY_ROWS = 200_000
@@ -30,19 +28,21 @@ def dictionary(entities: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     return entities.select("id", "name").join(lists, "id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
-@F.pandas_udf(StructType([StructField("score", IntegerType()), StructField("via", StringType())]))
-def _fuzzy(text: pd.Series, name: pd.Series, aliases: pd.Series) -> pd.DataFrame:
-    def ratio(a: str, b: str) -> int:
-        return int(SequenceMatcher(None, a, b).ratio() * 100) if a and b else 0
+def _fuzzy(least: float):
+    """(ratio, via) of the name or the alias that is most similar to a text; the name where an alias is not better in whole percent."""
+
+    @F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("via", StringType())]))
+    def best(text: pd.Series, name: pd.Series, aliases: pd.Series) -> pd.DataFrame:
+        ratio, rows = Ratios(least), []
+        for t, n, others in zip(text, name, aliases):
+            top, via = ratio(t, n), "fuzzy"
+            for a in others if others is not None else ():
+                if int((r := ratio(t, a)) * 100) > int(top * 100):
+                    top, via = r, "alias_fuzzy"
+            rows.append((top, via))
+        return pd.DataFrame(rows, columns=["ratio", "via"])
 
-    rows = []
-    for t, n, others in zip(text, name, aliases):
-        best, via = ratio(t, n), "fuzzy"
-        for a in others if others is not None else ():
-            if (score := ratio(t, a)) > best:
-                best, via = score, "alias_fuzzy"
-        rows.append((best, via))
-    return pd.DataFrame(rows, columns=["score", "via"])
+    return best
 
 
 def rule_score(text: Column, name: Column, aliases: Column) -> Column:
@@ -69,16 +69,16 @@ def match_entities(texts: DataFrame, entities: DataFrame, text_col: str = "text"
     found = pairs.where("__r is not null").select("text", "id", "name", "__r.score", "__r.via")
     if fuzzy:
         rest = pairs.where("__r is null")
+        least = threshold / 100 - 1e-9 if prune else 0.0
         if prune:
-            least = threshold / 100 - 1e-9
             rest = rest.where((ratio_bound(F.col("__t"), F.col("__n")) >= least) | F.exists("__a", lambda a: ratio_bound(F.col("__t"), a) >= least))
-        scored = rest.withColumn("__f", _fuzzy("__t", "__n", "__a"))
-        found = found.unionByName(scored.select("text", "id", "name", "__f.score", "__f.via"))
+        scored = rest.withColumn("__f", _fuzzy(least)("__t", "__n", "__a"))
+        found = found.unionByName(scored.select("text", "id", "name", percent_truncated(F.col("__f.ratio")).alias("score"), "__f.via"))
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "id"))
     return found.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
-def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key: str, text_col: str = "text", threshold: float = 0.5, top_k: int = 5, prune: bool = True) -> DataFrame:
+def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key: str, text_col: str = "text", threshold: float = 0.5, top_k: int = 5, prune: bool = True, fuzzy: bool = True) -> DataFrame:
     """(text, id, name, matched, score, priority, rank): the second matcher, over active entities and active aliases.
 
     Alias rows come before name rows (priority 5): equal 1.0, containment 0.85, else the similarity; both sides are
@@ -95,9 +95,13 @@ def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key:
     rule = F.when(F.col("matched") == "", 0.0).when(t == m, 1.0).when(F.contains(t, m) | F.contains(m, t), 0.85)
     pairs = pairs.withColumn("__s", rule)
     rest = pairs.where("__s is null")
+    least = threshold - 1e-9 if prune else 0.0
     if prune:
-        rest = rest.where(ratio_bound(t, m) >= threshold - 1e-9)
-    scored = pairs.where("__s is not null").unionByName(rest.withColumn("__s", similarity_ratio(t, m))).where(F.col("__s") >= threshold)
+        rest = rest.where(ratio_bound(t, m) >= least)
+    scored = pairs.where("__s is not null")
+    if fuzzy:
+        scored = scored.unionByName(rest.withColumn("__s", ratio_udf(least)(t, m)))
+    scored = scored.where(F.col("__s") >= threshold)
     scored = scored.withColumn("score", percent_half_even(F.col("__s")))
     own = Window.partitionBy("text", "id")
     place = F.struct("__kind", "__order")

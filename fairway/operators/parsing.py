@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairway.functions.scalars import clean_text, extract_phone, mean_truncated, normalize_tonnage, override, pair_mean, safe_date
-from fairway.operators.match import candidates, match_entities
+from fairway.functions.scalars import clean_text, extract_phone, mean_truncated, normalize_tonnage, override, pair_mean, safe_date, text_or_null
+from fairway.operators.match import candidates, match_entities, match_names
 
 Extractor = Callable[[DataFrame], DataFrame]
 FIELDS = ("origin", "dest", "commodity")
@@ -33,21 +33,53 @@ def extract_by_rules(messages: DataFrame) -> DataFrame:
     )
 
 
+def _linked(out: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """Messages with id, confidence and candidates of each field; `found` has a field's candidates() by text."""
+    for field, c in found.items():
+        own = c.select(F.col("text").alias(f"{field}_text"), F.col("matched_id").alias(f"{field}_id"), F.col("confidence").alias(f"{field}_confidence"), F.col("candidates").alias(f"{field}_candidates"))
+        out = out.join(own, f"{field}_text", "left").withColumn(f"{field}_confidence", F.coalesce(f"{field}_confidence", F.lit(0)))
+    return out
+
+
+def _places(out: DataFrame) -> DataFrame:
+    """The texts of both ends of all messages, to be matched in one pass."""
+    return out.select(F.explode(F.array("origin_text", "dest_text")).alias("text"))
+
+
 def parse_messages(messages: DataFrame, nodes: DataFrame, commodities: DataFrame, extract: Extractor = extract_by_rules, threshold: int = 60) -> DataFrame:
     """Parse results of messages: texts, matches with candidates, overall confidence, status.
 
-    Blank messages fail; others wait for confirmation, with confidence 0 where nothing matched.
+    Blank messages fail; others wait for confirmation, with confidence 0 where nothing matched. The distinct texts of
+    origins and destinations meet the nodes once, those of goods the commodities.
     """
     out = extract(messages)
-    for field in FIELDS:
-        entities = commodities if field == "commodity" else nodes
-        c = candidates(match_entities(out, entities, f"{field}_text", threshold)).select(F.col("text").alias(f"{field}_text"), F.col("matched_id").alias(f"{field}_id"), F.col("confidence").alias(f"{field}_confidence"), F.col("candidates").alias(f"{field}_candidates"))
-        out = out.join(c, f"{field}_text", "left").withColumn(f"{field}_confidence", F.coalesce(f"{field}_confidence", F.lit(0)))
+    ends = candidates(match_entities(_places(out), nodes, "text", threshold))
+    goods = candidates(match_entities(out.select(F.col("commodity_text").alias("text")), commodities, "text", threshold))
+    out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods})
     overall = mean_truncated(*[F.col(f"{f}_confidence") for f in FIELDS])
     blank = clean_text(F.col("raw_text")) == ""
     return out.withColumn("overall_confidence", overall).withColumn("parse_status", F.when(blank, "PARSE_FAILED").otherwise("PENDING_CONFIRM"))
 
 
+def parse_blended(messages: DataFrame, nodes: DataFrame, node_aliases: DataFrame, commodities: DataFrame, commodity_aliases: DataFrame, extract: Extractor) -> DataFrame:
+    """Parse results of the older pipeline, over active entities and aliases of the second matcher.
+
+    `extract` adds the texts, tonnage and the confidences origin_extracted, dest_extracted, commodity_extracted and
+    tonnage_extracted; null counts as 0. A field's confidence is the mean of extraction and match where it matched, else
+    the extraction's; the overall one is the mean of the three and the tonnage's, each cut to a whole number.
+    """
+    out = extract(messages)
+    named = ("id", "name", "matched", "score", "priority")
+    ends = candidates(match_names(_places(out), nodes, node_aliases, "node_id"), named)
+    goods = candidates(match_names(out.select(F.col("commodity_text").alias("text")), commodities, commodity_aliases, "commodity_id"), named)
+    out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods})
+    given = lambda f: F.coalesce(F.col(f"{f}_extracted"), F.lit(0)).cast("int")
+    out = out.withColumns({f"{f}_confidence": blended_confidence(given(f), F.col(f"{f}_id"), F.col(f"{f}_confidence")) for f in FIELDS})
+    overall = mean_truncated(*[F.col(f"{f}_confidence") for f in FIELDS], given("tonnage"))
+    texts = {"tonnage_text": text_or_null(F.col("tonnage")), "tonnage_confidence": given("tonnage"), "overall_confidence": overall, "parse_status": F.lit("PENDING_CONFIRM")}
+    return out.withColumns(texts)
+
+
 def blended_confidence(extracted: Column, matched_id: Column, matched: Column) -> Column:
     """A field's confidence in the older pipeline: the mean of both where it matched, else the extraction's."""
     return F.when(matched_id.isNotNull(), pair_mean(extracted, matched)).otherwise(extracted)

@@ -410,9 +410,28 @@ def match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q40_match_names")
 def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second matcher; tested against its rules in plain Python."""
+    return match.match_names(_asked(spark, sf_dir), *_named_goods(spark, sf_dir), "entity_id")
+
+
+def _named_goods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Goods and their aliases as tables of the second matcher; one in eleven of either is inactive."""
     g = _goods(spark, sf_dir)
-    aliases = g.select("id", F.posexplode("aliases").alias("i", "alias_name")).select((F.col("id") * 2 + F.col("i")).alias("id"), F.col("id").alias("entity_id"), "alias_name", F.pmod("id", F.lit(10)).cast("int").alias("priority"), F.lit(1).alias("status"))
-    return match.match_names(_asked(spark, sf_dir), g.select("id", "name", F.lit(1).alias("status")), aliases, "entity_id")
+    active = lambda k: F.when(F.pmod(F.col("id") + k, F.lit(11)) == 0, 0).otherwise(1).alias("status")
+    aliases = g.select("id", F.posexplode("aliases").alias("i", "alias_name")).select((F.col("id") * 2 + F.col("i")).alias("id"), F.col("id").alias("entity_id"), "alias_name", F.pmod("id", F.lit(10)).cast("int").alias("priority"), active(3))
+    return g.select("id", "name", active(0)), aliases
+
+
+_NAMED = f"""g AS ({_GOODS}), e AS (SELECT id, name FROM g WHERE id % 11 <> 0),
+al AS (SELECT id * 2 + i AS id, id AS entity_id, aliases[i + 1] AS alias_name, CAST(id % 10 AS INTEGER) AS priority FROM g, (SELECT unnest([0, 1]) AS i) WHERE (id + 3) % 11 <> 0)"""
+
+
+@query("q40b_name_rules", f"""WITH {_NAMED}, f AS (SELECT e.id, e.name, al.alias_name AS matched, al.priority, 0 AS kind, al.id AS ord FROM al JOIN e ON al.entity_id = e.id UNION ALL SELECT id, name, name, 5, 1, id FROM e),
+p AS (SELECT a.text, f.*, CASE WHEN matched = '' THEN 0 WHEN lower(trim(a.text)) = lower(trim(matched)) THEN 100 WHEN contains(lower(trim(a.text)), lower(trim(matched))) OR contains(lower(trim(matched)), lower(trim(a.text))) THEN 85 ELSE 0 END AS score FROM ({_ASKED}) a, f),
+s AS (SELECT *, row_number() OVER (PARTITION BY text, id ORDER BY score DESC, kind, ord) AS n, first_value(kind) OVER w AS k0, first_value(ord) OVER w AS o0 FROM p WHERE score >= 50 WINDOW w AS (PARTITION BY text, id ORDER BY kind, ord))
+SELECT text, id, name, matched, CAST(score AS INTEGER) AS score, priority, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, priority DESC, k0, o0) AS INTEGER) AS rank FROM s WHERE n = 1 QUALIFY rank <= 5""")
+def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second matcher by its rules alone: aliases before names, the best row of each entity, ranks by score and priority."""
+    return match.match_names(_asked(spark, sf_dir), *_named_goods(spark, sf_dir), "entity_id", fuzzy=False)
 
 
 @query("q41_match_unpruned")
@@ -442,16 +461,16 @@ def confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("parse_result_id", "origin_node_id", "tonnage", "status")
 
 
-@query("q44_audit", f"""WITH a AS ({_AUDIT}), d AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision, CASE WHEN event_id % 4 = 0 THEN user_id ELSE user_id + 1 END AS auditor, CASE event_id % 7 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' ELSE 'ADMIN' END AS role FROM events WHERE event_id % 2 = 0),
-j AS (SELECT a.id, audit_result, decision, auditor, CASE WHEN decision IS NULL THEN NULL WHEN audit_result <> 'PENDING' THEN 'not pending' WHEN role = 'VIEWER' THEN 'no permission' WHEN auditor = submitter_id AND decision = 'APPROVE' AND role <> 'SUPER_ADMIN' THEN 'own submission' END AS reject_reason FROM a LEFT JOIN d ON a.id = d.id)
+@query("q44_audit", f"""WITH a AS ({_AUDIT}), d AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision, CASE WHEN event_id % 4 = 0 THEN user_id ELSE user_id + 1 END AS auditor, CASE event_id % 7 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' WHEN 2 THEN NULL ELSE 'ADMIN' END AS role FROM events WHERE event_id % 2 = 0),
+j AS (SELECT a.id, audit_result, decision, auditor, CASE WHEN decision IS NULL THEN NULL WHEN audit_result <> 'PENDING' THEN 'not pending' WHEN role IS NULL OR role = 'VIEWER' THEN 'no permission' WHEN auditor = submitter_id AND decision = 'APPROVE' AND role <> 'SUPER_ADMIN' THEN 'own submission' END AS reject_reason FROM a LEFT JOIN d ON a.id = d.id)
 SELECT id, CASE WHEN decision IS NOT NULL AND reject_reason IS NULL THEN CASE WHEN decision = 'APPROVE' THEN 'APPROVED' ELSE 'REJECTED' END ELSE audit_result END AS audit_result, CASE WHEN decision IS NOT NULL AND reject_reason IS NULL THEN auditor END AS auditor_id, reject_reason FROM j""")
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records after approvals and rejections under the rules of role and own submission."""
+    """Records after approvals and rejections under the rules of role and own submission; some deciders have null roles, or a null among them."""
     r = A.audit_records(spark, sf_dir)
     i = F.col("event_id")
     e = table(spark, sf_dir, "events").where(i % 2 == 0)
-    role = F.when(i % 7 == 0, "SUPER_ADMIN").when(i % 7 == 1, "VIEWER").otherwise("ADMIN")
-    d = e.select(i.alias("record_id"), F.when(i % 3 == 0, "REJECT").otherwise("APPROVE").alias("decision"), F.when(i % 4 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("auditor_id"), F.array(role).alias("roles"), F.lit("ok").alias("remark"), F.col("ts").alias("decided_at"))
+    role = F.when(i % 7 == 0, "SUPER_ADMIN").when(i % 7 == 1, "VIEWER").when(i % 7 != 2, "ADMIN")
+    d = e.select(i.alias("record_id"), F.when(i % 3 == 0, "REJECT").otherwise("APPROVE").alias("decision"), F.when(i % 4 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("auditor_id"), F.when(i % 14 != 2, F.array(role)).alias("roles"), F.lit("ok").alias("remark"), F.col("ts").alias("decided_at"))
     later = d.withColumn("decision", F.lit("APPROVE")).withColumn("decided_at", F.col("decided_at") + F.expr("INTERVAL 1 HOUR"))
     return governance.decide(r, d.unionByName(later)).select("id", "audit_result", "auditor_id", "reject_reason")
 
@@ -518,10 +537,10 @@ def parse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "origin_id", "dest_id", "commodity_id", "tonnage", "overall_confidence", "parse_status")
 
 
-@query("q53_parse_status", """SELECT o_orderkey AS id, CAST(count(l_linenumber) AS BIGINT) AS parse_count, coalesce(string_agg(l_returnflag || CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber, l_returnflag), '') AS results FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 500 GROUP BY 1""")
+@query("q53_parse_status", """SELECT o_orderkey AS id, CAST(count(l_linenumber) AS BIGINT) AS parse_count, coalesce(string_agg(l_returnflag || CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber, l_returnflag), '') AS results FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with their parse results and the number of these, also where there is none."""
-    messages = A.orders(spark, sf_dir).where("id < 500").select("id")
+    messages = A.orders(spark, sf_dir).select("id")
     out = R.nested(messages, table(spark, sf_dir, "lineitem"), "id", "l_orderkey", ["l_linenumber", "l_returnflag"], "results")
     shown = F.transform("results", lambda r: F.concat(r["l_returnflag"], r["l_linenumber"].cast("string")))
     return out.select("id", F.size("results").cast("long").alias("parse_count"), F.array_join(shown, ",").alias("results"))
@@ -547,9 +566,97 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.orders(spark, sf_dir).where(R.equal_filters(id=77)).select("id", "status")
 
 
-@query("q57_foreign_keys", """SELECT l_orderkey AS order_id, l_suppkey AS node_id FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) AND l_shipdate >= TIMESTAMP '2001-06-01'""")
+@query("q57_foreign_keys", """SELECT l_orderkey AS order_id, l_suppkey AS node_id FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)""")
 def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose node is not among the active ones."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit(datetime.datetime(2001, 6, 1)).cast("timestamp_ntz"))
-    rows = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("node_id"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("node_id"))
     return changes.absent(rows, A.nodes(spark, sf_dir).where("status = 1").select(F.col("id").alias("node_id")), ["node_id"]).select("order_id", "node_id")
+
+
+@query("q58_parse_blended")
+def parse_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older pipeline over orders: both ends and the goods matched by the second matcher, confidences blended; tested by hand."""
+    n = A.nodes(spark, sf_dir)
+    goods, goods_aliases = _named_goods(spark, sf_dir)
+    i = F.col("id")
+    score = lambda k: F.pmod(i * k, F.lit(101)).cast("int")
+    texts = {
+        "origin_text": F.concat(F.lit("Supplier#"), F.lpad(F.pmod("customer_id", F.lit(100)).cast("string"), 9, "0")),
+        "dest_text": F.concat(F.lit("S"), F.pmod(i, F.lit(100)).cast("string")),
+        "commodity_text": F.when(F.pmod(i, F.lit(5)) != 0, "red widget"),
+        "tonnage": F.pmod(i, F.lit(9)).cast("double"),
+        "origin_extracted": score(3), "dest_extracted": score(5), "commodity_extracted": score(7), "tonnage_extracted": score(11),
+    }
+    out = parsing.parse_blended(A.orders(spark, sf_dir).select("id", "customer_id"), n, A.node_aliases(spark, sf_dir), goods, goods_aliases.withColumnRenamed("entity_id", "commodity_id"), lambda m: m.withColumns(texts))
+    return out.select("id", "origin_id", "dest_id", "commodity_id", "origin_confidence", "dest_confidence", "commodity_confidence", "overall_confidence", "tonnage_text", "parse_status")
+
+
+@query("q59_commodity_aliases", f"""WITH {_NAMED} SELECT al.id AS alias_id, alias_name, e.id AS commodity_id, e.name FROM al JOIN e ON al.entity_id = e.id""")
+def commodity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active aliases of active goods."""
+    goods, aliases = _named_goods(spark, sf_dir)
+    e = goods.where("status = 1").select(F.col("id").alias("commodity_id"), "name")
+    return aliases.where("status = 1").select(F.col("id").alias("alias_id"), "alias_name", F.col("entity_id").alias("commodity_id")).join(e, "commodity_id").select("alias_id", "alias_name", "commodity_id", "name")
+
+
+@query("q60_code_and_name", """SELECT p_partkey AS id, p_name AS name, p_brand AS code FROM part WHERE p_name ILIKE '%gear%' AND p_brand = (SELECT min(p_brand) FROM part WHERE p_brand LIKE 'Brand#1%')""")
+def code_and_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact code next to a name that contains a word; the code is looked up first."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("code"))
+    code = p.where(F.col("code").startswith("Brand#1")).agg(F.min("code")).first()[0]
+    return p.where(R.keyword(["name"], "gear") & R.equal_filters(code=code))
+
+
+@query("q61_page_id_desc", f"""SELECT id, name, status, (SELECT count(*) FROM ({_NODES}) WHERE status = 1) AS total FROM ({_NODES}) WHERE status = 1 ORDER BY id DESC LIMIT 20 OFFSET 20""")
+def page_id_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of active nodes, the newest ids first."""
+    return R.page_with_total(A.nodes(spark, sf_dir).where("status = 1"), [F.desc("id")], 2, 20).select("id", "name", "status", "total")
+
+
+@query("q62_alias_search_page", f"""WITH f AS (SELECT id, name FROM ({_NODES}) n WHERE name ILIKE '%1%' OR id IN (SELECT node_id FROM ({_ALIASES}) a WHERE alias_name ILIKE '%1%')) SELECT id, name, (SELECT count(*) FROM f) AS total FROM f ORDER BY id LIMIT 10 OFFSET 10""")
+def alias_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the nodes that a word finds by name or alias, by id."""
+    return R.page_with_total(R.by_name_or_alias(A.nodes(spark, sf_dir), A.node_aliases(spark, sf_dir), "1"), [F.asc("id")], 2, 10).select("id", "name", "total")
+
+
+@query("q63_pending_for_target", f"""SELECT id, target_type, submitter_id FROM ({_AUDIT}) WHERE target_type = 'NODE' AND submitter_id = 7 AND audit_result = 'PENDING' ORDER BY id DESC LIMIT 1""")
+def pending_for_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pending record of one target, here known by its submitter."""
+    a = A.audit_records(spark, sf_dir).withColumn("target_id", F.col("submitter_id"))
+    return governance.pending_for(a, "NODE", 7).select("id", "target_type", "submitter_id")
+
+
+_DIRECT = """SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS submitter_id, CASE s_suppkey % 3 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'APPROVE' END AS decision, CAST(s_suppkey % 25 AS BIGINT) AS auditor, CASE s_suppkey % 5 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' ELSE 'ADMIN' END AS role FROM supplier"""
+
+
+@query("q64_direct_decisions", f"""SELECT id, CAST(CASE WHEN decision IS NULL OR role = 'VIEWER' OR (auditor = submitter_id AND role <> 'SUPER_ADMIN') THEN 0 WHEN decision = 'APPROVE' THEN 1 ELSE 2 END AS INTEGER) AS audit_status FROM ({_DIRECT})""")
+def direct_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes approved or rejected directly, none by those who submitted them."""
+    n = A.nodes(spark, sf_dir).select("id", F.col("waterway_id").alias("submitter_id"), F.lit(0).alias("audit_status"))
+    i = F.col("id")
+    role = F.when(i % 5 == 0, "SUPER_ADMIN").when(i % 5 == 1, "VIEWER").otherwise("ADMIN")
+    d = n.where(i % 3 != 2).select("id", F.when(i % 3 == 0, "REJECT").otherwise("APPROVE").alias("decision"), F.pmod(i, F.lit(25)).alias("auditor_id"), F.array(role).alias("roles"), F.lit("ok").alias("remark"), F.lit(datetime.datetime(2024, 1, 1)).alias("decided_at"))
+    return governance.decide_directly(n, d, "NODE")[0].select("id", "audit_status")
+
+
+@query("q65_audit_log", """SELECT s_suppkey AS target_id, 'NODE' AS target_type, 'UPDATE' AS action, '{"id":' || s_suppkey || ',"status":' || CASE WHEN s_acctbal >= 0 THEN 1 ELSE 0 END || '}' AS before_data, '{"id":' || s_suppkey || ',"status":9}' AS after_data, 'PENDING' AS audit_result, CAST(3 AS BIGINT) AS submitter_id FROM supplier WHERE s_suppkey % 3 = 0""")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit records that a change of rows leaves, those that it didn't touch leaving none."""
+    n = A.nodes(spark, sf_dir).select("id", "status")
+    after = n.withColumn("status", F.when(F.pmod("id", F.lit(3)) == 0, 9).otherwise(F.col("status")))
+    out = governance.snapshots(n, after, "id", "NODE", "UPDATE", F.lit(3).cast("long"), F.current_timestamp())
+    return out.select("target_id", "target_type", "action", "before_data", "after_data", "audit_result", "submitter_id")
+
+
+@query("q66_number_texts", """SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 7 AS VARCHAR) END AS number_text, CAST(trunc(CAST(p_partkey % 97 AS DOUBLE) / 97 * 100) AS INTEGER) AS percent FROM part""")
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as text, zero as null; shares in percent, cut to whole numbers."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return p.select("id", X.text_or_null(F.pmod("id", F.lit(7))).alias("number_text"), X.percent_truncated(F.pmod("id", F.lit(97)).cast("double") / 97).alias("percent"))
+
+
+@query("q67_one_result_each", """SELECT l_orderkey AS raw_message_id, min(l_linenumber) AS result FROM lineitem GROUP BY 1""")
+def one_result_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most one result of each message: the first."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("raw_message_id"), F.col("l_linenumber").alias("result"))
+    return R.top_per_key(li, ["raw_message_id"], [F.asc("result")], 1)

@@ -1,15 +1,15 @@
 """Tables as versioned Parquet snapshots: append, seed, update, delete and upsert without a table format.
 
-A change reads one version and writes the next; readers open the newest complete version, so a failed write is never
-seen. JDBC tables are read through Spark's own source.
+An append adds a folder; other changes read the table and write its next version. Readers open the newest complete
+version and what was appended to it, so a failed write is never seen. JDBC tables are read through Spark's own source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.operators import changes
+from fairway.operators import changes, governance
 from fairway.schemas import conform, schema
 
 
@@ -19,33 +19,65 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        """Complete versions of a table, newest last, through Hadoop's file system of the root."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(conf)
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(number, path) of the folders of a table, complete or not, through Hadoop's file system of the root."""
+        fs, path = self._fs(f"{self.root}/{name}")
         if not fs.exists(path):
             return []
-        found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-        return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        found = [s.getPath() for s in fs.listStatus(path)]
+        return sorted((int(p.getName()[2:]), p.toString()) for p in found if p.getName()[:2] in ("v=", "a="))
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _complete(self, name: str) -> list[str]:
+        """Paths of the newest complete version (v=) and of what was appended to it since (a=)."""
+        paths: list[str] = []
+        for _, path in self._versions(name):
+            fs, done = self._fs(f"{path}/_SUCCESS")
+            if fs.exists(done):
+                paths = [path] if path.rsplit("/", 1)[1].startswith("v=") else [*paths, path]
+        return paths
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+        paths = self._complete(name)
+        if not paths:
             return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{name}/v={versions[-1]}")
+        return self.spark.read.schema(schema(name)).parquet(*paths)
+
+    def _next(self, name: str, kind: str, df: DataFrame) -> DataFrame:
+        """Writes the next folder of a table. Of two writers that take the same number the second fails, and nothing is lost."""
+        number = max([n for n, _ in self._versions(name)], default=0) + 1
+        for other in "va":
+            fs, taken = self._fs(f"{self.root}/{name}/{other}={number}")
+            if fs.exists(taken):
+                raise FileExistsError(f"{name} was changed meanwhile")
+        conform(df, name).write.mode("error").parquet(f"{self.root}/{name}/{kind}={number}")
+        return self.read(name)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """The next version of a table."""
-        version = (self._versions(name) or [0])[-1] + 1
-        conform(df, name).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        return self.read(name)
+        return self._next(name, "v", df)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        """Adds rows, with new ids where they have none."""
-        old = self.read(name)
-        new = changes.with_new_ids(conform(rows, name), old) if "id" in schema(name).names else conform(rows, name)
-        return self.write(name, old.unionByName(new))
+        """Adds rows, with new ids where they have none; what is there is not rewritten."""
+        new = conform(rows, name)
+        return self._next(name, "a", changes.with_new_ids(new, self.read(name)) if "id" in schema(name).names else new)
+
+    def vacuum(self, name: str) -> None:
+        """Removes the folders that read() no longer needs; nobody may be reading an older version."""
+        needed = set(self._complete(name))
+        if needed:
+            first = min(int(p.rsplit("=", 1)[1]) for p in needed)
+            for number, path in self._versions(name):
+                if number < first:
+                    fs, where = self._fs(path)
+                    fs.delete(where, True)
+
+    def record_audit(self, before: DataFrame, after: DataFrame, key: str, target_type: str, action: str, submitter: Column, now: Column) -> DataFrame:
+        """Appends an audit record for each row that a change touched."""
+        return self.append("audit_record", governance.snapshots(before, after, key, target_type, action, submitter, now))
 
     def seed(self, name: str, rows: DataFrame, key: str = "code") -> DataFrame:
         """Adds the rows whose key is not there yet; seeding twice changes nothing."""

@@ -21,26 +21,41 @@ def read_stream(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def parse_stream(messages: DataFrame, parse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Parses each batch of messages once; a batch that is repeated after a failure overwrites its own folder."""
+def parse_stream(messages: DataFrame, parse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, time: str | None = None, late: str = "7 days") -> StreamingQuery:
+    """Parses each message once, also one that is sent again in a later batch; a batch that is repeated after a failure overwrites its own folder.
+
+    The ids seen are the stream's state; with an event time they are kept until `late` behind, else for ever.
+    """
+    once = messages.dropDuplicates(["id"]) if time is None else messages.withWatermark(time, late).dropDuplicatesWithinWatermark(["id"])
 
     def save(batch: DataFrame, number: int) -> None:
-        parse(batch.dropDuplicates(["id"])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        parse(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_stream(events: DataFrame, store: Store, table: str, key: str, checkpoint: str, time: str = "updated_at") -> StreamingQuery:
-    """Keeps the newest row of each key in a table; older rows that come late change nothing."""
+def latest_stream(events: DataFrame, store: Store, table: str, key: str, checkpoint: str, time: str = "updated_at", compact: int = 50) -> StreamingQuery:
+    """Keeps the newest row of each key in a table; older rows that come late change nothing.
+
+    A batch appends its rows that are newer than the table's; read through latest_rows(). Every `compact` batches, the
+    table is written anew with one row a key.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        new = latest(batch, key, time, "id")
-        old = store.read(table)
-        store.write(table, latest(old.unionByName(conform(new, table)), key, time, "id"))
+        new, old = conform(latest(batch, key, time, "id"), table), store.read(table)
+        if number % compact == compact - 1:
+            store.write(table, latest(old.unionByName(new), key, time, "id"))
+        else:
+            store.append(table, new)
 
     return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_rows(store: Store, table: str, key: str, time: str = "updated_at") -> DataFrame:
+    """The newest row of each key of a table that latest_stream() keeps."""
+    return latest(store.read(table), key, time, "id")
+
+
 def daily_windows(events: DataFrame, node: str, time: str = "ts", late: str = "2 days", value: str = "tonnage") -> DataFrame:
     """Count and sum by node and day; days close when events are `late` behind."""
     days = events.withWatermark(time, late).groupBy(F.window(time, "1 day"), node)
@@ -50,23 +65,25 @@ def daily_windows(events: DataFrame, node: str, time: str = "ts", late: str = "2
 def stale_alerts(events: DataFrame, hours: int = 1, time: str = "updated_at") -> DataFrame:
     """(id, status) PENDING for messages that stay PARSING for longer than so many hours of event time.
 
-    Needs a watermark on the time column. One small state per message in work; it goes when the message moves on.
+    Needs a watermark on the time column. One small state per message: the time of its newest event and whether it is in
+    work; older events that come late change nothing. A message that moved on is forgotten after the same time.
     """
     limit = int(datetime.timedelta(hours=hours).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            busy = state.get[1]
             state.remove()
-            yield pd.DataFrame({"id": [key[0]], "status": ["PENDING"]})
-            return
-        rows = pd.concat(list(frames))
-        last = rows.sort_values(time).iloc[-1]
-        if last["status"] != "PARSING":
-            if state.exists:
-                state.remove()
+            if busy:
+                yield pd.DataFrame({"id": [key[0]], "status": ["PENDING"]})
             return
-        at = int(pd.Timestamp(last[time]).timestamp() * 1000)
-        state.update((at,))
+        last = max((row for f in frames for row in zip(f[time], f["status"])), key=lambda row: (row[0], row[1] != "PARSING"))
+        at = int(pd.Timestamp(last[0]).timestamp() * 1000)
+        if state.exists and at < state.get[0]:
+            at, busy = state.get
+        else:
+            busy = last[1] == "PARSING"
+        state.update((at, busy))
         state.setTimeoutTimestamp(max(at + limit, state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy("id").applyInPandasWithState(step, "id bigint, status string", "at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy("id").applyInPandasWithState(step, "id bigint, status string", "at bigint, busy boolean", "append", GroupStateTimeout.EventTimeTimeout)

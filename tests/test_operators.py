@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fairway.operators import changes, codes, governance, parsing, relational as R, routes, stats
 from fairway.schemas import conform, schema, tables, violations
-from fairway.sources.store import Store, submit_text
+from fairway.plans.stages import run_stages
+from fairway.sources.store import Store, jdbc, submit_text
 
 D = datetime.date
 
@@ -85,10 +86,58 @@ def test_audit(spark):
     decisions = spark.createDataFrame([(a, b, c, e, "r", datetime.datetime(2024, 1, f)) for a, b, c, e, f in d], "record_id long, decision string, auditor_id long, roles array<string>, remark string, decided_at timestamp")
     got = {r.id: (r.audit_result, r.reject_reason) for r in governance.decide(records, decisions).collect()}
     assert got == {1: ("APPROVED", None), 2: ("PENDING", "own submission"), 3: ("APPROVED", None), 4: ("REJECTED", None), 5: ("PENDING", "no permission"), 6: ("APPROVED", "not pending")}
+    empty = spark.createDataFrame([(1, "APPROVE", 8, None, "r", datetime.datetime(2024, 1, 1)), (2, "APPROVE", 8, [None], "r", datetime.datetime(2024, 1, 1)), (3, "APPROVE", 8, [], "r", datetime.datetime(2024, 1, 1)), (4, "APPROVE", 8, [None, "ADMIN"], "r", datetime.datetime(2024, 1, 1))], decisions.schema)
+    got = {r.id: (r.audit_result, r.reject_reason) for r in governance.decide(records.where("id < 5"), empty).collect()}
+    assert got == {1: ("PENDING", "no permission"), 2: ("PENDING", "no permission"), 3: ("PENDING", "no permission"), 4: ("APPROVED", None)}
     strict = governance.decide(records, decisions, ("APPROVE", "REJECT"))
     assert strict.where("id = 4").first().reject_reason == "own submission"
 
 
+def test_direct_decisions(spark):
+    things = spark.createDataFrame([(i, 7, 0) for i in range(1, 7)], "id long, submitter_id long, audit_status int")
+    d = [(1, "APPROVE", 8, ["ADMIN"], 1), (1, "REJECT", 9, ["ADMIN"], 2), (2, "APPROVE", 7, ["ADMIN"], 1), (3, "REJECT", 7, ["ADMIN"], 1), (4, "APPROVE", 7, ["SUPER_ADMIN"], 1), (5, "APPROVE", 8, None, 1), (9, "APPROVE", 8, ["ADMIN"], 1)]
+    decisions = spark.createDataFrame([(a, b, c, e, "r", datetime.datetime(2024, 1, f)) for a, b, c, e, f in d], "id long, decision string, auditor_id long, roles array<string>, remark string, decided_at timestamp")
+    for kind, expected in (("NODE", [2, 0, 0, 1, 0, 0]), ("VESSEL", [2, 0, 2, 1, 0, 0]), ("VESSEL_TYPE", [2, 1, 2, 1, 0, 0])):
+        after, records = governance.decide_directly(things, decisions, kind)
+        assert [r.audit_status for r in after.orderBy("id").collect()] == expected
+        assert rows(records, "target_id", "action") == [(i + 1, "APPROVE" if s == 1 else "REJECT") for i, s in enumerate(expected) if s]
+    a = spark.createDataFrame([(1, "NODE", 5, "PENDING"), (2, "NODE", 5, "APPROVED"), (3, "VESSEL", 5, "PENDING")], "id long, target_type string, target_id long, audit_result string")
+    assert rows(governance.pending_for(a, "NODE", 5), "id") == [(1,)] and governance.pending_for(a, "NODE", 6).count() == 0
+
+
+def test_reparse_and_state_after_parsing(spark):
+    m = spark.createDataFrame([(1, "PENDING"), (2, "PARSING"), (3, "PENDING")], "id long, status string")
+    r = spark.createDataFrame([(1, "PENDING_CONFIRM"), (2, "PARSE_FAILED"), (2, "PARSE_FAILED")], "id long, parse_status string")
+    assert rows(parsing.after_parse(m, r), "id", "status") == [(1, "PARSED"), (2, "PARSE_FAILED"), (3, "PENDING")]
+    alias = governance.system_aliases(spark.createDataFrame([(5, "P")], "id long, name string"))
+    assert rows(alias, "node_id", "alias_name", "priority") == [(5, "P", 100)]
+
+
+def test_stages(spark):
+    df = spark.range(5)
+    out = run_stages(df, [("even", lambda x: x.where("id % 2 = 0")), ("one", lambda x: x.limit(1))])
+    assert out.success and out.result.count() == 1 and out.stages["even"].count() == 3
+    bad = run_stages(df, [("even", lambda x: x.where("id % 2 = 0")), ("odd", lambda x: x.select("nothing"))])
+    assert not bad.success and bad.failed == "odd" and list(bad.stages) == ["even"] and bad.result is None
+
+
+def test_parse_blended(spark):
+    """The older pipeline from message to result, against its steps by hand."""
+    nodes = spark.createDataFrame([(1, "武汉港", 1), (2, "上海港", 1), (3, "武汉旧港", 0)], "id long, name string, status int")
+    aliases = spark.createDataFrame([(1, 1, "汉口", 3, 1), (2, 2, "申港", 9, 0)], "id long, node_id long, alias_name string, priority int, status int")
+    goods = spark.createDataFrame([(7, "动力煤", 1)], "id long, name string, status int")
+    named = spark.createDataFrame([(1, 7, "煤炭", 0, 1)], "id long, commodity_id long, alias_name string, priority int, status int")
+    m = spark.createDataFrame([(1, "汉口", "上海", "动力煤", 5000.0, 90, 80, 71, 60), (2, "申港", None, "", 0.0, 50, None, 40, None), (3, None, "汉口", "煤炭", None, None, 100, 100, 100)], "id long, origin_text string, dest_text string, commodity_text string, tonnage double, origin_extracted int, dest_extracted int, commodity_extracted int, tonnage_extracted int")
+    got = {r.id: r for r in parsing.parse_blended(m, nodes, aliases, goods, named, lambda x: x).collect()}
+    show = lambda r: (r.origin_id, r.dest_id, r.commodity_id, r.origin_confidence, r.dest_confidence, r.commodity_confidence, r.tonnage_confidence, r.overall_confidence, r.tonnage_text)
+    # 上海 is contained in 上海港: 85, and (80 + 85) / 2 = 82
+    assert show(got[1]) == (1, 2, 7, 95, 82, 85, 60, 80, "5000.0")
+    # 申港 is an inactive alias; it shares 港 with both names: 2 / 5 is below one half
+    assert show(got[2]) == (None, None, None, 50, 0, 40, 0, 22, None)
+    assert show(got[3]) == (None, 1, 7, 0, 100, 100, 100, 75, None)
+    assert [c["matched"] for c in got[1].origin_candidates] == ["汉口"]
+
+
 def test_latest_and_log(spark):
     e = spark.createDataFrame([(1, 1, "a", 1), (2, 1, "a", 2), (3, 1, "b", 3), (4, 2, None, 1), (5, 2, "x", 1)], "id long, k long, v string, ts long")
     assert rows(governance.latest(e, "k"), "k", "id") == [(1, 3), (2, 5)]
@@ -159,6 +208,29 @@ def test_store(spark, tmp_path):
     assert rows(s.read("sys_role"), "code", "name") == [("ADMIN", "boss")]
     new = submit_text(spark.createDataFrame([("x", "chat", 1)], "raw_text string, source_type string, collector_id long"), F.current_timestamp())
     assert rows(s.append("cargo_raw_message", new), "id", "status") == [(1, "PENDING")]
+    assert rows(s.append("cargo_raw_message", new), "id", "status") == [(1, "PENDING"), (2, "PENDING")]
+    before = s.read("sys_role")
+    after = s.update("sys_role", before.select("id", F.lit("chief").alias("name")))
+    audit = s.record_audit(before, after, "id", "ROLE", "UPDATE", F.lit(3), F.current_timestamp())
+    assert rows(audit, "target_type", "action", "audit_result", "submitter_id") == [("ROLE", "UPDATE", "PENDING", 3)]
+    s.vacuum("sys_role")
+    assert rows(s.read("sys_role"), "name") == [("chief",)] and len(s._versions("sys_role")) == 1
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path, monkeypatch):
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    seen = two._versions("sys_role")
+    one.write("sys_role", spark.createDataFrame([(1, "A", "a")], "id long, code string, name string"))
+    monkeypatch.setattr(two, "_versions", lambda name: seen)
+    with pytest.raises(FileExistsError):
+        two.write("sys_role", spark.createDataFrame([(2, "B", "b")], "id long, code string, name string"))
+    assert rows(one.read("sys_role"), "code") == [("A",)]
+
+
+def test_jdbc_options(spark):
+    """A URL that no driver knows fails in the driver's lookup, with all options accepted."""
+    with pytest.raises(Exception, match="(?i)driver"):
+        jdbc(spark, "jdbc:nothing://h/db", "t", "id", 0, 10, 2, user="u")
 
 
 def test_schemas(spark):

@@ -26,7 +26,7 @@ def test_latest_equals_batch(spark, tmp_path):
     stream = jobs.read_stream(spark, f"{tmp_path}/in", SCHEMA, 1).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
     jobs.latest_stream(stream, store, "vessel_dynamic", "vessel_id", f"{tmp_path}/cp").awaitTermination()
     want = governance.latest(df, "vessel_id", "updated_at")
-    assert sorted(map(tuple, store.read("vessel_dynamic").select("vessel_id", "id").collect())) == sorted(map(tuple, want.select("vessel_id", "id").collect()))
+    assert sorted(map(tuple, jobs.latest_rows(store, "vessel_dynamic", "vessel_id").select("vessel_id", "id").collect())) == sorted(map(tuple, want.select("vessel_id", "id").collect()))
 
 
 def test_parse_stream_takes_each_message_once(spark, tmp_path):
@@ -35,6 +35,12 @@ def test_parse_stream_takes_each_message_once(spark, tmp_path):
     jobs.parse_stream(stream, lambda b: b.select("id"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     jobs.parse_stream(stream, lambda b: b.select("id"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 60
+    spark.read.parquet(f"{tmp_path}/in").where("id < 5").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")  # sent again
+    jobs.parse_stream(stream, lambda b: b.select("id"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 60
+    timed = stream.withColumn("updated_at", F.col("updated_at"))
+    jobs.parse_stream(timed, lambda b: b.select("id"), f"{tmp_path}/out2", f"{tmp_path}/cp2", "updated_at").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out2").count() == 60
 
 
 def test_daily_windows_equal_batch(spark, tmp_path):
@@ -48,12 +54,14 @@ def test_daily_windows_equal_batch(spark, tmp_path):
 
 def test_stale_alerts(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
-    rows = [(1, "PARSING", t), (2, "PARSING", t), (2, "PARSED", t + datetime.timedelta(minutes=5))]
+    rows = [(1, "PARSING", t), (2, "PARSING", t), (2, "PARSED", t + datetime.timedelta(minutes=5)), (4, "PARSED", t + datetime.timedelta(minutes=2))]
     schema = "id long, status string, updated_at timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = jobs.read_stream(spark, f"{tmp_path}/in", schema, 1).withWatermark("updated_at", "1 minute")
     q = jobs.stale_alerts(stream).writeStream.format("memory").queryName("stale").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
+    spark.createDataFrame([(4, "PARSING", t + datetime.timedelta(minutes=4, seconds=30) - datetime.timedelta(minutes=3))], schema).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")  # late
+    q.processAllAvailable()
     spark.createDataFrame([(3, "PARSED", t + datetime.timedelta(hours=3))], schema).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
     q.processAllAvailable()
     q.stop()
