@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 #: Rows of a side that may be broadcast; rows are a few dozen bytes, so some tens of MB at most.
 BROADCAST_ROWS = 500_000
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """The session with small Arrow batches: texts may be long, and a batch is in memory on both sides."""
+    """The session with small Arrow batches: texts may be long, and a batch is in memory on both sides. Sets the caller's configuration."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -33,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without it gets a folder of this machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fairway.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("fairway.checkpoint.dir", d)
     return d.rstrip("/")
@@ -46,7 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table behind a materialise()d frame that nothing will read again."""
+    spark, path = df.sparkSession, df.__dict__["written_to"]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,12 +71,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+_LIBC = ctypes.CDLL(None)
+
 def give_back() -> None:
     """Returns freed memory of this worker, Arrow's and the allocator's, to the system: idle workers stay alive."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim is not None:
-        trim(0)
+    if hasattr(_LIBC, "malloc_trim"):  # glibc has it
+        _LIBC.malloc_trim(0)
 
 
 def tidy(run: Callable) -> Callable:
@@ -101,22 +114,22 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by `key`; each table holds as many groups as a batch has."""
-    rest: pa.Table | None = None
+    """Tables of whole groups, from batches sorted by the integer column `key`."""
+    held: list[pa.RecordBatch] = []  # of the last group so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = pa.Table.from_batches([batch])
-        now = now if rest is None else pa.concat_tables([rest, now])
-        keys = now.column(key)
-        last = keys[now.num_rows - 1]
-        ids = keys.to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(ids != last.as_py(), False)) if ids.dtype == object else int(np.argmax(ids == last.as_py()))
+        keys = batch.column(key).to_numpy()
+        cut = int(np.argmax(keys == keys[-1]))  # start of its last group
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
         if cut:
-            yield now.slice(0, cut)
-        rest = now.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def group_bounds(ids: np.ndarray) -> np.ndarray:
