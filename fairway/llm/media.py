@@ -22,6 +22,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by colour type.
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 GRID, LOW, IDAT = 32, 8, 1 << 20
+#: Bytes of samples that an image may have to be decoded.
+MOST = 1 << 28
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -78,10 +80,11 @@ def unfilter(rows: np.ndarray, channels: int) -> np.ndarray:
     return out
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """(height, width, channels) samples of an 8-bit PNG that isn't interlaced; ValueError where a checksum or length doesn't hold.
+def decode_png(data: bytes, most: int = MOST) -> np.ndarray:
+    """(height, width, channels) samples of an 8-bit PNG that isn't interlaced; ValueError for any other bytes.
 
-    Palette images give their colours.
+    All checksums and lengths must hold. Palette images give their colours. Images of more than `most` bytes of samples
+    are refused before anything is inflated, and no more is inflated than the header says.
     """
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
@@ -91,11 +94,15 @@ def decode_png(data: bytes) -> np.ndarray:
             raise ValueError("truncated chunk")
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         body, check = data[at + 8 : at + 8 + n], data[at + 8 + n : at + 12 + n]
-        if len(check) < 4 or zlib.crc32(kind + body) != struct.unpack(">I", check)[0]:
+        if len(check) < 4 or zlib.crc32(body, zlib.crc32(kind)) != struct.unpack(">I", check)[0]:
             raise ValueError(f"bad checksum of chunk {kind!r}")
         if kind == b"IHDR":
+            if head is not None or n != 13:
+                raise ValueError("bad header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"PLTE":
+            if n % 3 or not 3 <= n <= 768:
+                raise ValueError("bad palette")
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             parts.append(body)
@@ -106,18 +113,29 @@ def decode_png(data: bytes) -> np.ndarray:
     width, height, depth, colour, packing, filtering, interlaced = head
     if depth != 8 or colour not in CHANNELS or packing or filtering or interlaced:
         raise ValueError("this kind of PNG is not supported")
+    if not width or not height:
+        raise ValueError("no samples")
+    if colour == 3 and palette is None:
+        raise ValueError("no palette")
     channels = CHANNELS[colour]
     size = height * (1 + width * channels)
+    if size > most:
+        raise ValueError("too many samples")
     d = zlib.decompressobj()
     try:
-        raw = d.decompress(b"".join(parts), size + 1)
-        raw += d.flush()
+        raw = d.decompress(b"".join(parts), size)
+        if not d.eof:  # the end of the stream may be left to read; one byte more is one too many
+            raw += d.decompress(d.unconsumed_tail, 1)
     except zlib.error as e:
         raise ValueError(f"bad data: {e}") from e
-    if len(raw) != size or not d.eof:
+    if len(raw) != size or not d.eof or d.unused_data:
         raise ValueError("wrong number of samples")
     out = unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), channels).reshape(height, width, channels)
-    return palette[out[:, :, 0]] if colour == 3 else out
+    if colour != 3:
+        return out
+    if out.max() >= len(palette):
+        raise ValueError("a colour is not in the palette")
+    return palette[out[:, :, 0]]
 
 
 def _shrink(a: np.ndarray, to: int) -> np.ndarray:
@@ -179,7 +197,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(df: DataFrame, key_cols: list[str], media_col: str = "media") -> DataFrame:
-    """The key columns, then payload and media figures and the cosine hash of each PNG; `error` tells why one can't be read. Null media are unreadable."""
+    """The key columns, then payload and media figures and the cosine hash of each PNG; `error` tells why one can't be read, whatever its bytes. Null media are unreadable."""
     packed = df.select(F.struct(*key_cols).alias("key"), F.col(media_col).alias("media"))
     kind = packed.schema["key"].dataType.simpleString()
     out = packed.mapInArrow(tidy(_features), f"key {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
