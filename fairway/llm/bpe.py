@@ -21,9 +21,14 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 
+from fairway.llm.textstream import mix
+
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces and words that a worker keeps, some 40 bytes each; beyond them a table starts anew.
-PIECES, WORDS = 600_000, 800_000
+#: Pieces and words that a worker keeps, some 60 bytes each; beyond them a table starts anew.
+PIECES, WORDS = 400_000, 600_000
+
+#: Bits of an id in the key of a pair.
+TOKEN_BITS = 24
 
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _SPECIAL = b"<|"
@@ -92,6 +97,8 @@ class PrefixBpe:
         for s, i in self.id_of.items():
             self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
+        if max(vocab.values()) >= 1 << TOKEN_BITS:
+            raise ValueError(f"vocabularies of more than {1 << TOKEN_BITS} ids are not supported")
         self.compatible: dict[int, bool] = {}
         self.splits = memo(self._split_of)
         self.lefts = memo(lambda t: self._spine(t, 0))
@@ -147,7 +154,7 @@ class PrefixBpe:
             if size[at]:
                 continue
             before = last[at - n]
-            key = (before + 1) << 17 | token
+            key = (before + 1) << TOKEN_BITS | token
             ok = known.get(key)
             if ok is None:
                 ok = self._test(key, before, token)
@@ -197,10 +204,31 @@ def split_pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), bounds
 
 
+class Strings:
+    """Byte strings in one array."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+
+def same(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
+    """Whether string i of `a` is string j of `b`, byte for byte."""
+    out = a.size[i] == b.size[j]
+    k = np.flatnonzero(out)
+    n = a.size[i[k]]
+    ends = np.cumsum(n)
+    at = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+    wrong = np.r_[0, np.cumsum(a.flat[np.repeat(a.start[i[k]], n) + at] != b.flat[np.repeat(b.start[j[k]], n) + at])]
+    out[k] = wrong[ends] == wrong[ends - n]
+    return out
+
+
 class IdTable:
-    """Ids of byte strings by their 64-bit hashes, in arrays: a few dozen bytes for each string.
+    """Ids of byte strings in arrays, a few dozen bytes for each string: found by a 64-bit key, then compared byte for byte.
 
-    Two of a million strings share a hash with a chance of 3e-8; a table never holds many more.
+    A string whose key belongs to another one goes on to the key's successor, so that no two share their ids.
     """
 
     def __init__(self):
@@ -209,16 +237,17 @@ class IdTable:
     def reset(self) -> None:
         self.keys = np.empty(0, _KEY)  # sorted
         self.slot = np.empty(0, np.int32)
-        self.start = np.zeros(1, np.int64)
+        self.first = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
-        self.used = 0
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # of the strings
+        self.flat = np.empty(0, np.uint8)
+        self.used = self.bytes = 0
 
     @property
     def n(self) -> int:
         return len(self.keys)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slots of the keys; -1 for those not there."""
+    def _at(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
         there = at < self.n
         there[there] = self.keys[at[there]] == keys[there]
@@ -226,14 +255,29 @@ class IdTable:
         out[there] = self.slot[at[there]]
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Puts new keys with their ids, one after another; their slots."""
+    def find(self, strings: Strings, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of the strings, -1 for those not there; then the places of these, their distinct keys, the first place of each, and each one's number."""
+        while True:
+            slots = self._at(keys)
+            wrong = np.zeros(len(keys), bool)
+            there, new = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
+            wrong[there] = ~same(strings, there, self, slots[there])
+            kinds, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            wrong[new] = ~same(strings, new, strings, new[first[back]])
+            if not wrong.any():
+                return slots, new, kinds, new[first], back
+            keys = np.where(wrong, mix(keys + np.uint64(1)), keys)
+
+    def add(self, strings: Strings, which: np.ndarray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Puts the strings at `which` under new keys with their ids, one after another; their slots."""
         slots = np.arange(self.n, self.n + len(keys))
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(ids), self.used // 2, 1 << 16), np.uint32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes)])
-        self.used += len(ids)
+        n = strings.size[which]
+        ends = np.cumsum(n)
+        at = np.repeat(strings.start[which] - (ends - n), n)
+        self.flat, self.bytes = _appended(self.flat, self.bytes, strings.flat[at + np.arange(len(at))])
+        self.start, self.size = np.concatenate([self.start, self.bytes - len(at) + ends - n]), np.concatenate([self.size, n])
+        self.ids, self.used = _appended(self.ids, self.used, ids)
+        self.first = np.concatenate([self.first, self.used - len(ids) + np.cumsum(sizes)])
         new = np.argsort(keys)
         both = np.concatenate([self.keys, keys[new]])
         order = np.argsort(both, kind="stable")  # merges two sorted runs
@@ -242,8 +286,8 @@ class IdTable:
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the slots in order, and the number of each."""
-        start = self.start[slots]
-        n = self.start[slots + 1] - start
+        start = self.first[slots]
+        n = self.first[slots + 1] - start
         ends = np.cumsum(n)
         where = np.repeat(start - (ends - n), n)
         where += np.arange(len(where))
@@ -255,6 +299,14 @@ class IdTable:
             self.reset()
 
 
+def _appended(array: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """The array with `more` after its first `used` places, and how many are used now; it grows by halves."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.empty(max(len(more), used // 2, 1 << 16), array.dtype)])
+    array[used : used + len(more)] = more
+    return array, used + len(more)
+
+
 def _keys(strings: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), _KEY, len(strings))
 
@@ -269,28 +321,25 @@ class PieceTable:
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
         """Slots of distinct pieces in the table of pieces."""
         self.pieces.make_room(PIECES)
-        keys = _keys(pieces)
-        slots = self.pieces.find(keys)
-        new = np.flatnonzero(slots < 0)
+        strings = Strings(pieces)
+        slots, _, kinds, new, _ = self.pieces.find(strings, _keys(pieces))
         if len(new):
             split = [self.encoder.parts(pieces[i]) for i in new.tolist()]
             count = np.array([len(x) for x in split])
             ids, n = self._words([w for x in split for w in x])
             total = np.r_[0, np.cumsum(n)]
             ends = np.cumsum(count)
-            slots[new] = self.pieces.add(keys[new], ids, total[ends] - total[ends - count])
+            slots[new] = self.pieces.add(strings, new, kinds, ids, total[ends] - total[ends - count])
         return slots
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         self.words.make_room(WORDS)
-        keys = _keys(words)
-        slots = self.words.find(keys)
-        new = np.flatnonzero(slots < 0)
+        strings = Strings(words)
+        slots, new, kinds, first, back = self.words.find(strings, _keys(words))
         if len(new):
-            kinds, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
-            made = [self.encoder.part(words[i]) for i in new[first].tolist()]
+            made = [self.encoder.part(words[i]) for i in first.tolist()]
             sizes = np.array([len(x) for x in made]) // 4
-            slots[new] = self.words.add(kinds, np.frombuffer(b"".join(made), np.uint32), sizes)[back]
+            slots[new] = self.words.add(strings, first, kinds, np.frombuffer(b"".join(made), np.uint32), sizes)[back]
         return self.words.gather(slots)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

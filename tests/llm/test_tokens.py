@@ -62,6 +62,15 @@ def test_tables_start_anew(texts, monkeypatch):
         assert flat.tolist() == [x for t in texts[i : i + 7] for x in ids(t)]
 
 
+def test_strings_with_the_same_key_keep_their_own_ids(texts, monkeypatch):
+    plain = bpe._keys
+    monkeypatch.setattr(bpe, "_keys", lambda strings: plain(strings) % np.uint64(5))
+    table = bpe.PieceTable(bpe.piece_table(bpe.VOCABULARY).encoder)
+    for i in range(0, len(texts), 50):
+        flat, _ = table.encode(pa.array(texts[i : i + 50], pa.string()))
+        assert flat.tolist() == [x for t in texts[i : i + 50] for x in ids(t)]
+
+
 def test_counts(df, texts):
     got = token_counts.token_counts(df, bpe.VOCABULARY).collect()
     assert len(got) == len(texts) + 2
