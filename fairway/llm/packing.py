@@ -2,15 +2,16 @@
 
 Lengths are whole numbers up to the capacity, so the plan is made from the histogram of lengths, whose size does not
 grow with the input. Large lengths are rounded up within groups of equal cardinality; configurations of the few rounded
-sizes are optimised by column generation; actual lengths are substituted for the rounded ones; what is left, and all
-small lengths, go best fit into the gaps. The plan is a list of runs; each piece finds its place by its rank among the
+sizes are optimised by column generation; actual lengths are substituted for the rounded ones, the largest that fit, and
+the last two so that they fill the sequence exactly where any do; the few large lengths that no configuration takes, and
+all small ones, go best fit into the gaps. The plan is a list of runs; each piece finds its place by its rank among the
 pieces of its length, and ranks are counted per partition and summed over partitions.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +25,13 @@ from fairway.llm.common import by_bytes, materialise, small, tidy
 
 #: Groups of large lengths; lengths of over 1/LARGE of the capacity are large.
 GROUPS, LARGE = 96, 8
-#: Shares of the capacity that a configuration's actual lengths may leave free.
-SLACKS = (0.0015, 0.004, 1)
 
 
 def _tokenise(vocabulary: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = piece_table(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             flat, bounds = table.encode(batch.column(1))
             n = np.diff(bounds) + 1
             ends = np.cumsum(n)
@@ -126,53 +125,58 @@ def _grouped(hist: dict[int, int], least: int, groups: int) -> list[tuple[int, l
     return merged
 
 
+def _filled(slots: list[int], lengths: list[int], left: dict[int, int], capacity: int) -> tuple[int, dict[int, int]]:
+    """(gap, {length: times}) of one configuration with actual lengths, from `lengths` (sorted, of those in `left`).
+
+    Each slot takes the largest length that leaves the later slots their rounded sizes. Of the last two, the first goes
+    down from there until the second fills the rest exactly; where none does they too take the largest.
+    """
+    room, later, used = capacity, sum(slots), {}
+    free = lambda x: left.get(x, 0) - used.get(x, 0)
+    for k, slot in enumerate(slots):
+        later -= slot
+        at = bisect_right(lengths, room - later) - 1
+        if k == len(slots) - 2:
+            for x in reversed(lengths[: at + 1]):
+                if (y := room - x) > capacity:
+                    break
+                if y >= lengths[0] and free(x) > 0 and free(y) > (x == y):
+                    used[x] = used.get(x, 0) + 1
+                    used[y] = used.get(y, 0) + 1
+                    return 0, used
+        while at >= 0 and free(lengths[at]) <= 0:
+            at -= 1
+        if at >= 0:
+            used[lengths[at]] = used.get(lengths[at], 0) + 1
+            room -= lengths[at]
+    return room, used
+
+
 def _substituted(left: dict[int, int], capacity: int, groups: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """Kinds of sequences (copies, gap, [(length, times), ...]): configurations of rounded sizes with actual lengths in them; takes those off `left`."""
-    kinds: list[tuple[int, int, list[tuple[int, int]]]] = []  # copies, gap, items
     grouped = _grouped(left, capacity // LARGE + 1, groups)
-    stock = {size: [r[:] for r in runs] for size, runs in grouped}
-    for copies, counts in configurations([g for g, _ in grouped], [sum(n for _, n in r) for _, r in grouped], capacity):
-        while copies:
-            # as many copies as the next runs of actual lengths last
-            step = min(copies, *(max(1, stock[size][0][1] // count) for size, count in counts.items()))
-            items: list[tuple[int, int]] = []
-            for size, count in counts.items():
-                if stock[size][0][1] >= step * count:
-                    items.append((stock[size][0][0], count))
-                    stock[size][0][1] -= step * count
-                    left[stock[size][0][0]] -= step * count
-                    if not stock[size][0][1]:
-                        stock[size].pop(0)
-                else:  # one sequence over the end of a run
-                    for _ in range(count):
-                        items.append((stock[size][0][0], 1))
-                        stock[size][0][1] -= 1
-                        left[stock[size][0][0]] -= 1
-                        if not stock[size][0][1]:
-                            stock[size].pop(0)
-            kinds.append((step, capacity - sum(a * b for a, b in items), items))
+    found = configurations([g for g, _ in grouped], [sum(n for _, n in r) for _, r in grouped], capacity)
+    lengths = sorted(x for x, n in left.items() if n and x > capacity // LARGE)
+    kinds: list[tuple[int, int, list[tuple[int, int]]]] = []
+    for copies, counts in sorted(found, key=lambda c: sum(c[1].values())):
+        slots = [size for size in sorted(counts, reverse=True) for _ in range(counts[size])]
+        while copies and lengths:
+            gap, used = _filled(slots, lengths, left, capacity)
+            step = min(copies, *(left[x] // times for x, times in used.items()))  # as many copies as the lengths last
+            for x, times in used.items():
+                left[x] -= step * times
+                if not left[x]:
+                    lengths.remove(x)
+            kinds.append((step, gap, list(used.items())))
             copies -= step
     return kinds
 
 
 def pack_histogram(hist: dict[int, int], capacity: int, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(copies, [(length, times), ...])]: kinds of sequences that hold all lengths of the histogram.
-
-    A sequence whose actual lengths leave more than some slack is given up and its lengths are best-fitted with the
-    small ones; of the slacks tried, the one with the fewest sequences counts.
-    """
-    rest = {x: n for x, n in hist.items() if n}
-    full = [(n, 0, [(capacity, 1)])] if (n := rest.pop(capacity, 0)) else []
-    made = _substituted(rest, capacity, groups)
-    plans = []
-    for slack in SLACKS:
-        left = dict(rest)
-        for copies, gap, items in made:
-            if gap > slack * capacity:
-                for length, times in items:
-                    left[length] = left.get(length, 0) + copies * times
-        plans.append(_best_fit([*full, *(k for k in made if k[1] <= slack * capacity)], left, capacity))
-    return min(plans, key=lambda plan: sum(copies for copies, _ in plan))
+    """[(copies, [(length, times), ...])]: kinds of sequences that hold all lengths of the histogram."""
+    left = {x: n for x, n in hist.items() if n}
+    full = [(n, 0, [(capacity, 1)])] if (n := left.pop(capacity, 0)) else []
+    return _best_fit([*full, *_substituted(left, capacity, groups)], left, capacity)
 
 
 def _best_fit(kinds: list[tuple[int, int, list[tuple[int, int]]]], left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
