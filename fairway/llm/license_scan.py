@@ -20,6 +20,8 @@ from fairway.llm.common import by_bytes, rows_as_bytes, tidy
 from fairway.llm.licenses import TEMPLATES
 from fairway.llm.textstream import Tokens, mix, shingles, tokens
 
+#: Bytes of templates that may be read from a table.
+TEMPLATE_BYTES = 64 << 20
 #: Words of a shingle, MinHash bands, and shingles of the smallest block.
 WORDS, BANDS, BLOCK = 5, 64, 4
 _ODD = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -43,10 +45,13 @@ def collision_probability(size: int, words: int, containment: float = 0.8) -> fl
     return 1 - (1 - shared / union) ** BANDS
 
 
-def _words(text: bytes, t: Tokens, row: int) -> list[bytes]:
-    own = slice(*np.searchsorted(t.owner, [row, row + 1]))
-    low = text.lower()
-    return [low[a:b] for a, b in zip(t.start[own].tolist(), t.end[own].tolist())]
+def _words(text: bytes, t: Tokens, first: int, end: int) -> list[bytes]:
+    """Words `first` to `end` of all tokens, which lie in one text."""
+    if first >= end:
+        return []
+    base = int(t.start[first])
+    low = text[base : int(t.end[end - 1])].lower()
+    return [low[a - base : b - base] for a, b in zip(t.start[first:end].tolist(), t.end[first:end].tolist())]
 
 
 def word_shingles(words: list[bytes]) -> list[bytes]:
@@ -63,7 +68,7 @@ class Index:
         for name, text in templates.items():
             data = text.encode()
             t = tokens(pa.array([data], pa.binary()), lower=True, punctuation=False)
-            words = _words(data, t, 0)
+            words = _words(data, t, 0, len(t.hashes))
             if len(words) < WORDS:
                 raise ValueError(f"template {name} has fewer than {WORDS} words")
             own: dict[bytes, int] = {}
@@ -111,21 +116,20 @@ class Index:
                 runs[-1][1] = max(b, runs[-1][1])
             else:
                 runs.append([a, b])
-        cache: tuple[int, list[bytes], int] | None = None
         for (row, name), runs in sorted(regions.items()):
-            if cache is None or cache[0] != row:
-                cache = (row, word_shingles(_words(texts[row], t, row)), int(np.searchsorted(owner, row)))
+            base, words, end = int(np.searchsorted(owner, row)), *np.searchsorted(t.owner, [row, row + 1]).tolist()
             own = self.shingles[name]
             span = 2 * len(own) + 2 * WORDS
             around: list[list[int]] = []
             for a, b in runs:
-                a, b = max(0, a - cache[2] - span), min(b - cache[2] + span, len(cache[1]))
+                a, b = max(0, a - base - span), min(b - base + span, end - words - WORDS + 1)
                 if around and a <= around[-1][1]:
                     around[-1][1] = max(b, around[-1][1])
                 else:
                     around.append([a, b])
             for a, b in around:
-                hits = [(i, k) for i in range(a, b) if (k := own.get(cache[1][i])) is not None]
+                found = word_shingles(_words(texts[row], t, words + a, words + b + WORDS - 1))
+                hits = [(i, k) for i, s in enumerate(found, a) if (k := own.get(s)) is not None]
                 for first, last, n in occurrences(hits, self.containment * len(own) - 1e-9, span, len(own)):
                     yield row, name, first, last + WORDS, round(n / len(own), 6)
 
@@ -166,6 +170,18 @@ def occurrences(hits: list[tuple[int, int]], least: float, span: int, length: in
     return sorted(out)
 
 
+def read_templates(df: DataFrame, name_col: str = "path", text_col: str = "value") -> dict[str, str]:
+    """Templates from rows (name, text), for example of spark.read.text(folder, wholetext=True) with the path; whole licenses may be among them.
+
+    They go to every task, so more than TEMPLATE_BYTES of them are refused. Texts of fewer than WORDS words are left out.
+    """
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates, at most {TEMPLATE_BYTES}")
+    rows = df.where(F.col(name_col).isNotNull() & F.col(text_col).isNotNull()).select(name_col, text_col).collect()
+    return {r[0]: r[1] for r in sorted(rows) if len(tokens(pa.array([r[1]]), punctuation=False).hashes) >= WORDS}
+
+
 def _scan(templates: dict[str, str], containment: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates, containment)

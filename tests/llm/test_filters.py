@@ -137,7 +137,7 @@ def test_license_scan(spark):
             assert license_scan.WORDS <= r.end_word - r.start_word and r.end_word <= len(words) and 0.8 <= r.containment <= 1
     for i, t in enumerate(texts):
         assert names.get(i, set()) == brute_licenses(t or ""), i
-    assert names[None] == {"mit"}
+    assert "mit" in names[None]
     last = [r.template for r in got if r.doc_id == len(texts) - 1]
     assert all(last.count(n) >= 2 for n in TEMPLATES)
     assert license_scan.license_matches(df.limit(0)).count() == 0
@@ -170,6 +170,22 @@ def test_license_scan_of_changed_texts(spark):
     assert [r.containment for r in got if r.doc_id == len(texts) - 1 and r.template == "gpl-3.0-header"] == [1, 1]
 
 
+def test_shuffled_sentences_quotes_and_templates_that_repeat_themselves(spark):
+    rnd = random.Random(21)
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefg") for _ in range(4)) for _ in range(n))
+    line = "the terms and conditions of this license apply"
+    own = {"repeats": f"{noise(20)} {line} {noise(20)} {line} {noise(20)} {line}", "long": " ".join(noise(30) + f" {line}." for _ in range(180)), "mit": TEMPLATES["mit"]}
+    mit = TEMPLATES["mit"].split(". ")
+    quoted = TEMPLATES["mit"].split()
+    texts = {"exact": own["repeats"], "whole": f"{noise(50)} {own['long']} {noise(5)}", "shuffled": ". ".join(rnd.sample(mit, len(mit))), "quoted": " ".join(quoted[:80] + "Permission is hereby granted, free of charge".split() + quoted[80:])}
+    df = spark.createDataFrame(list(texts.items()), "path string, value string")
+    templates = license_scan.read_templates(spark.createDataFrame([*own.items(), ("short", "one two"), (None, "x"), ("none", None)], "path string, value string"))
+    assert templates == own
+    got = {(r.path, r.template): r.containment for r in license_scan.license_matches(df, templates, id_col="path", text_col="value").collect()}
+    assert {k for k in got} == {("exact", "repeats"), ("whole", "long"), ("shuffled", "mit"), ("quoted", "mit")}
+    assert got["exact", "repeats"] == got["whole", "long"] == 1 and got["quoted", "mit"] > 0.95
+
+
 def test_occurrences_do_not_shadow_each_other():
     copy = lambda at, ids: [(at + k, k) for k in ids]
     whole, part = list(range(10)), [0, 1, 2, 3, 5, 6, 7, 8]
