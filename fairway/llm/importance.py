@@ -1,11 +1,10 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word and word-pair counts, one of good labelled texts and one of all texts, give each
-text the logarithm of their ratio, per n-gram and scaled to a text of REFERENCE n-grams, so that long texts are not
-judged by their length; PRIOR neutral n-grams besides keep short texts near 0. A word that follows itself is one n-gram
-of its own, whatever the word. Gumbel top-k then samples without replacement in proportion to the ratios: k is the number
-of texts whose weight reaches the cut that separates the labelled texts best, a good text lost counting as much as COST
-bad ones caught.
+Two generative models over hashed word and word-pair counts, one of good labelled texts and one of all texts: the log
+importance weight of a text is the sum of the log-ratios of its n-grams. A word that follows itself is one n-gram of its
+own, whatever the word. Gumbel top-k samples k texts without replacement in proportion to weight ** (1 / temperature).
+Where k is not given it is the number of texts whose weight reaches the cut that separates the labelled texts best, a good
+text lost counting as much as COST bad ones caught: weights and noise are on one scale, so near the cut the noise decides.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ from fairway.llm.textstream import mix, shingles, tokens
 
 #: Buckets of hashed n-grams; labelled rows of each class that fit the model and the cut, at most.
 BUCKETS, LABELLED = 1 << 14, 20_000
-#: N-grams of a text that weights are scaled to, neutral ones added to each text, and the cost of a good text lost.
-REFERENCE, PRIOR, COST = 1000, 40, 20
+#: The cost of a good text lost, in bad ones caught.
+COST = 20
 #: Steps of a key in one unit, and bins of one pass of the selection.
 STEPS, BINS = 1_000_000, 4096
 
@@ -43,7 +42,7 @@ def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of this partition's buckets, in all texts and in those with quality 1."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in by_bytes(batches, "text", 1 << 20):
+    for batch in by_bytes(batches, "text", 1 << 19):
         row, bucket = _buckets(batch.column(0))
         raw += np.bincount(bucket, minlength=BUCKETS)
         good = pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False) == 1
@@ -79,30 +78,31 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str
 def _score(model, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = model.value
-        for batch in by_bytes(batches, "__text", 1 << 20):
+        for batch in by_bytes(batches, "__text", 1 << 19):
             row, bucket = _buckets(batch.column("__text"))
-            n = np.bincount(row, minlength=batch.num_rows)
-            weight = np.bincount(row, ratio[bucket], batch.num_rows) / (n + PRIOR) * REFERENCE
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.round(weight, 6))], names=[*fields, "__weight"])
+            weight = np.bincount(row, ratio[bucket], batch.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array(np.round(weight, 6))], names=[*fields, "__weight"])
 
     return run
 
 
-def weighted(df: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
-    """`df` with the column __weight: the scaled log-ratio of each text. Texts without n-grams, and null, weigh 0."""
+def weighted(df: DataFrame, ratio: np.ndarray, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of `df` (all of them if None) and __weight: the sum of the log-ratios of each text's n-grams.
+
+    Texts without n-grams, and null, weigh 0. A column of `df` named __weight gives way to the new one.
+    """
     model = df.sparkSession.sparkContext.broadcast(ratio)
-    fields = [f"c{i}" for i in range(len(df.columns))]
-    plain = df.toDF(*fields)
-    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(fields, plain.schema))
-    source = F.col(fields[df.columns.index(text_col)]).cast("string").alias("__text")
-    return plain.select("*", source).mapInArrow(tidy(_score(model, fields)), f"{kinds}, __weight double").toDF(*df.columns, "__weight")
+    named = [c for c in (df.columns if carry is None else carry) if c != "__weight"]
+    fields = [f"c{i}" for i in range(len(named))]
+    plain = df.select(*[df[c].alias(f) for c, f in zip(named, fields)], df[text_col].cast("string").alias("__text"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain.schema if f.name != "__text")
+    return plain.mapInArrow(tidy(_score(model, fields)), f"{kinds}__weight double").toDF(*named, "__weight")
 
 
-def gumbel_key(weight: Column, row_id: Column, seed: int) -> Column:
-    """The weight plus Gumbel noise drawn from the id, in steps: the same in every run and on every executor."""
+def gumbel_key(weight: Column, row_id: Column, seed: int, temperature: float = 1.0) -> Column:
+    """The weight by the temperature plus Gumbel noise drawn from the id, in steps: the same in every run and on every executor."""
     unit = (F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.round((weight - F.log(-F.log(unit))) * STEPS).cast("long")
+    return F.round((weight / temperature - F.log(-F.log(unit))) * STEPS).cast("long")
 
 
 def kth_largest(keys: DataFrame, k: int, column: str = "key") -> int | None:
@@ -142,29 +142,23 @@ def best_cut(weights: list[tuple[float, int]]) -> float:
     return float(edges[int(np.argmax(value))])
 
 
-class Resampler:
-    """A fitted model with the key that a row must reach."""
-
-    def __init__(self, ratio: np.ndarray, cut: float, least: int | None, seed: int):
-        self.ratio, self.cut, self.least, self.seed = ratio, cut, least, seed
-
-    def judged(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """`df` with __weight and __kept."""
-        key = gumbel_key(F.col("__weight"), F.col(id_col), self.seed)
-        return weighted(df, self.ratio, text_col).withColumn("__kept", F.lit(False) if self.least is None else key >= F.lit(self.least))
-
-
-def resample(df: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> Resampler:
-    """Fits the models on `df` and its labels, and finds the k-th largest key.
+def resample(df: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of `df` (all of them if None), __weight, and __kept: whether the sample of k rows has the row.
 
-    Rows that tie with the k-th key are all kept, repeated rows among them. Rows without an id share one noise value.
-    Without labels of both kinds all rows are kept. An empty table keeps none.
+    Reads the texts twice: to fit the models, and to weigh the rows, which are written with their weights. Rows that tie
+    with the k-th key are all kept, repeated rows among them; rows without an id share one noise value. Where k is not
+    given and labels of both kinds are missing, all rows are kept. An empty table keeps none. Columns of `df` named
+    __weight or __kept give way to the new ones.
     """
     sample = labelled_sample(labels, id_col=id_col)
     ratio = fit(df, sample, id_col, text_col)
-    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = materialise(weighted(slim, ratio).select("id", "__weight", gumbel_key(F.col("__weight"), F.col("id"), seed).alias("key")), "quality-weights")
-    known = scored.join(F.broadcast(sample), F.col("id") == F.col("__lid")).groupBy("__lid").agg(F.first("__weight").alias("w"), F.first("__quality").alias("q"))
-    cut = best_cut([(r["w"], r["q"]) for r in known.collect()])  # 2 * LABELLED rows at most
-    k = scored.where(F.col("__weight") >= F.lit(cut)).count()
-    return Resampler(ratio, cut, kth_largest(scored, k), seed)
+    named = [c for c in (df.columns if carry is None else carry) if c not in ("__weight", "__kept")]
+    slim = df.select(F.struct(*[df[c] for c in named]).alias("row"), df[id_col].alias("id"), df[text_col].alias("text"))
+    key = gumbel_key(F.col("__weight"), F.col("id"), seed, temperature)
+    scored = materialise(weighted(slim, ratio, "text", ["row", "id"]).withColumn("key", key), "quality-weights")
+    if k is None:
+        known = scored.join(F.broadcast(sample), F.col("id") == F.col("__lid")).groupBy("__lid").agg(F.first("__weight").alias("w"), F.first("__quality").alias("q"))
+        cut = best_cut([(r["w"], r["q"]) for r in known.collect()])  # 2 * LABELLED rows at most
+        k = scored.where(F.col("__weight") >= F.lit(cut)).count()
+    least = kth_largest(scored, k)
+    return scored.select("row.*", "__weight", (F.lit(False) if least is None else F.col("key") >= F.lit(least)).alias("__kept"))

@@ -28,8 +28,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log importance weight of every document, and whether the sample keeps it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = importance.resample(docs, table(spark, sf_dir, "labels")).judged(docs)
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return out.select("doc_id", F.col("__weight").alias("log_weight"), F.col("__kept").alias("kept"))
 
 

@@ -3,9 +3,11 @@
 import os
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fairway.llm import importance, license_scan, registry, url_filter
@@ -82,7 +84,7 @@ def test_best_cut():
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     seen = F.pmod("doc_id", F.lit(2)) == 0
-    out = importance.resample(docs, labels.where(seen)).judged(docs)
+    out = importance.resample(docs, labels.where(seen))
     test = out.join(labels.where(~seen).select("doc_id", "quality"), "doc_id").groupBy("quality").agg(F.avg(F.col("__kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in test}
     assert kept[1] > 0.99 and kept[0] < 0.05
@@ -91,12 +93,61 @@ def test_quality_on_held_out_labels(spark):
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "good words here", 1), (2, "bad ### junk $$$", 1), (None, None, 1), (4, "", 1), (1, "good words here", 1)], "doc_id long, text string, quality int")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
-    kept = importance.resample(docs, labels).judged(docs)
+    kept = importance.resample(docs, labels)
     assert kept.columns == [*docs.columns, "__weight", "__kept"]
+    clash = docs.withColumns({c: F.lit("x") for c in ("__weight", "__kept", "__lid", "__text", "id", "row", "key", "c0")})
+    again = importance.resample(clash, labels)
+    assert again.columns == [*docs.columns, "__lid", "__text", "id", "row", "key", "c0", "__weight", "__kept"]
+    assert again.select(kept.columns).exceptAll(kept).count() == 0 and again.where("key = 'x' and row = 'x'").count() == 5
     got = [(r.doc_id, r["__kept"]) for r in kept.collect()]
     assert (2, False) in got and got.count((1, True)) == 2
-    assert importance.resample(docs, labels.limit(0)).judged(docs).where("__kept").count() == 5
-    assert importance.resample(docs.limit(0), labels).judged(docs.limit(0)).count() == 0
+    assert importance.resample(docs, labels.limit(0)).where("__kept").count() == 5
+    assert importance.resample(docs.limit(0), labels).count() == 0
+
+
+def brute_weights(rows, good):
+    """id -> weight of texts by hand: counts of words, pairs and repeated words in buckets, and the log of their ratio."""
+    R, M = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M
+        return x ^ (x >> 31)
+
+    def buckets(text):
+        t = [x.encode() for x in re.findall(r"[A-Za-z0-9\x80-\U0010FFFF]+|[!-/:-@\[-`{-~]+", text or "")]
+        h = [mix(sum((b + 1) * pow(R, i, 1 << 64) for i, b in enumerate(x)) & M) for x in t]
+        words = [x for x, s in zip(h, t) if s[:1].isalnum() or s[0] >= 128]
+        out = [mix(x) >> 50 for x in h] + [mix((a * R + b) & M) >> 50 for a, b in zip(h, h[1:])]
+        return out + [0 for a, b in zip(words, words[1:]) if a == b]
+
+    raw, target = np.ones(1 << 14), np.ones(1 << 14)
+    for i, t in rows:
+        for b in buckets(t):
+            raw[b] += 1
+            target[b] += i in good
+    prior = max(1.0, 0.01 * target.sum())
+    ratio = np.log((target - 1 + prior * raw / raw.sum()) / (target.sum() - (1 << 14) + prior)) - np.log(raw / raw.sum())
+    return {i: sum(ratio[b] for b in buckets(t)) for i, t in rows}
+
+
+def test_weights_and_sample_by_hand(spark):
+    rnd = random.Random(31)
+    word = lambda v: "".join(rnd.choice(v) for _ in range(3))
+    rows = [(i, " ".join(word("abc" if i % 3 else "bcd") + rnd.choice(["", ",", " ab ab"]) for _ in range(rnd.randint(0, 9)))) for i in range(300)] + [(300, None)]
+    good = {i for i in range(0, 300, 5) if i % 3}
+    bad = {i for i in range(0, 300, 5) if not i % 3}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in bad], "doc_id long, quality int")
+    want = brute_weights(rows, good)
+    unit = lambda i: (xxhash.xxh64_intdigest(struct.pack("<q", i), seed=xxhash.xxh64_intdigest(struct.pack("<i", 11), seed=42)) % (1 << 52) + 0.5) / (1 << 52)
+    for k, temperature in ((100, 1.0), (40, 3.0), (None, 1.0)):
+        got = {r.doc_id: r for r in importance.resample(docs, labels, k, temperature).collect()}
+        assert all(abs(got[i]["__weight"] - w) < 1e-5 for i, w in want.items())
+        n = k or sum(w >= importance.best_cut([(want[i], int(i in good)) for i in good | bad]) for w in want.values())
+        noisy = sorted(want, key=lambda i: -(want[i] / temperature - np.log(-np.log(unit(i)))))[:n]
+        assert {i for i, r in got.items() if r["__kept"]} == set(noisy)
+        assert set(noisy) != set(sorted(want, key=lambda i: -want[i])[:n])  # the noise decides
 
 
 def test_gumbel_follows_the_weights(spark):
