@@ -15,8 +15,7 @@ from fairway.llm.common import bounded, materialise, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    judged = importance.resample(docs, table(spark, sf_dir, "labels")).judged(docs)
-    return judged.where("__kept").select(docs.columns)
+    return importance.resample(docs, table(spark, sf_dir, "labels")).where("__kept").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
