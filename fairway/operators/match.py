@@ -45,6 +45,13 @@ def _fuzzy(least: float):
     return best
 
 
+def _distinct_texts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(text, __t): the distinct texts that can match, and how they are compared; dealt out anew, for a few of them are work for many tasks."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = texts.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").distinct()
+    return asked.repartition(parts, "text").withColumn("__t", F.lower(strip_unicode(F.col("text"))))
+
+
 def rule_score(text: Column, name: Column, aliases: Column) -> Column:
     """(score, via) by the rules alone, the first that applies; null where none does."""
     either = lambda a, b: F.contains(a, b) | F.contains(b, a)
@@ -63,7 +70,7 @@ def match_entities(texts: DataFrame, entities: DataFrame, text_col: str = "text"
     Exact name 100, exact alias 95, containment 85, alias containment 80, else the similarity in whole percent. Empty
     and null texts match nothing; a blank one is contained in every name. Only texts are stripped; case never counts.
     """
-    asked = texts.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").distinct().withColumn("__t", F.lower(strip_unicode(F.col("text"))))
+    asked = _distinct_texts(texts, text_col)
     names = entities.select("id", "name", F.lower("name").alias("__n"), F.transform("aliases", lambda a: F.lower(a)).alias("__a"))
     pairs = asked.join(sized(names), F.lit(True)).withColumn("__r", rule_score(F.col("__t"), F.col("__n"), F.col("__a")))
     found = pairs.where("__r is not null").select("text", "id", "name", "__r.score", "__r.via")
@@ -89,7 +96,7 @@ def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key:
     rows = aliases.where("status = 1").join(names.select(F.col("id").alias(key), "name"), key).select(F.col(key).alias("id"), "name", F.col("alias_name").alias("matched"), "priority", F.lit(0).alias("__kind"), F.col("id").alias("__order"))
     rows = rows.unionByName(names.select("id", "name", F.col("name").alias("matched"), F.lit(5).alias("priority"), F.lit(1).alias("__kind"), F.col("id").alias("__order")))
     rows = rows.withColumn("__m", F.lower(strip_unicode(F.col("matched"))))
-    asked = texts.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").distinct().withColumn("__t", F.lower(strip_unicode(F.col("text"))))
+    asked = _distinct_texts(texts, text_col)
     pairs = asked.join(sized(rows), F.lit(True))
     t, m = F.col("__t"), F.col("__m")
     rule = F.when(F.col("matched") == "", 0.0).when(t == m, 1.0).when(F.contains(t, m) | F.contains(m, t), 0.85)
