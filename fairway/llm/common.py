@@ -19,13 +19,17 @@ BROADCAST_ROWS = 500_000
 #: Rows and bytes of an Arrow batch at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
+#: Rows of a bucket of in_place(), and buckets at most.
+BUCKET_ROWS, BUCKETS = 1 << 18, 50_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """The session with small Arrow batches: texts may be long, and a batch is in memory on both sides. Sets the caller's configuration."""
+    """The session with small Arrow batches (texts may be long, and a batch is in memory on both sides), and with joins that take a bucketing by some of their keys. Sets the caller's configuration."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
@@ -54,6 +58,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def in_place(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Writes `df` (of so many rows) with the columns sender and rid: the partition that a row is in, and its number.
+
+    The table is bucketed by sender, each sender's rows in one bucket, so that a join on (sender, rid) or (sender, h) moves
+    the other side to the rows and leaves these where they are.
+    """
+    spark = df.sparkSession
+    buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    numbered = df.withColumns({"sender": F.spark_partition_id(), "rid": F.monotonically_increasing_id()})
+    numbered.write.bucketBy(buckets, "sender").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved before its name goes; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Removes the table behind a materialise()d frame that nothing will read again."""
     spark, path = df.sparkSession, df.__dict__["written_to"]

@@ -11,7 +11,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fairway.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from fairway.llm import exact_dedup, simhash, warc
+from fairway.llm.common import bounded
 
 SCHEMA = "doc_id long, text string, n int, h string"  # n and h: other columns whose names the operators use inside
 
@@ -61,6 +64,43 @@ def test_exact_dedup_keeps_one_row_of_each_text(odd):
         assert i == max((x for x, y, _, _ in rows if lower(y) == t and x is not None), default=None)
 
 
+def test_texts_of_unsuspected_rows_do_not_move(spark, odd):
+    """The table that holds the rows is on no side of an exchange, for exact copies and for WARC payloads."""
+    bounded(spark)
+    pages = spark.createDataFrame([(i, "u", "p" * 1000 + str(i % 7)) for i in range(50)], "page_id long, url string, html string")
+    for out in (exact_dedup.exact_dedup(odd[1]), warc.with_revisits(pages)):
+        out.collect()
+        plan = out._jdf.queryExecution().explainString(out.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        lines = plan.split("AdaptiveSparkPlan")[1].split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+        scan = next(i for i, x in enumerate(lines) if "Bucketed: true" in x)
+        above, d = [], depth(lines[scan])
+        for x in reversed(lines[:scan]):
+            if x.strip() and depth(x) < d:
+                above.append(x)
+                d = depth(x)
+        assert above and not [x for x in above if "Exchange" in x], plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("exact_rows", "warc_pages"))]
+
+
+def test_large_sides_are_joined_without_broadcasts(spark, odd, monkeypatch):
+    for m in (exact_dedup, warc, simhash):
+        monkeypatch.setattr(m, "small", lambda df, rows=-1: df)
+    test_exact_groups(odd)
+    test_exact_dedup_keeps_one_row_of_each_text(odd)
+
+
+def test_clashing_names(spark):
+    names = ["__id", "__norm", "__sha", "__keep", "__n", "__gone", "__digest", "sender", "rid", "sha", "h", "row", "id", "norm", "digest", "keep", "n"]
+    df = spark.createDataFrame([(1, "a b"), (2, "A b"), (3, None)], "doc_id long, text string")
+    for c in names:
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    for out in (exact_dedup.exact_dedup(df), simhash.near_dedup(df)):
+        assert out.columns == df.columns
+        assert {r["doc_id"] for r in out.collect()} in ({2, 3}, {1, 3})
+        assert all(r[c] == f"own {c}" for r in out.collect() for c in names)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_groups(none).count() == 0
