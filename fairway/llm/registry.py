@@ -90,4 +90,10 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op9_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages),
+        g AS (SELECT *, CASE WHEN n >= 1000 AND page_id < max(page_id) OVER (PARTITION BY payload) THEN max(page_id) OVER (PARTITION BY payload) END AS top FROM t)
+        SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+               top AS refers_to, CAST(NULL AS VARCHAR) AS error
+        FROM g""",
 }

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.llm.common import materialise, small, tidy
+from fairway.llm.common import in_place, materialise, small, tidy
 
 #: Magic numbers: the dictionary's skippable frame, a Zstandard frame, and the mask of all skippable frames.
 DICTIONARY_FRAME, ZSTD_FRAME, SKIPPABLE = 0x184D2A5D, 0xFD2FB528, 0x184D2A50
@@ -168,12 +168,19 @@ def _write(date: str):
 
 
 def with_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, refers_to): of equal payloads of at least `least` bytes the largest id is a response, others refer to it."""
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
-    keyed = p.withColumn("__key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    top = keyed.where("__key is not null").groupBy("__key").agg(F.max("page_id").alias("__top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = keyed.join(small(materialise(top, "warc-copies")), "__key", "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("__top")), F.col("__top")).alias("refers_to"))
+    """(page_id, url, payload, refers_to): of equal payloads of at least `least` bytes the largest id is a response, others refer to it.
+
+    Payloads are equal when their SHA-256 digests are. Only ids and digests are shuffled; what a copy refers to is sent to
+    the table that holds it.
+    """
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    keyed = p.withColumn("key", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
+    held = in_place(keyed, "warc-pages", keyed.count())
+    narrow = held.where("key is not null").select("sender", "rid", "page_id", "key")
+    top = materialise(narrow.groupBy("key").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("key", "top"), "warc-copies")
+    refers = narrow.join(small(top), "key").where(~F.col("page_id").eqNullSafe(F.col("top"))).select("sender", "rid", F.col("top").alias("refers_to"))
+    refers = materialise(refers, "warc-refers")
+    return held.join(refers.hint("shuffle_hash"), ["sender", "rid"], "left").select("page_id", "url", "payload", "refers_to")
 
 
 def write_archives(pages: DataFrame, least: int = 1000, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
