@@ -48,11 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Paths of the tables that this driver wrote to the shared folder, oldest first.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back: its lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["written_to"] = path
     return out
@@ -68,18 +73,31 @@ def in_place(df: DataFrame, name: str, rows: int) -> DataFrame:
     buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     numbered = df.withColumns({"sender": F.spark_partition_id(), "rid": F.monotonically_increasing_id()})
-    numbered.write.bucketBy(buckets, "sender").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    path = f"{shared_dir(spark)}/{table}"
+    numbered.write.bucketBy(buckets, "sender").option("path", path).saveAsTable(table)
+    WRITTEN.append(path)
     out = spark.table(table)
     out.schema  # resolved before its name goes; the files stay
     spark.sql(f"DROP TABLE {table}")
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Removes the table behind a materialise()d frame that nothing will read again."""
-    spark, path = df.sparkSession, df.__dict__["written_to"]
+def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table behind a materialise()d frame that nothing will read again."""
+    _remove(df.sparkSession, df.__dict__["written_to"])
+
+
+def sweep(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Removes the tables written since WRITTEN was `before`, except the materialise()d frame that stays."""
+    for path in [p for p in WRITTEN if p not in before and p != keep.__dict__["written_to"]]:
+        _remove(spark, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
