@@ -23,20 +23,24 @@ def clean_text(c: Column) -> Column:
     return F.translate(flat, "，。", ",.")
 
 
+def first_match(c: Column, pattern: str, group: int = 0) -> Column:
+    """A group of the first match, null where there is none; the text is computed and searched once."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def extract_phone(c: Column) -> Column:
     """The first mobile number, also within a longer run of digits; null if there is none."""
-    return F.nullif(F.regexp_extract(c, r"(?U)1[3-9]\d{9}", 0), F.lit(""))
+    return first_match(c, r"(?U)1[3-9]\d{9}")
 
 
 def normalize_tonnage(c: Column, mode: str = "compat") -> Column:
     """The first number as tons. compat: a unit after it appends its zeros to the text; fixed: the number times its unit."""
     if mode == "fixed":
-        plain = F.regexp_replace(c, ",", "")
-        number = F.nullif(F.regexp_extract(plain, r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
-        unit = F.regexp_extract(plain, r"\d+(?:\.\d+)?\s*(万|千)?", 1)
-        return F.round(number * F.when(unit == "万", 10_000.0).when(unit == "千", 1_000.0).otherwise(1.0), 4)
+        found = F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"\d+(?:\.\d+)?\s*[万千]?"), F.lit(0))
+        tons = lambda t: F.regexp_replace(t, r"[^\d.]", "").try_cast("double") * F.when(t.endswith("万"), 10_000.0).when(t.endswith("千"), 1_000.0).otherwise(1.0)
+        return F.round(F.get(F.transform(found, tons), F.lit(0)), 4)
     text = F.regexp_replace(F.regexp_replace(c, "万吨", "0000"), "千吨", "000")
-    return F.nullif(F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
+    return first_match(text, r"\d+(?:\.\d+)?").try_cast("double")
 
 
 def safe_date(c: Column, pattern: str = "yyyy-MM-dd") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairway.functions.scalars import clean_text, extract_phone, mean_truncated, normalize_tonnage, override, pair_mean, safe_date, text_or_null
+from fairway.functions.scalars import clean_text, extract_phone, first_match, mean_truncated, normalize_tonnage, override, pair_mean, safe_date, text_or_null
 from fairway.operators.match import candidates, match_entities, match_names
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -19,9 +19,8 @@ def extract_by_rules(messages: DataFrame) -> DataFrame:
 
     A hosted model can take its place: any function that adds the same columns, for example by mapInPandas.
     """
-    text = clean_text(F.col("raw_text"))
-    part = lambda pattern, i=1: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
-    return messages.withColumns(
+    part = lambda pattern: first_match(F.col("__clean"), pattern, 1)
+    return messages.withColumn("__clean", clean_text(F.col("raw_text"))).withColumns(
         {
             "origin_text": part(r"([^\s,.]+?)(?:到|至|->|→)"),
             "dest_text": part(r"(?:到|至|->|→)([^\s,.\d]+)"),
@@ -30,7 +29,7 @@ def extract_by_rules(messages: DataFrame) -> DataFrame:
             "loading_date": safe_date(part(r"(\d{4}-\d{2}-\d{2})")),
             "contact_phone": extract_phone(F.col("raw_text")),
         }
-    )
+    ).drop("__clean")
 
 
 def _linked(out: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
@@ -41,9 +40,9 @@ def _linked(out: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _places(out: DataFrame) -> DataFrame:
-    """The texts of both ends of all messages, to be matched in one pass."""
-    return out.select(F.explode(F.array("origin_text", "dest_text")).alias("text"))
+def _texts(out: DataFrame, *columns: str) -> DataFrame:
+    """The texts of some columns of all messages, to be matched in one pass; exploded, so that no filter computes them again."""
+    return out.select(F.explode(F.array(*columns)).alias("text"))
 
 
 def parse_messages(messages: DataFrame, nodes: DataFrame, commodities: DataFrame, extract: Extractor = extract_by_rules, threshold: int = 60) -> DataFrame:
@@ -53,8 +52,8 @@ def parse_messages(messages: DataFrame, nodes: DataFrame, commodities: DataFrame
     origins and destinations meet the nodes once, those of goods the commodities.
     """
     out = extract(messages)
-    ends = candidates(match_entities(_places(out), nodes, "text", threshold))
-    goods = candidates(match_entities(out.select(F.col("commodity_text").alias("text")), commodities, "text", threshold))
+    ends = candidates(match_entities(_texts(out, "origin_text", "dest_text"), nodes, "text", threshold))
+    goods = candidates(match_entities(_texts(out, "commodity_text"), commodities, "text", threshold))
     out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods})
     overall = mean_truncated(*[F.col(f"{f}_confidence") for f in FIELDS])
     blank = clean_text(F.col("raw_text")) == ""
@@ -70,8 +69,8 @@ def parse_blended(messages: DataFrame, nodes: DataFrame, node_aliases: DataFrame
     """
     out = extract(messages)
     named = ("id", "name", "matched", "score", "priority")
-    ends = candidates(match_names(_places(out), nodes, node_aliases, "node_id"), named)
-    goods = candidates(match_names(out.select(F.col("commodity_text").alias("text")), commodities, commodity_aliases, "commodity_id"), named)
+    ends = candidates(match_names(_texts(out, "origin_text", "dest_text"), nodes, node_aliases, "node_id"), named)
+    goods = candidates(match_names(_texts(out, "commodity_text"), commodities, commodity_aliases, "commodity_id"), named)
     out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods})
     given = lambda f: F.coalesce(F.col(f"{f}_extracted"), F.lit(0)).cast("int")
     out = out.withColumns({f"{f}_confidence": blended_confidence(given(f), F.col(f"{f}_id"), F.col(f"{f}_confidence")) for f in FIELDS})
