@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def with_new_ids(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Fills null ids with numbers after the largest. New rows are a batch of inserts, numbered in one window per 1,000 of them by hash."""
+    """Fills null ids with numbers after the largest. New rows are a batch of inserts, numbered in 64 windows by hash."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
     given = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__given"))
     content = F.xxhash64(*[c for c in rows.columns])

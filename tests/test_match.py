@@ -103,6 +103,52 @@ def test_entities_against_rules(spark):
     assert got == {t: rules(t, rows) for t in texts}
 
 
+def names_by_rules(text, entities, aliases, threshold=0.5, k=5):
+    """The second matcher's rules, one row at a time: aliases first, then names."""
+    if not text:
+        return []
+    t = text.strip().lower()
+
+    def score(form):
+        m = form.strip().lower()
+        if form == "":
+            return 0.0
+        if t == m:
+            return 1.0
+        if t in m or m in t:
+            return 0.85
+        return SequenceMatcher(None, t, m).ratio() if t and m else 0.0
+
+    name = {i: n for i, n, status in entities if status == 1}
+    rows = [(e, form, priority) for _, e, form, priority, status in sorted(aliases) if status == 1 and e in name]
+    rows += [(i, n, 5) for i, n in sorted(name.items())]
+    seen = {}
+    for place, (i, form, priority) in enumerate(rows):
+        if (s := score(form)) >= threshold:
+            percent = round(s * 100)
+            if i not in seen:
+                seen[i] = (percent, priority, place, form)
+            elif percent > seen[i][0]:
+                seen[i] = (percent, priority, seen[i][2], form)
+    top = sorted(seen.items(), key=lambda x: (-x[1][0], -x[1][1], x[1][2]))[:k]
+    return [(i, form, min(percent, 100), priority) for i, (percent, priority, _, form) in top]
+
+
+@pytest.mark.parametrize("prune", [True, False])
+def test_names_against_rules(spark, prune):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcD ") for _ in range(rnd.randint(1, n))).strip() or rnd.choice(["b", " "])
+    entities = [(i, word(9), rnd.randint(0, 4) and 1) for i in range(20)]
+    aliases = [(100 - k, rnd.randrange(20), word(7), rnd.randint(0, 9), rnd.randint(0, 4) and 1) for k in range(30)]
+    texts = sorted({word(10) for _ in range(300)})
+    e = spark.createDataFrame(entities, "id long, name string, status int")
+    a = spark.createDataFrame(aliases, "id long, node_id long, alias_name string, priority int, status int")
+    got = {t: [] for t in texts}
+    for r in match.match_names(spark.createDataFrame([(t,) for t in texts], "text string"), e, a, "node_id", prune=prune).orderBy("text", "rank").collect():
+        got[r.text].append((r.id, r.matched, r.score, r.priority))
+    assert got == {t: names_by_rules(t, entities, aliases) for t in texts}
+
+
 def test_dictionary_and_candidates(spark):
     e = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     a = spark.createDataFrame([(5, 1, "y"), (4, 1, "x")], "id long, node_id long, alias_name string")

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from fairway.functions import scalars
 from fairway.operators import changes, codes, governance, parsing, relational as R, routes, stats
 from fairway.schemas import conform, schema, tables, violations
 from fairway.plans.stages import run_stages
@@ -113,6 +114,14 @@ def test_reparse_and_state_after_parsing(spark):
     assert rows(alias, "node_id", "alias_name", "priority") == [(5, "P", 100)]
 
 
+def test_functions_in_sql(spark):
+    scalars.register(spark)
+    r = spark.sql("SELECT similarity_ratio('abcd', 'bcde') AS r, haversine_km(30, 110, 30, 111) AS km, waterway_km(2) AS w, tonnage_of('1.5万吨x') AS t, phone_of('call 13800138000!') AS p, phone_of('none') AS q").first()
+    km = spark.range(1).select(scalars.haversine_km(F.lit(30.0), F.lit(110.0), F.lit(30.0), F.lit(111.0))).first()[0]
+    assert (r.r, r.w, r.p, r.q) == (0.75, 3.0, "13800138000", None) and abs(r.km - km) < 1e-9
+    assert r.t == spark.range(1).select(scalars.normalize_tonnage(F.lit("1.5万吨x"))).first()[0]
+
+
 def test_stages(spark):
     df = spark.range(5)
     out = run_stages(df, [("even", lambda x: x.where("id % 2 = 0")), ("one", lambda x: x.limit(1))])
