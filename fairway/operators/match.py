@@ -1,11 +1,14 @@
 """Linking of free text to entities: two matchers with their own scores, thresholds and tie-breaks.
 
-Distinct texts meet the dictionary once; exact and containment rules are columns, and only pairs that no rule decides,
-and whose lengths alone don't rule them out, reach the similarity function in Python.
+Distinct texts meet the dictionary once: all of it while it is small enough to be broadcast, else what an index over
+letters finds. Exact and containment rules are columns, and only pairs that no rule decides, and whose lengths and letters
+don't rule them out, reach the similarity function in Python.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +20,42 @@ from fairway.functions.scalars import Ratios, percent_half_even, percent_truncat
 DICTIONARY_ROWS = 200_000
 
 
-def sized(df: DataFrame, rows: int = DICTIONARY_ROWS) -> DataFrame:
-    """A broadcast hint where the dictionary is small enough; beyond that Spark pairs blocks of both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _lettered(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, __size, __letter): the letters of each text, numbered where they repeat."""
+    letters = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
+    one = df.select(*key, letters.alias("__ls"))
+    number = lambda c, i: F.concat(c, F.size(F.filter(F.slice("__ls", 1, i + 1), lambda x: x == c)).cast("string"))
+    return one.select(*key, F.size("__ls").alias("__size"), F.explode(F.transform("__ls", number)).alias("__letter"))
+
+
+def letter_pairs(texts: DataFrame, forms: DataFrame, key: str, least: float) -> DataFrame:
+    """(__t, key) of all pairs of a text and a form (key, __m) that are equal, contain each other or may reach the ratio `least`.
+
+    An index over letters, the rarest first: texts of a ratio share a letter among the first few of both, and the rarest
+    letter of a text is in every other that contains it. Blank texts and forms pair with all, as the rules have it.
+    """
+    f, t = _lettered(forms, [key, "__m"], "__m"), _lettered(texts, ["__t"], "__t")
+    often = f.groupBy("__letter").agg(F.count("*").alias("__often"))
+
+    def placed(df: DataFrame, own: list[str]) -> DataFrame:
+        w = Window.partitionBy(*own).orderBy(F.coalesce("__often", F.lit(0)), "__letter")
+        kept = F.col("__size") - F.ceil(least * F.col("__size") / (2 - least) - 1e-9) + 1
+        return df.join(often, "__letter", "left").withColumn("__place", F.row_number().over(w)).withColumn("__prefix", F.col("__place") <= kept)
+
+    f, t = placed(f, [key, "__m"]), placed(t, ["__t"])
+    f = f.select(key, "__letter", (F.col("__place") == 1).alias("__f1"), F.col("__prefix").alias("__fp"))
+    t = t.select("__t", "__letter", (F.col("__place") == 1).alias("__t1"), F.col("__prefix").alias("__tp"))
+    sides = [(t.where("__tp"), f.where("__fp")), (t.where("__t1"), f), (t, f.where("__f1"))]
+    found = [x.join(y, "__letter").select("__t", key) for x, y in sides]
+    blank = texts.where("__t = ''").crossJoin(forms.select(key)), texts.crossJoin(forms.where("__m = ''").select(key))  # one text at most; forms should not be blank
+    return reduce(DataFrame.unionByName, [*found, *blank]).distinct()
+
+
+def _pairs(asked: DataFrame, rows: DataFrame, forms: DataFrame, key: str, least: float) -> DataFrame:
+    """The texts with the dictionary rows that they may match: all of them while the dictionary is small enough to be broadcast."""
+    if rows.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS:
+        return asked.join(F.broadcast(rows), F.lit(True))
+    return asked.join(letter_pairs(asked.select("__t").distinct(), forms, key, least), "__t").join(rows, key)
 
 
 def dictionary(entities: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
@@ -72,11 +108,12 @@ def match_entities(texts: DataFrame, entities: DataFrame, text_col: str = "text"
     """
     asked = _distinct_texts(texts, text_col)
     names = entities.select("id", "name", F.lower("name").alias("__n"), F.transform("aliases", lambda a: F.lower(a)).alias("__a"))
-    pairs = asked.join(sized(names), F.lit(True)).withColumn("__r", rule_score(F.col("__t"), F.col("__n"), F.col("__a")))
+    least = threshold / 100 - 1e-9 if prune else 0.0
+    forms = names.select("id", F.explode(F.array_union(F.array("__n"), F.coalesce("__a", F.array().cast("array<string>")))).alias("__m"))
+    pairs = _pairs(asked, names, forms, "id", least).withColumn("__r", rule_score(F.col("__t"), F.col("__n"), F.col("__a")))
     found = pairs.where("__r is not null").select("text", "id", "name", "__r.score", "__r.via")
     if fuzzy:
         rest = pairs.where("__r is null")
-        least = threshold / 100 - 1e-9 if prune else 0.0
         if prune:
             rest = rest.where((ratio_bound(F.col("__t"), F.col("__n")) >= least) | F.exists("__a", lambda a: ratio_bound(F.col("__t"), a) >= least))
         scored = rest.withColumn("__f", _fuzzy(least)("__t", "__n", "__a"))
@@ -97,12 +134,13 @@ def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key:
     rows = rows.unionByName(names.select("id", "name", F.col("name").alias("matched"), F.lit(5).alias("priority"), F.lit(1).alias("__kind"), F.col("id").alias("__order")))
     rows = rows.withColumn("__m", F.lower(strip_unicode(F.col("matched"))))
     asked = _distinct_texts(texts, text_col)
-    pairs = asked.join(sized(rows), F.lit(True))
+    least = threshold - 1e-9 if prune else 0.0
+    rows = rows.withColumn("__key", F.struct("__kind", "__order"))
+    pairs = _pairs(asked, rows, rows.select("__key", "__m"), "__key", least)
     t, m = F.col("__t"), F.col("__m")
     rule = F.when(F.col("matched") == "", 0.0).when(t == m, 1.0).when(F.contains(t, m) | F.contains(m, t), 0.85)
     pairs = pairs.withColumn("__s", rule)
     rest = pairs.where("__s is null")
-    least = threshold - 1e-9 if prune else 0.0
     if prune:
         rest = rest.where(ratio_bound(t, m) >= least)
     scored = pairs.where("__s is not null")

@@ -91,11 +91,13 @@ def rules(text, rows, threshold=60, k=3):
     return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
 
 
-def test_entities_against_rules(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_entities_against_rules(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(match, "DICTIONARY_ROWS", broadcast)
     rnd = random.Random(5)
     word = lambda n: "".join(rnd.choice("abcD ") for _ in range(rnd.randint(1, n))).strip() or "b"
     rows = [(i, word(9), [word(7) for _ in range(rnd.randint(0, 3))]) for i in range(25)]
-    texts = sorted({word(10) for _ in range(400)})
+    texts = sorted({word(10) for _ in range(400)} | {" ", "\u3000"})
     df = match.match_entities(spark.createDataFrame([(t,) for t in texts], "text string"), entities(spark, rows))
     got = {t: [] for t in texts}
     for r in df.orderBy("text", "rank").collect():
@@ -134,8 +136,10 @@ def names_by_rules(text, entities, aliases, threshold=0.5, k=5):
     return [(i, form, min(percent, 100), priority) for i, (percent, priority, _, form) in top]
 
 
-@pytest.mark.parametrize("prune", [True, False])
-def test_names_against_rules(spark, prune):
+@pytest.mark.parametrize("prune, broadcast", [(True, 200_000), (False, 200_000), (True, 0)])
+def test_names_against_rules(spark, monkeypatch, prune, broadcast):
+    """Also with a dictionary that is too large to be broadcast."""
+    monkeypatch.setattr(match, "DICTIONARY_ROWS", broadcast)
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("abcD ") for _ in range(rnd.randint(1, n))).strip() or rnd.choice(["b", " "])
     entities = [(i, word(9), rnd.randint(0, 4) and 1) for i in range(20)]
