@@ -12,6 +12,7 @@ import json
 import os
 from array import array
 from collections.abc import Callable
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -24,8 +25,10 @@ import xxhash
 from fairway.llm.textstream import mix
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces and words that a worker keeps, some 60 bytes each; beyond them a table starts anew.
+#: Pieces and words that a worker keeps, some 45 bytes each; beyond them a table starts anew.
 PIECES, WORDS = 400_000, 600_000
+#: Pairs of tokens whose compatibility a worker keeps, some 80 bytes each.
+PAIRS = 250_000
 
 #: Bits of an id in the key of a pair.
 TOKEN_BITS = 24
@@ -74,11 +77,9 @@ class PrefixBpe:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.bytes_of = byte_alphabet()
         end = spec["model"]["end_of_word_suffix"]
 
@@ -105,6 +106,13 @@ class PrefixBpe:
         self.rights = memo(lambda t: self._spine(t, 1))
         self._split = regex.compile(b"(" + b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, for texts whose characters normalisation changes; most workers never need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _split_of(self, token: int) -> tuple[int, int, int]:
         """Left part, right part and rank of the merge that makes a token last; (-1, -1, -1) for a symbol, (-2, ...) if BPE never gives it."""
         ids, last = [self.id_of[c] for c in self.symbols_of[token]], (-1, -1, -1)
@@ -136,7 +144,7 @@ class PrefixBpe:
                     # of equal merges the leftmost comes first
                     if (m := rank.get((x, y))) is not None and m[0] < until and m[0] <= before:
                         ok = False
-        if len(self.compatible) > 400_000:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         self.compatible[key] = ok
         return ok
@@ -237,9 +245,9 @@ class IdTable:
     def reset(self) -> None:
         self.keys = np.empty(0, _KEY)  # sorted
         self.slot = np.empty(0, np.int32)
-        self.first = np.zeros(1, np.int64)
+        self.first = np.zeros(1, np.int32)
         self.ids = np.empty(0, np.uint32)
-        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # of the strings
+        self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int32)  # of the strings
         self.flat = np.empty(0, np.uint8)
         self.used = self.bytes = 0
 
@@ -275,9 +283,10 @@ class IdTable:
         ends = np.cumsum(n)
         at = np.repeat(strings.start[which] - (ends - n), n)
         self.flat, self.bytes = _appended(self.flat, self.bytes, strings.flat[at + np.arange(len(at))])
-        self.start, self.size = np.concatenate([self.start, self.bytes - len(at) + ends - n]), np.concatenate([self.size, n])
+        self.start = np.concatenate([self.start, (self.bytes - len(at) + ends - n).astype(np.int32)])
+        self.size = np.concatenate([self.size, n.astype(np.int32)])
         self.ids, self.used = _appended(self.ids, self.used, ids)
-        self.first = np.concatenate([self.first, self.used - len(ids) + np.cumsum(sizes)])
+        self.first = np.concatenate([self.first, (self.used - len(ids) + np.cumsum(sizes)).astype(np.int32)])
         new = np.argsort(keys)
         both = np.concatenate([self.keys, keys[new]])
         order = np.argsort(both, kind="stable")  # merges two sorted runs
@@ -294,8 +303,8 @@ class IdTable:
         return self.ids[where], n
 
     def make_room(self, entries: int) -> None:
-        """Starts anew beyond so many entries, or ten ids for each of them."""
-        if self.n > entries or self.used > 10 * entries:
+        """Starts anew beyond so many entries, or ten ids or twenty bytes for each of them."""
+        if self.n > entries or self.used > 10 * entries or self.bytes > 20 * entries:
             self.reset()
 
 

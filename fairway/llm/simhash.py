@@ -337,25 +337,17 @@ def _meetings(similarity: float, bits: int):
     """Within each meeting (sorted by k): links between side 0 and either side, each verified, until no two that are similar are apart."""
 
     def links(side, node, wide, sets) -> Iterator[tuple[int, int]]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        label = np.unique(node, return_inverse=True)[1]  # nodes of one label are connected
         size = np.array([len(s) for s in sets])
         for i in np.flatnonzero(side == 0):
-            near = np.bitwise_count(wide ^ wide[i]).sum(1) <= bits
+            near = (np.bitwise_count(wide ^ wide[i]).sum(1) <= bits) & (label != label[i])
             near &= np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9
-            for j in np.flatnonzero(near & (node != node[i])):
-                a, b = find(int(node[i])), find(int(node[j]))
-                if a != b:
+            for j in np.flatnonzero(near):
+                if label[i] != label[j]:
                     x, y = (sets[i], sets[j]) if size[i] < size[j] else (sets[j], sets[i])
                     both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
                     if both >= similarity * (len(x) + len(y) - both) - 1e-9:
-                        root[max(a, b)] = min(a, b)
+                        label[label == label[j]] = label[i]
                         yield int(node[i]), int(node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
