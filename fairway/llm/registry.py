@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.llm import bpe_codec, exact_dedup, importance, license_scan, media, packing, simhash, token_counts, url_filter, warc
+from fairway.llm import bpe_codec, exact_dedup, importance, license_scan, media, packing, runs, simhash, token_counts, topk, url_filter, warc
 from fairway.llm.bpe import VOCABULARY
 from fairway.llm.common import materialise, table
 
@@ -69,6 +69,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end=0)
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for every 50th vector, by exact integer inner product."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document."""
+    return runs.run_digests(table(spark, sf_dir, "documents"), least=12, rewrite=True)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_media": op2_media,
@@ -80,6 +90,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_topk": op11_topk,
+    "op13_runs": op13_runs,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,4 +108,11 @@ ORACLE_SQL = {
         SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
                top AS refers_to, CAST(NULL AS VARCHAR) AS error
         FROM g""",
+    "op11_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
