@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.llm import bpe_codec, exact_dedup, importance, license_scan, media, packing, runs, simhash, token_counts, topk, url_filter, warc
+from fairway.llm import bpe_codec, exact_dedup, importance, license_scan, media, packing, runs, simhash, token_counts, topk, trie, url_filter, warc
 from fairway.llm.bpe import VOCABULARY
 from fairway.llm.common import materialise, table
 
@@ -74,6 +74,11 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), every=100, kinds=6)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document."""
     return runs.run_digests(table(spark, sf_dir, "documents"), least=12, rewrite=True)
@@ -91,9 +96,15 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
     "op11_topk": op11_topk,
+    "op12_trie": op12_trie,
     "op13_runs": op13_runs,
 }
 
+#: A table (i, x) of the 256 remainders that CRC-32 looks up, in SQL.
+_CRC = "SELECT i, i AS x FROM range(256) s(i)"
+for _ in range(8):
+    _CRC = f"SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM ({_CRC})"
+
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -115,4 +126,28 @@ ORACLE_SQL = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_trie": f"""
+        WITH crc AS (SELECT list(x ORDER BY i) AS tab FROM ({_CRC})),
+        l AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label, length(coalesce(text, '')) AS chars
+              FROM conversations WHERE conv_id IS NOT NULL),
+        t AS (SELECT c, label, chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, label) - 1 AS i FROM l),
+        n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+        k AS (SELECT c, n, c - c % 100 AS b,
+                     xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT))),
+                                                 lambda acc, y: xor(acc >> 8, tab[(xor(acc, y) & 255) + 1]))) % 6 AS h
+              FROM n, crc),
+        v AS (SELECT k.c, k.b, k.h, least(k.h, coalesce(n.n, 0)) AS taken FROM k LEFT JOIN n ON n.c = k.b),
+        r AS (SELECT v.c, t.i + 1 AS d, label, chars FROM v JOIN t ON t.c = v.b AND t.i < v.h
+              UNION ALL SELECT v.c, t.i - v.h + v.taken + 1 AS d, label, chars FROM v JOIN t ON t.c = v.c AND t.i >= v.h
+              UNION ALL SELECT c, 0, '', 0 FROM v),
+        p AS (SELECT c, d, chars, md5(string_agg(label, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM r),
+        q AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+        m AS (SELECT key, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                     sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM q GROUP BY key, d),
+        kids AS (SELECT up, count(*) AS n FROM m GROUP BY up),
+        s AS (SELECT DISTINCT a.key AS top, z.key FROM q a JOIN q z ON a.c = z.c AND z.d >= a.d),
+        sums AS (SELECT s.top, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, CAST(sum((m.n_convs - 1) * m.chars) AS BIGINT) AS saved_tokens
+                 FROM s JOIN m ON m.key = s.key LEFT JOIN kids ON kids.up = s.key GROUP BY s.top)
+        SELECT m.conv_id, m.d AS depth, o.conv_id AS parent_conv_id, m.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, m.ends_sha256
+        FROM m JOIN sums ON sums.top = m.key LEFT JOIN kids ON kids.up = m.key LEFT JOIN m o ON o.key = m.up""",
 }
