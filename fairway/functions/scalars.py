@@ -83,7 +83,8 @@ def mean_truncated(*scores: Column) -> Column:
 
 def override(new: Column, stored: Column) -> Column:
     """The new value, unless it is null, zero or empty, which never override."""
-    return F.when(new.isNotNull() & ~new.cast("string").isin("", "0", "0.0", "0.00"), new).otherwise(stored)
+    text = new.cast("string")
+    return F.when((text != "") & F.coalesce(text.try_cast("double") != 0, F.lit(True)), new).otherwise(stored)
 
 
 def text_or_null(c: Column) -> Column:

@@ -21,22 +21,70 @@ def role_codes(users: DataFrame, links: DataFrame, roles: DataFrame) -> DataFram
     return users.join(codes, users.id == codes.user_id, "left").drop("user_id").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
 
 
+DECISIONS = ("APPROVE", "REJECT")
+
+
+def _allowed(records: DataFrame, decisions: DataFrame, self_check: tuple[str, ...]) -> DataFrame:
+    """Decisions with `__refusal`, the reason that alone would refuse them; null if they may count."""
+    r = records.select(F.col("id").alias("record_id"), F.col("submitter_id").alias("__submitter"), F.col("audit_result").alias("__result"), F.lit(True).alias("__known"))
+    own = F.col("auditor_id").eqNullSafe(F.col("__submitter")) & F.col("decision").isin(*self_check) & ~may(F.col("roles"))
+    reason = (
+        F.when(F.col("__known").isNull(), "no record")
+        .when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "unknown decision")
+        .when(~F.col("__result").eqNullSafe("PENDING"), "not pending")
+        .when(~may(F.col("roles"), *ADMINS), "no permission")
+        .when(own, "own submission")
+    )
+    return decisions.join(r, "record_id", "left").withColumn("__refusal", reason)
+
+
+def _turn() -> Column:
+    """The order in which decisions on a record are taken: by time, then auditor; what else is in a row breaks ties."""
+    return F.struct("decided_at", "auditor_id", "decision", "remark")
+
+
+def _first_that_counts(judged: DataFrame) -> DataFrame:
+    """(record_id, __w): of each record the first decision that may count, by a partial minimum, so that a hot record is reduced before the shuffle."""
+    return judged.where("__refusal IS NULL").groupBy("record_id").agg(F.min(_turn()).alias("__w"))
+
+
 def decide(records: DataFrame, decisions: DataFrame, self_check: tuple[str, ...] = ("APPROVE",)) -> DataFrame:
     """Records after decisions (record_id, decision APPROVE or REJECT, auditor_id, roles, remark, decided_at).
 
-    The first decision on a record by time, then auditor, counts; those after it find the record no longer pending and
-    so do not. Only pending records change, only by admins, and none but SUPER_ADMIN decides on their own submission for
-    the decisions in `self_check`. `reject_reason` tells why a decision did not count, and is null otherwise. Deciders
-    without roles, null among them, have no permission; an unknown auditor counts as the submitter of a record without one.
+    Only pending records change, only by admins, and none but SUPER_ADMIN decides on their own submission for the
+    decisions in `self_check`. Of the decisions that are allowed, the first on a record by time, then auditor, counts;
+    refused ones before it stand in nobody's way, and those after it find the record no longer pending. `reject_reason`
+    is null where a decision counted or none came, else the reason of the first refused one; refused() has every one.
+    Deciders without roles, null among them, have no permission; an unknown auditor counts as the submitter of a record
+    without one.
     """
-    first = decisions.withColumn("__n", F.row_number().over(Window.partitionBy("record_id").orderBy("decided_at", "auditor_id"))).where("__n = 1")
-    d = first.select(F.col("record_id").alias("id"), "decision", F.col("auditor_id").alias("__auditor"), "roles", F.col("remark").alias("__remark"))
-    own = F.col("__auditor").eqNullSafe(F.col("submitter_id")) & F.col("decision").isin(*self_check) & ~may(F.col("roles"))
-    reason = F.when(F.col("decision").isNull(), None).when(~F.col("audit_result").eqNullSafe("PENDING"), "not pending").when(~may(F.col("roles"), *ADMINS), "no permission").when(own, "own submission")
-    out = records.join(d, "id", "left").withColumn("reject_reason", reason)
-    takes = F.col("decision").isNotNull() & F.col("reject_reason").isNull()
-    new = F.when(takes, F.when(F.col("decision") == "APPROVE", "APPROVED").otherwise("REJECTED")).otherwise(F.col("audit_result"))
-    return out.select(*[c for c in records.columns if c not in ("audit_result", "auditor_id", "audit_remark")], new.alias("audit_result"), F.when(takes, F.col("__auditor")).alias("auditor_id"), F.when(takes, F.col("__remark")).alias("audit_remark"), "reject_reason")
+    judged = _allowed(records, decisions, self_check)
+    won = judged.groupBy("record_id").agg(F.min(F.when(F.col("__refusal").isNull(), _turn())).alias("__w"), F.min(F.struct("decided_at", "auditor_id", "decision", "remark", F.col("__refusal").alias("why"))).alias("__f"))
+    out = records.join(won.withColumnRenamed("record_id", "id"), "id", "left")
+    takes = F.col("__w").isNotNull()
+    new = F.when(takes, F.when(F.col("__w.decision") == "APPROVE", "APPROVED").otherwise("REJECTED")).otherwise(F.col("audit_result"))
+    kept = [c for c in records.columns if c not in ("audit_result", "auditor_id", "audit_remark")]
+    return out.select(*kept, new.alias("audit_result"), F.col("__w.auditor_id").alias("auditor_id"), F.col("__w.remark").alias("audit_remark"), F.when(~takes, F.col("__f.why")).alias("reject_reason"))
+
+
+def refused(records: DataFrame, decisions: DataFrame, self_check: tuple[str, ...] = ("APPROVE",)) -> DataFrame:
+    """The decisions that decide() refuses, each with its `reject_reason`: no record, unknown decision, not pending (before or by then), no permission, own submission."""
+    judged = _allowed(records, decisions, self_check)
+    won = _first_that_counts(judged)
+    late = _turn() > F.col("__w")
+    reason = F.when(F.col("__refusal").isin("no record", "unknown decision"), F.col("__refusal")).when(late, "not pending").otherwise(F.col("__refusal"))
+    out = judged.join(won, "record_id", "left").withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")
+    return out.select(*decisions.columns, "reject_reason")
+
+
+def approve_nodes(records: DataFrame, decisions: DataFrame, nodes: DataFrame, node_aliases: DataFrame, self_check: tuple[str, ...] = ("APPROVE",)) -> tuple[DataFrame, DataFrame]:
+    """(records, aliases) after decisions, and the step that follows approval: nodes approved just now get a system alias, if they have none."""
+    after = decide(records, decisions, self_check)
+    was = records.where("audit_result = 'PENDING' AND target_type = 'NODE'").select("id")
+    approved = after.where("audit_result = 'APPROVED'").join(was, "id", "left_semi").select(F.col("target_id").alias("id")).distinct()
+    named = nodes.select("id", "name").join(approved, "id", "left_semi")
+    have = node_aliases.where("alias_type = 'SYSTEM'").select("node_id")
+    return after, system_aliases(named).join(have, "node_id", "left_anti")
 
 
 #: Decisions that none but SUPER_ADMIN may take on their own submission, where entities are approved directly.
@@ -46,19 +94,22 @@ SELF_CHECKS = {"NODE": ("APPROVE", "REJECT"), "VESSEL": ("APPROVE",), "VESSEL_TY
 def decide_directly(rows: DataFrame, decisions: DataFrame, target_type: str) -> tuple[DataFrame, DataFrame]:
     """(rows, audit records) after direct decisions on entities (id, decision, auditor_id, roles, remark, decided_at).
 
-    audit_status becomes 1 for APPROVE and 2 for REJECT, whatever it was; of several decisions on an entity the last one by
-    time, then auditor, counts. Only admins decide, and none but SUPER_ADMIN on their own submission for the decisions of
-    SELF_CHECKS. Rows without submitter_id have none. Each decision that counts gives one record; others change nothing.
+    audit_status becomes 1 for APPROVE and 2 for REJECT, whatever it was; of the allowed decisions on an entity the last
+    one by time, then auditor, counts, whatever refused ones follow. Only admins decide, and none but SUPER_ADMIN on their
+    own submission for the decisions of SELF_CHECKS. Rows without submitter_id have none. Each decision that counts gives
+    one record; others change nothing.
     """
-    last = decisions.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("decided_at"), F.desc("auditor_id")))).where("__n = 1")
-    d = last.select("id", F.col("decision").alias("__decision"), F.col("auditor_id").alias("__auditor"), F.col("roles").alias("__roles"), F.col("remark").alias("__remark"), F.col("decided_at").alias("__at"))
-    submitter = F.col("submitter_id") if "submitter_id" in rows.columns else F.lit(None)
-    own = submitter.isNotNull() & (F.col("__auditor") == submitter) & F.col("__decision").isin(*SELF_CHECKS[target_type]) & ~may(F.col("__roles"))
-    joined = rows.join(d, "id", "left").withColumn("__takes", F.coalesce(F.col("__decision").isin("APPROVE", "REJECT") & may(F.col("__roles"), *ADMINS) & ~F.coalesce(own, F.lit(False)), F.lit(False)))
-    status = F.when(F.col("__decision") == "APPROVE", 1).otherwise(2)
-    after = joined.withColumn("audit_status", F.when(F.col("__takes"), status).otherwise(F.col("audit_status"))).select(rows.columns)
-    data = F.to_json(F.struct(status.alias("audit_status"), F.col("__remark").alias("remark")))
-    records = joined.where("__takes").select(F.lit(target_type).alias("target_type"), F.col("id").alias("target_id"), F.col("__decision").alias("action"), F.lit(None).cast("string").alias("before_data"), data.alias("after_data"), F.lit("APPROVED").alias("audit_result"), F.col("__auditor").alias("submitter_id"), F.col("__at").alias("created_at"))
+    submitter = F.col("submitter_id") if "submitter_id" in rows.columns else F.lit(None).cast("long")
+    asked = decisions.select("id", "decision", "auditor_id", "roles", "remark", "decided_at")
+    asked = asked.join(rows.select("id", submitter.alias("__submitter")), "id")
+    own = F.coalesce((F.col("auditor_id") == F.col("__submitter")) & F.col("decision").isin(*SELF_CHECKS[target_type]), F.lit(False)) & ~may(F.col("roles"))
+    allowed = asked.where(F.col("decision").isin(*DECISIONS) & may(F.col("roles"), *ADMINS) & ~own)
+    won = allowed.groupBy("id").agg(F.max(_turn()).alias("__w"))
+    status = F.when(F.col("__w.decision") == "APPROVE", 1).otherwise(2)
+    joined = rows.join(won, "id", "left")
+    after = joined.withColumn("audit_status", F.when(F.col("__w").isNotNull(), status).otherwise(F.col("audit_status"))).select(rows.columns)
+    data = F.to_json(F.struct(status.alias("audit_status"), F.col("__w.remark").alias("remark")))
+    records = won.select(F.lit(target_type).alias("target_type"), F.col("id").alias("target_id"), F.col("__w.decision").alias("action"), F.lit(None).cast("string").alias("before_data"), data.alias("after_data"), F.lit("APPROVED").alias("audit_result"), F.col("__w.auditor_id").alias("submitter_id"), F.col("__w.decided_at").alias("created_at"))
     return after, records
 
 

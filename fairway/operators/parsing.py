@@ -90,19 +90,40 @@ def after_parse(messages: DataFrame, results: DataFrame) -> DataFrame:
     return messages.join(r, "id", "left").withColumn("status", F.coalesce("__s", "status")).drop("__s")
 
 
+def first_confirmations(results: DataFrame, confirmations: DataFrame, status: str = "parse_status") -> DataFrame:
+    """The confirmation of each waiting result that counts: the first by confirmed_at, where there is such a column, then by all others; those after it find the result confirmed."""
+    order = [c for c in ("confirmed_at", "operator_id") if c in confirmations.columns]
+    fields = [*order, *[c for c in confirmations.columns if c not in ("id", *order)]]
+    if not fields:
+        return confirmations.distinct().join(results.where(F.col(status) == "PENDING_CONFIRM").select("id"), "id", "left_semi")
+    first = confirmations.groupBy("id").agg(F.min(F.struct(*fields)).alias("__first")).select("id", "__first.*").select(confirmations.columns)
+    return first.join(results.where(F.col(status) == "PENDING_CONFIRM").select("id"), "id", "left_semi")
+
+
 def confirm(results: DataFrame, confirmations: DataFrame, fields: list[str], status: str = "parse_status") -> tuple[DataFrame, DataFrame]:
-    """(opportunities, results) after confirmations (id and overriding fields).
+    """(opportunities, results) after confirmations (id, overriding fields and, if there are several of a result, confirmed_at).
 
-    Only results that wait for confirmation are confirmed; an override that is null, 0 or empty does not override.
+    Only results that wait for confirmation are confirmed, each once, by the first of its confirmations; an override that
+    is null, 0 or empty does not override. confirmation_records() has the audit records.
     """
-    given = confirmations.select("id", F.lit(True).alias("__hit"), *[F.col(f).alias(f"__o_{f}") for f in fields if f in confirmations.columns])
-    joined = results.join(given, "id", "left").withColumn("__ok", F.coalesce("__hit", F.lit(False)) & (F.col(status) == "PENDING_CONFIRM"))
-    merged = [(override(F.col(f"__o_{f}"), F.col(f)) if f in confirmations.columns else F.col(f)).alias(f) for f in fields]
+    first = first_confirmations(results, confirmations, status)
+    given = first.select("id", F.lit(True).alias("__hit"), *[F.col(f).alias(f"__o_{f}") for f in fields if f in first.columns])
+    joined = results.join(given, "id", "left").withColumn("__ok", F.coalesce("__hit", F.lit(False)))
+    merged = [(override(F.col(f"__o_{f}"), F.col(f)) if f in first.columns else F.col(f)).alias(f) for f in fields]
     opportunities = joined.where("__ok").select(F.col("id").alias("parse_result_id"), *merged, F.lit("ACTIVE").alias("status"), F.lit("AI").alias("input_type"))
     after = joined.withColumn(status, F.when(F.col("__ok"), "CONFIRMED").otherwise(F.col(status))).select(results.columns)
     return opportunities, after
 
 
+def confirmation_records(opportunities: DataFrame, results: DataFrame, confirmations: DataFrame, status: str = "parse_status") -> DataFrame:
+    """The audit record of each confirmation that counted, on the opportunity (parse_result_id, id) made of the result; `results` are those before."""
+    first = first_confirmations(results, confirmations, status)
+    pick = lambda c, kind: F.col(c) if c in first.columns else F.lit(None).cast(kind)
+    made = first.select(F.col("id").alias("parse_result_id"), pick("operator_id", "long").alias("submitter_id"), pick("confirmed_at", "timestamp_ntz").alias("created_at")).join(opportunities.select("parse_result_id", F.col("id").alias("target_id")), "parse_result_id")
+    data = F.to_json(F.struct(F.col("parse_result_id").alias("from_parse_result_id")))
+    return made.select(F.lit("CARGO_OPPORTUNITY").alias("target_type"), "target_id", F.lit("CONFIRM").alias("action"), F.lit(None).cast("string").alias("before_data"), data.alias("after_data"), F.lit("APPROVED").alias("audit_result"), "submitter_id", "created_at")
+
+
 def manual_opportunities(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) manual entries: nodes that are given must exist; accepted ones wait as PENDING."""
     known = nodes.select(F.col("id").alias("__id"), F.lit(True).alias("__known"))

@@ -450,29 +450,50 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", X.mean_truncated(F.col("a"), F.col("b"), F.col("c")).alias("overall3"), X.mean_truncated(F.col("a"), F.col("b"), F.col("c"), F.lit(90)).alias("overall4"), parsing.blended_confidence(F.col("a"), F.col("c"), F.col("c")).alias("blended"))
 
 
-@query("q43_confirm", """SELECT o_orderkey AS parse_result_id, CASE WHEN o_orderkey % 4 = 1 THEN 777 ELSE o_custkey END AS origin_node_id, CASE WHEN o_orderkey % 4 = 2 THEN CAST(5 AS DECIMAL(12,2)) ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS tonnage, 'ACTIVE' AS status FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 < 2 AND o_orderkey % 3 = 0""", plain="tonnage")
+@query("q43_confirm", """WITH a AS (SELECT o_orderkey AS id, 1 AS n, CASE WHEN o_orderkey % 4 = 1 THEN 777 WHEN o_orderkey % 4 = 3 THEN 0 END AS origin, CASE WHEN o_orderkey % 4 = 2 THEN CAST(5 AS DECIMAL(12,3)) WHEN o_orderkey % 4 = 0 THEN CAST(0 AS DECIMAL(12,3)) END AS tons FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, 2, 888, CAST(9 AS DECIMAL(12,3)) FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 3, 999, CAST(7.5 AS DECIMAL(12,3)) FROM orders WHERE o_orderkey % 7 = 0)
+SELECT o_orderkey AS parse_result_id, coalesce(nullif(origin, 0), o_custkey) AS origin_node_id, coalesce(nullif(tons, 0), CAST(o_totalprice AS DECIMAL(12,3))) AS tonnage, 'ACTIVE' AS status FROM orders JOIN a ON id = o_orderkey WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY n) = 1""", plain="tonnage")
 def confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmed results as opportunities; overrides of 0 and null do not count."""
+    """Confirmed results as opportunities: the first of up to three confirmations counts; overrides of 0 and null do not."""
     o = A.orders(spark, sf_dir)
-    results = o.select("id", F.col("customer_id").alias("origin_node_id"), F.col("freight_price").alias("tonnage"), F.when(F.col("status") == "P", "PENDING_CONFIRM").otherwise("CONFIRMED").alias("parse_status"))
+    results = o.select("id", F.col("customer_id").alias("origin_node_id"), F.col("freight_price").cast("decimal(12,3)").alias("tonnage"), F.when(F.col("status") == "P", "PENDING_CONFIRM").otherwise("CONFIRMED").alias("parse_status"))
     i = F.pmod("id", F.lit(4))
-    asked = o.where(F.pmod("id", F.lit(3)) == 0).select("id", F.when(i == 1, 777).when(i == 3, 0).cast("long").alias("origin_node_id"), F.when(i == 2, 5).when(i == 0, 0).cast("decimal(12,2)").alias("tonnage"))
+    made = lambda n, where, origin, tons: o.where(where).select("id", origin.cast("long").alias("origin_node_id"), tons.cast("decimal(12,3)").alias("tonnage"), (F.lit(datetime.datetime(2024, 1, n)).cast("timestamp_ntz")).alias("confirmed_at"))
+    third = F.pmod("id", F.lit(3)) == 0
+    asked = made(3, F.pmod("id", F.lit(7)) == 0, F.lit(999), F.lit(7.5)).unionByName(made(2, third, F.lit(888), F.lit(9)))
+    asked = asked.unionByName(made(1, third, F.when(i == 1, 777).when(i == 3, 0), F.when(i == 2, 5).when(i == 0, 0)))
     out, _ = parsing.confirm(results, asked, ["origin_node_id", "tonnage"])
     return out.select("parse_result_id", "origin_node_id", "tonnage", "status")
 
 
-@query("q44_audit", f"""WITH a AS ({_AUDIT}), d AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision, CASE WHEN event_id % 4 = 0 THEN user_id ELSE user_id + 1 END AS auditor, CASE event_id % 7 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' WHEN 2 THEN NULL ELSE 'ADMIN' END AS role FROM events WHERE event_id % 2 = 0),
-j AS (SELECT a.id, audit_result, decision, auditor, CASE WHEN decision IS NULL THEN NULL WHEN audit_result <> 'PENDING' THEN 'not pending' WHEN role IS NULL OR role = 'VIEWER' THEN 'no permission' WHEN auditor = submitter_id AND decision = 'APPROVE' AND role <> 'SUPER_ADMIN' THEN 'own submission' END AS reject_reason FROM a LEFT JOIN d ON a.id = d.id)
-SELECT id, CASE WHEN decision IS NOT NULL AND reject_reason IS NULL THEN CASE WHEN decision = 'APPROVE' THEN 'APPROVED' ELSE 'REJECTED' END ELSE audit_result END AS audit_result, CASE WHEN decision IS NOT NULL AND reject_reason IS NULL THEN auditor END AS auditor_id, reject_reason FROM j""")
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records after approvals and rejections under the rules of role and own submission; some deciders have null roles, or a null among them."""
-    r = A.audit_records(spark, sf_dir)
-    i = F.col("event_id")
-    e = table(spark, sf_dir, "events").where(i % 2 == 0)
+#: Up to three decisions on a record: each in turn by another kind of decider.
+_DECIDED = """SELECT event_id AS id, n, CASE WHEN (event_id + n) % 11 = 0 THEN 'MAYBE' WHEN (event_id + n) % 3 = 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision, CASE WHEN (event_id + n) % 4 = 0 THEN user_id ELSE user_id + 1 END AS auditor, CASE (event_id + n) % 7 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' WHEN 2 THEN NULL ELSE 'ADMIN' END AS role
+FROM events, (SELECT unnest([0, 1, 2]) AS n) WHERE event_id % 2 = 0 AND event_id % 5 >= n"""
+_JUDGED = f"""SELECT a.id, n, a.audit_result, decision, auditor, CASE WHEN decision = 'MAYBE' THEN 'unknown decision' WHEN audit_result <> 'PENDING' THEN 'not pending' WHEN role IS NULL OR role = 'VIEWER' THEN 'no permission' WHEN auditor = submitter_id AND decision = 'APPROVE' AND role <> 'SUPER_ADMIN' THEN 'own submission' END AS refusal FROM ({_AUDIT}) a JOIN ({_DECIDED}) d ON a.id = d.id"""
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions of _DECIDED; some deciders have null roles, or a null among them."""
+    e = table(spark, sf_dir, "events").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("event_id % 2 = 0 AND event_id % 5 >= n")
+    i = F.col("event_id") + F.col("n")
     role = F.when(i % 7 == 0, "SUPER_ADMIN").when(i % 7 == 1, "VIEWER").when(i % 7 != 2, "ADMIN")
-    d = e.select(i.alias("record_id"), F.when(i % 3 == 0, "REJECT").otherwise("APPROVE").alias("decision"), F.when(i % 4 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("auditor_id"), F.when(i % 14 != 2, F.array(role)).alias("roles"), F.lit("ok").alias("remark"), F.col("ts").alias("decided_at"))
-    later = d.withColumn("decision", F.lit("APPROVE")).withColumn("decided_at", F.col("decided_at") + F.expr("INTERVAL 1 HOUR"))
-    return governance.decide(r, d.unionByName(later)).select("id", "audit_result", "auditor_id", "reject_reason")
+    decision = F.when(i % 11 == 0, "MAYBE").when(i % 3 == 0, "REJECT").otherwise("APPROVE")
+    at = F.col("ts") + F.make_dt_interval(hours=F.col("n"))
+    return e.select(F.col("event_id").alias("record_id"), decision.alias("decision"), F.when(i % 4 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("auditor_id"), F.when(i % 14 != 2, F.array(role)).alias("roles"), F.concat(F.lit("try "), F.col("n")).alias("remark"), at.alias("decided_at"))
+
+
+@query("q44_audit", f"""WITH j AS ({_JUDGED}), w AS (SELECT id, arg_min(decision, n) AS decision, arg_min(auditor, n) AS auditor FROM j WHERE refusal IS NULL GROUP BY 1), f AS (SELECT id, arg_min(refusal, n) AS refusal FROM j GROUP BY 1)
+SELECT a.id, CASE w.decision WHEN 'APPROVE' THEN 'APPROVED' WHEN 'REJECT' THEN 'REJECTED' ELSE a.audit_result END AS audit_result, w.auditor AS auditor_id, CASE WHEN w.id IS NULL THEN f.refusal END AS reject_reason FROM ({_AUDIT}) a LEFT JOIN w ON w.id = a.id LEFT JOIN f ON f.id = a.id""")
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records after up to three approvals and rejections each, under the rules of role and own submission."""
+    return governance.decide(A.audit_records(spark, sf_dir), _decisions(spark, sf_dir)).select("id", "audit_result", "auditor_id", "reject_reason")
+
+
+@query("q44b_refused", f"""WITH j AS ({_JUDGED}), w AS (SELECT id, min(n) AS won FROM j WHERE refusal IS NULL GROUP BY 1)
+SELECT j.id AS record_id, 'try ' || n AS remark, CASE WHEN refusal = 'unknown decision' THEN refusal WHEN n > won THEN 'not pending' ELSE refusal END AS reject_reason FROM j LEFT JOIN w ON w.id = j.id WHERE refusal IS NOT NULL OR n > won""")
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every refused decision with its reason."""
+    return governance.refused(A.audit_records(spark, sf_dir), _decisions(spark, sf_dir)).select("record_id", "remark", "reject_reason")
 
 
 @query("q45_latest", """SELECT user_id AS vessel_id, arg_max(event_id, (ts, event_id)) AS id, arg_max(event_type, (ts, event_id)) AS vessel_status FROM events GROUP BY 1""")
@@ -626,16 +647,19 @@ def pending_for_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.pending_for(a, "NODE", 7).select("id", "target_type", "submitter_id")
 
 
-_DIRECT = """SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS submitter_id, CASE s_suppkey % 3 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'APPROVE' END AS decision, CAST(s_suppkey % 25 AS BIGINT) AS auditor, CASE s_suppkey % 5 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' ELSE 'ADMIN' END AS role FROM supplier"""
+_DIRECT = """SELECT s_suppkey AS id, n, CAST(s_nationkey AS BIGINT) AS submitter_id, CASE (s_suppkey + n) % 4 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'APPROVE' WHEN 2 THEN 'LATER' END AS decision, CAST((s_suppkey + n) % 25 AS BIGINT) AS auditor, CASE (s_suppkey + n) % 5 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'VIEWER' ELSE 'ADMIN' END AS role FROM supplier, (SELECT unnest([0, 1, 2]) AS n)"""
 
 
-@query("q64_direct_decisions", f"""SELECT id, CAST(CASE WHEN decision IS NULL OR role = 'VIEWER' OR (auditor = submitter_id AND role <> 'SUPER_ADMIN') THEN 0 WHEN decision = 'APPROVE' THEN 1 ELSE 2 END AS INTEGER) AS audit_status FROM ({_DIRECT})""")
+@query("q64_direct_decisions", f"""WITH w AS (SELECT id, arg_max(decision, n) AS decision FROM ({_DIRECT}) WHERE decision IN ('APPROVE', 'REJECT') AND role <> 'VIEWER' AND NOT (auditor = submitter_id AND role <> 'SUPER_ADMIN') GROUP BY 1)
+SELECT s_suppkey AS id, CAST(CASE decision WHEN 'APPROVE' THEN 1 WHEN 'REJECT' THEN 2 ELSE 0 END AS INTEGER) AS audit_status FROM supplier LEFT JOIN w ON id = s_suppkey""")
 def direct_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes approved or rejected directly, none by those who submitted them."""
+    """Nodes approved or rejected directly, three times each, none by those who submitted them."""
     n = A.nodes(spark, sf_dir).select("id", F.col("waterway_id").alias("submitter_id"), F.lit(0).alias("audit_status"))
-    i = F.col("id")
+    asked = n.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    i = F.col("id") + F.col("n")
     role = F.when(i % 5 == 0, "SUPER_ADMIN").when(i % 5 == 1, "VIEWER").otherwise("ADMIN")
-    d = n.where(i % 3 != 2).select("id", F.when(i % 3 == 0, "REJECT").otherwise("APPROVE").alias("decision"), F.pmod(i, F.lit(25)).alias("auditor_id"), F.array(role).alias("roles"), F.lit("ok").alias("remark"), F.lit(datetime.datetime(2024, 1, 1)).alias("decided_at"))
+    at = F.lit(datetime.datetime(2024, 1, 1)) + F.make_dt_interval(hours=F.col("n"))
+    d = asked.select("id", F.when(i % 4 == 0, "REJECT").when(i % 4 == 1, "APPROVE").when(i % 4 == 2, "LATER").alias("decision"), F.pmod(i, F.lit(25)).alias("auditor_id"), F.array(role).alias("roles"), F.lit("ok").alias("remark"), at.alias("decided_at"))
     return governance.decide_directly(n, d, "NODE")[0].select("id", "audit_status")
 
 

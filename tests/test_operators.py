@@ -94,6 +94,52 @@ def test_audit(spark):
     assert strict.where("id = 4").first().reject_reason == "own submission"
 
 
+def decisions_of(spark, key, rows_):
+    made = [(a, b, c, e, f"r{c}", datetime.datetime(2024, 1, f)) for a, b, c, e, f in rows_]
+    return spark.createDataFrame(made, f"{key} long, decision string, auditor_id long, roles array<string>, remark string, decided_at timestamp")
+
+
+def test_refused_decisions_stand_in_nobodys_way(spark):
+    records = spark.createDataFrame([(i, 7, "PENDING" if i < 5 else "REJECTED", "NODE", 10 + i) for i in range(1, 6)], "id long, submitter_id long, audit_result string, target_type string, target_id long")
+    d = [
+        (1, "APPROVE", 9, ["OPERATOR"], 1), (1, "APPROVE", 7, ["ADMIN"], 2), (1, "APPROVE", 8, ["ADMIN"], 3), (1, "REJECT", 8, ["ADMIN"], 4), (1, "REJECT", 9, ["OPERATOR"], 5),
+        (2, "MAYBE", 8, ["ADMIN"], 1), (2, None, 8, ["ADMIN"], 2),
+        (3, "REJECT", 8, ["ADMIN"], 2), (3, "APPROVE", 8, ["SUPER_ADMIN"], 1),
+        (4, "APPROVE", 7, ["ADMIN"], 1), (4, "APPROVE", 9, None, 2),
+        (5, "APPROVE", 8, ["ADMIN"], 1), (99, "APPROVE", 8, ["ADMIN"], 1),
+    ]
+    decisions = decisions_of(spark, "record_id", d)
+    got = {r.id: (r.audit_result, r.auditor_id, r.audit_remark, r.reject_reason) for r in governance.decide(records, decisions).collect()}
+    assert got == {1: ("APPROVED", 8, "r8", None), 2: ("PENDING", None, None, "unknown decision"), 3: ("APPROVED", 8, "r8", None), 4: ("PENDING", None, None, "own submission"), 5: ("REJECTED", None, None, "not pending")}
+    why = sorted((r.record_id, r.decided_at.day, r.reject_reason) for r in governance.refused(records, decisions).collect())
+    assert why == [(1, 1, "no permission"), (1, 2, "own submission"), (1, 4, "not pending"), (1, 5, "not pending"), (2, 1, "unknown decision"), (2, 2, "unknown decision"), (3, 2, "not pending"), (4, 1, "own submission"), (4, 2, "no permission"), (5, 1, "not pending"), (99, 1, "no record")]
+    nodes = spark.createDataFrame([(11, "P"), (13, "Q"), (14, "R")], "id long, name string")
+    have = spark.createDataFrame([(13, "SYSTEM")], "node_id long, alias_type string")
+    after, aliases = governance.approve_nodes(records, decisions, nodes, have)
+    assert rows(aliases, "node_id", "alias_name") == [(11, "P")] and after.where("audit_result = 'APPROVED'").count() == 2
+
+
+def test_direct_decisions_count_by_permission_first(spark):
+    things = spark.createDataFrame([(i, 7, 0) for i in range(1, 5)], "id long, submitter_id long, audit_status int")
+    d = [(1, "APPROVE", 8, ["ADMIN"], 1), (1, "REJECT", 9, ["OPERATOR"], 2), (2, "REJECT", 8, ["ADMIN"], 1), (2, "APPROVE", 7, ["ADMIN"], 2), (3, "APPROVE", 8, ["ADMIN"], 1), (3, "MAYBE", 8, ["ADMIN"], 2), (4, None, 8, ["ADMIN"], 1)]
+    after, records = governance.decide_directly(things, decisions_of(spark, "id", d), "NODE")
+    assert rows(after, "id", "audit_status") == [(1, 1), (2, 2), (3, 1), (4, 0)]
+    assert rows(records, "target_id", "action", "submitter_id") == [(1, "APPROVE", 8), (2, "REJECT", 8), (3, "APPROVE", 8)]
+
+
+def test_one_confirmation_a_result(spark):
+    results = spark.createDataFrame([(i, 5, "PENDING_CONFIRM" if i < 4 else "CONFIRMED") for i in range(1, 5)], "id long, origin_node_id long, parse_status string")
+    day = lambda n: datetime.datetime(2024, 1, n)
+    asked = spark.createDataFrame([(1, 8, 20, day(2)), (1, 9, 0, day(1)), (1, 9, 0, day(1)), (2, 8, 21, day(3)), (2, 8, None, day(4)), (4, 8, 22, day(1)), (77, 8, 1, day(1))], "id long, operator_id long, origin_node_id long, confirmed_at timestamp_ntz")
+    made, after = parsing.confirm(results, asked, ["origin_node_id"])
+    assert rows(made, "parse_result_id", "origin_node_id") == [(1, 5), (2, 21)]
+    assert rows(after, "id", "parse_status") == [(1, "CONFIRMED"), (2, "CONFIRMED"), (3, "PENDING_CONFIRM"), (4, "CONFIRMED")]
+    audit = parsing.confirmation_records(made.withColumn("id", F.col("parse_result_id") + 100), results, asked)
+    assert rows(audit, "target_id", "action", "submitter_id", "after_data") == [(101, "CONFIRM", 9, '{"from_parse_result_id":1}'), (102, "CONFIRM", 8, '{"from_parse_result_id":2}')]
+    twice = spark.createDataFrame([(1,), (1,)], "id long")
+    assert rows(parsing.confirm(results, twice, ["origin_node_id"])[0], "parse_result_id") == [(1,)]
+
+
 def test_direct_decisions(spark):
     things = spark.createDataFrame([(i, 7, 0) for i in range(1, 7)], "id long, submitter_id long, audit_status int")
     d = [(1, "APPROVE", 8, ["ADMIN"], 1), (1, "REJECT", 9, ["ADMIN"], 2), (2, "APPROVE", 7, ["ADMIN"], 1), (3, "REJECT", 7, ["ADMIN"], 1), (4, "APPROVE", 7, ["SUPER_ADMIN"], 1), (5, "APPROVE", 8, None, 1), (9, "APPROVE", 8, ["ADMIN"], 1)]
