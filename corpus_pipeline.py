@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairway.llm import exact_dedup, importance, packing, simhash
 from fairway.llm.bpe import VOCABULARY
-from fairway.llm.common import WRITTEN, bounded, materialise, sweep, table
+from fairway.llm.common import bounded, materialise, sweep, table, tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of `sf_dir`."""
-    docs, before = table(spark, sf_dir, "documents"), list(WRITTEN)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-        sweep(spark, before, docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages on the documents of `sf_dir`; the tables behind a stage go once its result is written, other queries' stay."""
+    docs = table(spark, sf_dir, "documents")
+    with tables() as own:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+            sweep(spark, own, docs)
+        return STAGES[-1][1](spark, docs, sf_dir)

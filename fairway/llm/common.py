@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,27 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-#: Paths of the tables that this driver wrote to the shared folder, oldest first.
-WRITTEN: list[str] = []
+#: Where tables() notes what is written to the shared folder; other threads and frames made outside have no part in it.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths of the tables that the block's own code writes to the shared folder, oldest first."""
+    paths: list[str] = []
+    outer = _NOTED.get()
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
+        if outer is not None:
+            outer.extend(paths)
+
+
+def _note(path: str) -> None:
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +78,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    _note(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["written_to"] = path
     return out
@@ -67,15 +88,18 @@ def in_place(df: DataFrame, name: str, rows: int) -> DataFrame:
     """Writes `df` (of so many rows) with the columns sender and rid: the partition that a row is in, and its number.
 
     The table is bucketed by sender, each sender's rows in one bucket, so that a join on (sender, rid) or (sender, h) moves
-    the other side to the rows and leaves these where they are.
+    the other side to the rows and leaves these where they are. The table is in the catalogue for a moment, in the schema
+    that the session's fairway.schema names, else the current one.
     """
     spark = df.sparkSession
     buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
-    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    name = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    schema = spark.conf.get("fairway.schema", None)
+    table = f"{schema}.{name}" if schema else name
     numbered = df.withColumns({"sender": F.spark_partition_id(), "rid": F.monotonically_increasing_id()})
-    path = f"{shared_dir(spark)}/{table}"
+    path = f"{shared_dir(spark)}/{name}"
     numbered.write.bucketBy(buckets, "sender").option("path", path).saveAsTable(table)
-    WRITTEN.append(path)
+    _note(path)
     out = spark.table(table)
     out.schema  # resolved before its name goes; the files stay
     spark.sql(f"DROP TABLE {table}")
@@ -85,8 +109,6 @@ def in_place(df: DataFrame, name: str, rows: int) -> DataFrame:
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in WRITTEN:
-        WRITTEN.remove(path)
 
 
 def forget(df: DataFrame) -> None:
@@ -94,10 +116,11 @@ def forget(df: DataFrame) -> None:
     _remove(df.sparkSession, df.__dict__["written_to"])
 
 
-def sweep(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
-    """Removes the tables written since WRITTEN was `before`, except the materialise()d frame that stays."""
-    for path in [p for p in WRITTEN if p not in before and p != keep.__dict__["written_to"]]:
+def sweep(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Removes the noted tables() except that of the materialise()d frame that stays."""
+    for path in [p for p in paths if p != keep.__dict__["written_to"]]:
         _remove(spark, path)
+        paths.remove(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,13 +2,14 @@
 
 import os
 import re
+import threading
 
 import duckdb
 import pandas as pd
 import pytest
 
 import corpus_pipeline
-from fairway.llm import registry
+from fairway.llm import exact_dedup, registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -50,4 +51,20 @@ def test_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in registry.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in registry.QUERIES] == list(range(1, 14))
+
+
+def test_a_run_leaves_the_tables_of_others(spark, monkeypatch):
+    """Frames made before a run, or meanwhile by another thread, still read their tables after it."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    frames = [exact_dedup.exact_groups(docs)]
+
+    def meanwhile(spark, docs, sf_dir):
+        other = threading.Thread(target=lambda: frames.append(exact_dedup.exact_groups(docs)))
+        other.start()
+        other.join()
+        return exact_dedup.exact_dedup(docs)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("meanwhile", meanwhile), ("last", lambda spark, docs, sf_dir: docs)])
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert [f.count() for f in frames] == [docs.count()] * 2
