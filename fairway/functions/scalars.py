@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType
 
+from fairway.functions.similarity import block_ratios
+
 EARTH_KM, WINDING = 6371.0, 1.5
 
 
@@ -92,34 +93,16 @@ def text_or_null(c: Column) -> Column:
     return F.when(c != 0, c.cast("string"))
 
 
-class Ratios:
-    """Matching-blocks similarities, first text first: they are not symmetric. What is known of a second text is kept for the next first one."""
-
-    def __init__(self, least: float = 0.0, kept: int = 20_000):
-        self.least, self.kept, self.known = least, kept, {}
-
-    def __call__(self, a: str | None, b: str | None) -> float:
-        """The ratio; 0 where either is empty, or where the letters alone show that it is below `least`."""
-        if not a or not b:
-            return 0.0
-        m = self.known.get(b)
-        if m is None:
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            m = self.known[b] = SequenceMatcher(None, "", b)
-        m.set_seq1(a)
-        if self.least and (m.real_quick_ratio() < self.least or m.quick_ratio() < self.least):
-            return 0.0
-        return m.ratio()
-
-
 def ratio_udf(least: float = 0.0):
-    """The similarity as a function of two columns; ratios below `least` may come out as 0."""
+    """The similarity as a function of two columns, first text first: it is not symmetric. 0 where either is empty or null; ratios below `least` may come out as 0."""
 
     @F.pandas_udf(DoubleType())
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        ratio = Ratios(least)
-        return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+        n, m = (x.str.len().fillna(0) for x in (a.astype("object"), b.astype("object")))
+        asked = (n > 0) & (m > 0) & (2.0 * np.minimum(n, m) >= least * (n + m))
+        out = np.zeros(len(a))
+        out[asked.to_numpy(bool)] = block_ratios(a[asked].tolist(), b[asked].tolist())
+        return pd.Series(out, dtype="float64")
 
     return similarity
 

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairway.operators.ordered import numbered
+
 
 def with_new_ids(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Fills null ids with numbers after the largest. New rows are a batch of inserts, numbered in 64 windows by hash."""
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    given = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__given"))
-    content = F.xxhash64(*[c for c in rows.columns])
-    numbered = rows.withColumn("__slot", F.pmod(content, F.lit(64))).withColumn("__i", F.row_number().over(Window.partitionBy("__slot").orderBy(content, *rows.columns)))
-    sizes = numbered.groupBy("__slot").agg(F.count("*").alias("__size"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 64 rows at most
-    joined = numbered.join(F.broadcast(before.drop("__size")), "__slot").crossJoin(F.broadcast(top)).crossJoin(F.broadcast(given))
-    fresh = F.greatest("__top", "__given") + F.col("__before") + F.col("__i")
-    return joined.withColumn("id", F.coalesce("id", fresh)).select(rows.columns)
+    """Fills null ids with the numbers after the largest id of both, each once and without gaps; rows with an id keep it."""
+    fresh = numbered(rows.where("id IS NULL").drop("id"), "__number")
+    top = existing.select("id").unionByName(rows.select("id")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    kind = rows.schema["id"].dataType
+    made = fresh.crossJoin(F.broadcast(top)).withColumn("id", (F.col("__top") + F.col("__number")).cast(kind))  # the top is one row
+    return rows.where("id IS NOT NULL").unionByName(made.select(rows.columns))
 
 
 def absent(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,10 +27,18 @@ def present(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(existing.select(*keys), keys, "left_semi")
 
 
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that repeat a key, the largest by its other columns in their order: a batch that names a key twice changes it once."""
+    fields = [c for c in rows.columns if c not in keys]
+    if not fields:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("__row")).select(*keys, "__row.*").select(rows.columns)
+
+
 def update_rows(df: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the changed values in place; null in a change leaves the old value."""
+    """Rows with the changed values in place; null in a change leaves the old value. Of changes that repeat a key one_per_key() counts."""
     fields = [c for c in changed.columns if c not in keys]
-    new = changed.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in fields])
+    new = one_per_key(changed, keys).select(*keys, *[F.col(c).alias(f"__new_{c}") for c in fields])
     joined = df.join(new, keys, "left")
     return joined.select(*[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
 
@@ -42,9 +48,9 @@ def delete_rows(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of their key; old keys without a new row stay as they are."""
+    """New rows replace old ones of their key; old keys without a new row stay as they are. Of new rows that repeat a key one_per_key() counts."""
     fields = [c for c in old.columns if c not in keys]
-    renamed = new.select(*keys, F.lit(True).alias("__is_new"), *[F.col(c).alias(f"__new_{c}") for c in fields])
+    renamed = one_per_key(new.select(*keys, *fields), keys).select(*keys, F.lit(True).alias("__is_new"), *[F.col(c).alias(f"__new_{c}") for c in fields])
     joined = old.join(renamed, keys, "full_outer")
     return joined.select(*keys, *[F.when(F.col("__is_new"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) for c in fields])
 

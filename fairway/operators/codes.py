@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fairway.operators.ordered import running_sum
+
 #: The names that mark a basin, tested in this order; no name: the default.
 BASINS = {
     "08": ["运河", "人工水道", "灌渠", "引水渠", "引水工程", "输水干线"],
@@ -51,11 +53,13 @@ def allocate(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame
     """Codes for a batch of new rows (name, level, parent_id): numbers go on after the largest among the siblings, in this order.
 
     Numbers are taken from all siblings of a parent, whatever their basin and level, so codes are unique below a parent.
+    A parent's new rows are counted in slices of the first order column, so a parent may have any number of them.
     """
     used = existing.groupBy("parent_id").agg(F.coalesce(F.max(sequence_of(F.col("code"))), F.lit(0)).alias("__used"))
     parents = existing.select(F.col("id").alias("__pid"), F.col("code").alias("__pcode"))
     rows = new.join(used.withColumnRenamed("parent_id", "__sid"), F.col("parent_id").eqNullSafe(F.col("__sid")), "left").join(parents, F.col("parent_id") == F.col("__pid"), "left")
-    number = F.coalesce("__used", F.lit(0)) + F.row_number().over(Window.partitionBy("parent_id").orderBy(*order))
+    rows = running_sum(rows, ["parent_id"], order, F.lit(1).cast("long"), "__nth")
+    number = F.coalesce("__used", F.lit(0)) + F.col("__nth")
     return rows.withColumn("code", code(basin(F.col("name"), F.col("__pcode")), level_segment(F.col("level"), F.col("parent_id")), number)).select(*new.columns, "code")
 
 

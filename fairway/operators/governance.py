@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fairway.operators.ordered import with_prior
+
 ADMINS = ("SUPER_ADMIN", "ADMIN")
 
 
@@ -144,11 +146,11 @@ def latest(events: DataFrame, key: str, time: str = "ts", tie: str = "id") -> Da
     return top.select(key, "__top.*").select(events.columns)
 
 
-def change_log(events: DataFrame, key: str, value: str, time: str = "ts", tie: str = "id") -> DataFrame:
-    """(key, old_value, new_value, changed_at) wherever the value differs from the one before."""
-    w = Window.partitionBy(key).orderBy(time, tie)
-    prior = events.select(key, F.col(value).alias("new_value"), F.col(time).alias("changed_at"), F.lag(value).over(w).alias("old_value"), F.row_number().over(w).alias("__n"))
-    return prior.where((F.col("__n") > 1) & ~F.col("old_value").eqNullSafe(F.col("new_value"))).select(key, "old_value", "new_value", "changed_at")
+def change_log(events: DataFrame, key: str, value: str, time: str = "ts", tie: str = "id", slice_rows: int | None = None) -> DataFrame:
+    """(key, old_value, new_value, changed_at) wherever the value differs from the one before; a key of any size, in slices of time."""
+    prior = with_prior(events.select(key, value, time, tie), [key], [time, tie], [value], slice_rows)
+    old = F.col("__prior").getField(value)
+    return prior.where(F.col("__prior").isNotNull() & ~old.eqNullSafe(F.col(value))).select(key, old.alias("old_value"), F.col(value).alias("new_value"), F.col(time).alias("changed_at"))
 
 
 def snapshots(before: DataFrame, after: DataFrame, key: str, target_type: str, action: str, submitter: Column, now: Column) -> DataFrame:

@@ -1,61 +1,77 @@
 """Linking of free text to entities: two matchers with their own scores, thresholds and tie-breaks.
 
-Distinct texts meet the dictionary once: all of it while it is small enough to be broadcast, else what an index over
-letters finds. Exact and containment rules are columns, and only pairs that no rule decides, and whose lengths and letters
-don't rule them out, reach the similarity function in Python.
+The dictionary is cut into shards, the distinct texts into parts, and each pair of a shard and a part is a cell: one task
+builds an index over the shard's forms (fairway.functions.similarity) and streams the part's texts past it. The index
+says which forms equal a text, contain it, are contained in it or may be similar to it; only the last are compared, many
+pairs at once. A cell returns no more than the best few of a text, and Spark merges those of the shards. So no pair of a
+text and an entity is ever a row, no letter or word is a key, and memory is that of a shard.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fairway.functions.scalars import Ratios, percent_half_even, percent_truncated, ratio_bound, ratio_udf, strip_unicode
+from fairway.functions.scalars import strip_unicode
+from fairway.functions.similarity import FormIndex
 
-#: Rows of a dictionary that may be broadcast.
-DICTIONARY_ROWS = 200_000
+#: Rows of the dictionary in a shard; texts whose candidates are compared in one go.
+SHARD_ROWS, TOGETHER = 100_000, 256
 
+Best = Callable[[list[str]], Iterator[list[tuple]]]
 
-def _lettered(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, __size, __letter): the letters of each text, numbered where they repeat."""
-    letters = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
-    one = df.select(*key, letters.alias("__ls"))
-    number = lambda c, i: F.concat(c, F.size(F.filter(F.slice("__ls", 1, i + 1), lambda x: x == c)).cast("string"))
-    return one.select(*key, F.size("__ls").alias("__size"), F.explode(F.transform("__ls", number)).alias("__letter"))
 
+def _cells(asked: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(cell, is_text, text, t, row...) sorted by cell, dictionary first, and the number of shards.
 
-def letter_pairs(texts: DataFrame, forms: DataFrame, key: str, least: float) -> DataFrame:
-    """(__t, key) of all pairs of a text and a form (key, __m) that are equal, contain each other or may reach the ratio `least`.
-
-    An index over letters, the rarest first: texts of a ratio share a letter among the first few of both, and the rarest
-    letter of a text is in every other that contains it. Blank texts and forms pair with all, as the rules have it.
+    All rows of an entity are in one shard, by a hash of `key`. Dictionary and texts are dealt to shards times parts, of
+    which there are as many as shuffle partitions; a larger dictionary has more shards and each fewer parts.
     """
-    f, t = _lettered(forms, [key, "__m"], "__m"), _lettered(texts, ["__t"], "__t")
-    often = f.groupBy("__letter").agg(F.count("*").alias("__often"))
-
-    def placed(df: DataFrame, own: list[str]) -> DataFrame:
-        w = Window.partitionBy(*own).orderBy(F.coalesce("__often", F.lit(0)), "__letter")
-        kept = F.col("__size") - F.ceil(least * F.col("__size") / (2 - least) - 1e-9) + 1
-        return df.join(often, "__letter", "left").withColumn("__place", F.row_number().over(w)).withColumn("__prefix", F.col("__place") <= kept)
-
-    f, t = placed(f, [key, "__m"]), placed(t, ["__t"])
-    f = f.select(key, "__letter", (F.col("__place") == 1).alias("__f1"), F.col("__prefix").alias("__fp"))
-    t = t.select("__t", "__letter", (F.col("__place") == 1).alias("__t1"), F.col("__prefix").alias("__tp"))
-    sides = [(t.where("__tp"), f.where("__fp")), (t.where("__t1"), f), (t, f.where("__f1"))]
-    found = [x.join(y, "__letter").select("__t", key) for x, y in sides]
-    blank = texts.where("__t = ''").crossJoin(forms.select(key)), texts.crossJoin(forms.where("__m = ''").select(key))  # one text at most; forms should not be blank
-    return reduce(DataFrame.unionByName, [*found, *blank]).distinct()
-
-
-def _pairs(asked: DataFrame, rows: DataFrame, forms: DataFrame, key: str, least: float) -> DataFrame:
-    """The texts with the dictionary rows that they may match: all of them while the dictionary is small enough to be broadcast."""
-    if rows.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS:
-        return asked.join(F.broadcast(rows), F.lit(True))
-    return asked.join(letter_pairs(asked.select("__t").distinct(), forms, key, least), "__t").join(rows, key)
+    spark = rows.sparkSession
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    left = rows.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("__cell", shard * parts + F.col("__part"))
+    right = asked.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("__cell", F.col("__shard") * parts + F.pmod(F.hash("text"), F.lit(parts)))
+    left, right = left.drop("__part").withColumn("__asks", F.lit(0)), right.drop("__shard").withColumn("__asks", F.lit(1))
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.repartitionById(shards * parts, F.col("__cell")).sortWithinPartitions("__cell", "__asks"), shards
+
+
+def _stream(build: Callable[[pa.Table], Best], schema: pa.Schema):
+    """Per cell: build() makes a function of the dictionary's rows, which finds the best of TOGETHER texts at a time."""
+
+    def answers(best: Best, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, compared = batch.column("text").to_pylist(), batch.column("__t").to_pylist()
+        for a in range(0, len(texts), TOGETHER):
+            found = [(text, *r) for text, rows in zip(texts[a : a + TOGETHER], best(compared[a : a + TOGETHER])) for r in rows]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), schema.types)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, best = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("__cell").to_numpy() * 2 + batch.column("__asks").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)].tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part, of = batch.slice(a, b - a), int(keys[a]) // 2
+                if of != cell:
+                    cell, held, best = of, [], None
+                if keys[a] % 2 == 0:
+                    held.append(part)
+                elif held or best:
+                    if best is None:
+                        best, held = build(pa.Table.from_batches(held)), []
+                    yield from answers(best, part)
+
+    return run
 
 
 def dictionary(entities: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
@@ -64,28 +80,10 @@ def dictionary(entities: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     return entities.select("id", "name").join(lists, "id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
-def _fuzzy(least: float):
-    """(ratio, via) of the name or the alias that is most similar to a text; the name where an alias is not better in whole percent."""
-
-    @F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("via", StringType())]))
-    def best(text: pd.Series, name: pd.Series, aliases: pd.Series) -> pd.DataFrame:
-        ratio, rows = Ratios(least), []
-        for t, n, others in zip(text, name, aliases):
-            top, via = ratio(t, n), "fuzzy"
-            for a in others if others is not None else ():
-                if int((r := ratio(t, a)) * 100) > int(top * 100):
-                    top, via = r, "alias_fuzzy"
-            rows.append((top, via))
-        return pd.DataFrame(rows, columns=["ratio", "via"])
-
-    return best
-
-
 def _distinct_texts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(text, __t): the distinct texts that can match, and how they are compared; dealt out anew, for a few of them are work for many tasks."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(text, __t): the distinct texts that can match, and how they are compared."""
     asked = texts.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").distinct()
-    return asked.repartition(parts, "text").withColumn("__t", F.lower(strip_unicode(F.col("text"))))
+    return asked.withColumn("__t", F.lower(strip_unicode(F.col("text"))))
 
 
 def rule_score(text: Column, name: Column, aliases: Column) -> Column:
@@ -100,26 +98,106 @@ def rule_score(text: Column, name: Column, aliases: Column) -> Column:
     )
 
 
+def _owners(pairs: list[tuple[str | None, object]]) -> tuple[list[str], list[list]]:
+    """Distinct forms, and what has each of them."""
+    by_form: dict[str, list] = {}
+    for form, owner in pairs:
+        if form is not None:
+            by_form.setdefault(form, []).append(owner)
+    return list(by_form), list(by_form.values())
+
+
+def _entities(threshold: int, top_k: int, fuzzy: bool, least: float):
+    """The first matcher over the rows (id, name, __n, __a) of a shard: (id, name, score, via) of the best of each text."""
+    rule = {(True, True): (100, "exact"), (True, False): (95, "alias_exact"), (False, True): (85, "contains"), (False, False): (80, "alias_contains")}
+
+    def build(t: pa.Table) -> Best:
+        ids, names, lower, aliases = (t.column(c).to_pylist() for c in ("id", "name", "__n", "__a"))
+        forms, owners = _owners([(n, (e, True)) for e, n in enumerate(lower)] + [(a, (e, False)) for e, al in enumerate(aliases) for a in al or ()])
+        index = FormIndex(forms)
+
+        def best(texts: list[str]) -> Iterator[list[tuple]]:
+            ruled, found = [], []
+            for text in texts:
+                equal, inside, count = index.related(text)
+                scores: dict[int, tuple[int, str]] = {}
+                for f in inside.tolist():
+                    for e, is_name in owners[f]:
+                        scores[e] = max(scores.get(e, (0, "")), rule[f == equal, is_name])
+                ruled.append(scores)
+                if not fuzzy:
+                    found.append(np.zeros(0, np.int64))
+                    continue
+                enough = heapq.nlargest(top_k, (s for s, _ in scores.values()))
+                floor = max(least, enough[-1] / 100 - 1e-9) if len(enough) == top_k and least > 0 else least  # what is below can't come in
+                found.append(index.candidates(text, count, floor, inside))
+            for scores, cand, ratios in zip(ruled, found, index.ratios(texts, found)):
+                near: dict[int, tuple[int, bool]] = {}
+                for f, r in zip(cand.tolist(), ratios.tolist()):
+                    for e, is_name in owners[f]:
+                        if e not in scores:
+                            near[e] = max(near.get(e, (-1, False)), (int(r * 100), is_name))
+                scores |= {e: (s, "fuzzy" if is_name else "alias_fuzzy") for e, (s, is_name) in near.items()}
+                top = heapq.nsmallest(top_k, ((-s, ids[e], e) for e, (s, _) in scores.items() if s >= threshold))
+                yield [(ids[e], names[e], -s, scores[e][1]) for s, _, e in top]
+
+        return best
+
+    return build
+
+
 def match_entities(texts: DataFrame, entities: DataFrame, text_col: str = "text", threshold: int = 60, top_k: int = 3, fuzzy: bool = True, prune: bool = True) -> DataFrame:
     """(text, id, name, score, via, rank): up to top_k entities of each distinct text, best first, ties by id.
 
     Exact name 100, exact alias 95, containment 85, alias containment 80, else the similarity in whole percent. Empty
     and null texts match nothing; a blank one is contained in every name. Only texts are stripped; case never counts.
+    Null names and aliases match nothing, and of rows that repeat an id each counts. prune=False compares all pairs.
     """
     asked = _distinct_texts(texts, text_col)
-    names = entities.select("id", "name", F.lower("name").alias("__n"), F.transform("aliases", lambda a: F.lower(a)).alias("__a"))
+    rows = entities.select("id", "name", F.lower("name").alias("__n"), F.transform("aliases", lambda a: F.lower(a)).alias("__a")).where("id IS NOT NULL")
+    cells, shards = _cells(asked, rows, "id")
+    kind = {f.name: f.dataType.simpleString() for f in entities.schema.fields}
+    schema = pa.schema([("text", pa.string()), ("id", _arrow(kind["id"])), ("name", pa.string()), ("score", pa.int32()), ("via", pa.string())])
     least = threshold / 100 - 1e-9 if prune else 0.0
-    forms = names.select("id", F.explode(F.array_union(F.array("__n"), F.coalesce("__a", F.array().cast("array<string>")))).alias("__m"))
-    pairs = _pairs(asked, names, forms, "id", least).withColumn("__r", rule_score(F.col("__t"), F.col("__n"), F.col("__a")))
-    found = pairs.where("__r is not null").select("text", "id", "name", "__r.score", "__r.via")
-    if fuzzy:
-        rest = pairs.where("__r is null")
-        if prune:
-            rest = rest.where((ratio_bound(F.col("__t"), F.col("__n")) >= least) | F.exists("__a", lambda a: ratio_bound(F.col("__t"), a) >= least))
-        scored = rest.withColumn("__f", _fuzzy(least)("__t", "__n", "__a"))
-        found = found.unionByName(scored.select("text", "id", "name", percent_truncated(F.col("__f.ratio")).alias("score"), "__f.via"))
+    found = cells.mapInArrow(_stream(_entities(threshold, top_k, fuzzy, least), schema), f"text string, id {kind['id']}, name string, score int, via string")
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "id"))
-    return found.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def _names(threshold: float, top_k: int, fuzzy: bool, least: float):
+    """The second matcher over the rows of a shard: (id, name, matched, score, priority, kind, order) of the best of each text, the last two of the entity's first row."""
+
+    def build(t: pa.Table) -> Best:
+        ids, names, matched, priority, kind, order, form = (t.column(c).to_pylist() for c in ("id", "name", "matched", "priority", "__kind", "__order", "__m"))
+        forms, owners = _owners([(form[k], k) for k in range(len(ids)) if matched[k] != ""])
+        index = FormIndex(forms)
+
+        def best(texts: list[str]) -> Iterator[list[tuple]]:
+            ruled, found = [], []
+            for text in texts:
+                equal, inside, count = index.related(text)
+                ruled.append([(f, 1.0 if f == equal else 0.85) for f in inside.tolist()])
+                found.append(index.candidates(text, count, least, inside) if fuzzy else np.zeros(0, np.int64))
+            for scored, cand, ratios in zip(ruled, found, index.ratios(texts, found)):
+                entities: dict = {}  # per entity: its best row as (-score, place, row), and its first place
+                for f, r in [*scored, *zip(cand.tolist(), ratios.tolist())]:
+                    if r < threshold:
+                        continue
+                    for k in owners[f]:
+                        place = (kind[k], order[k])
+                        row = (-round(r * 100), place, k)
+                        old = entities.get(ids[k])
+                        entities[ids[k]] = (row, place) if old is None else (min(row, old[0]), min(place, old[1]))
+                top = heapq.nsmallest(top_k, ((s, -priority[k] if priority[k] is not None else 2**40, first, k) for (s, _, k), first in entities.values()))
+                yield [(ids[k], names[k], matched[k], min(-s, 100), priority[k], *first) for s, _, first, k in top]
+
+        return best
+
+    return build
 
 
 def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key: str, text_col: str = "text", threshold: float = 0.5, top_k: int = 5, prune: bool = True, fuzzy: bool = True) -> DataFrame:
@@ -127,32 +205,21 @@ def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key:
 
     Alias rows come before name rows (priority 5): equal 1.0, containment 0.85, else the similarity; both sides are
     stripped. At 0.5 or more a row counts, in percent rounded half to even. Of an entity the first row of the best score
-    stays; ranks go by score, priority, then the place of the entity's first row.
+    stays; ranks go by score, priority (null last), then the place of the entity's first row. Null forms match nothing;
+    an entity's rows are together in a task. prune=False compares all pairs.
     """
     names = entities.where("status = 1")
     rows = aliases.where("status = 1").join(names.select(F.col("id").alias(key), "name"), key).select(F.col(key).alias("id"), "name", F.col("alias_name").alias("matched"), "priority", F.lit(0).alias("__kind"), F.col("id").alias("__order"))
     rows = rows.unionByName(names.select("id", "name", F.col("name").alias("matched"), F.lit(5).alias("priority"), F.lit(1).alias("__kind"), F.col("id").alias("__order")))
-    rows = rows.withColumn("__m", F.lower(strip_unicode(F.col("matched"))))
-    asked = _distinct_texts(texts, text_col)
+    rows = rows.withColumn("__m", F.lower(strip_unicode(F.col("matched")))).where("id IS NOT NULL")
+    cells, shards = _cells(_distinct_texts(texts, text_col), rows, "id")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    fields = [("text", "string"), ("id", kind["id"]), ("name", "string"), ("matched", "string"), ("score", "int"), ("priority", kind["priority"]), ("__kind", "int"), ("__order", kind["__order"])]
+    schema = pa.schema([(c, _arrow(k)) for c, k in fields])
     least = threshold - 1e-9 if prune else 0.0
-    rows = rows.withColumn("__key", F.struct("__kind", "__order"))
-    pairs = _pairs(asked, rows, rows.select("__key", "__m"), "__key", least)
-    t, m = F.col("__t"), F.col("__m")
-    rule = F.when(F.col("matched") == "", 0.0).when(t == m, 1.0).when(F.contains(t, m) | F.contains(m, t), 0.85)
-    pairs = pairs.withColumn("__s", rule)
-    rest = pairs.where("__s is null")
-    if prune:
-        rest = rest.where(ratio_bound(t, m) >= least)
-    scored = pairs.where("__s is not null")
-    if fuzzy:
-        scored = scored.unionByName(rest.withColumn("__s", ratio_udf(least)(t, m)))
-    scored = scored.where(F.col("__s") >= threshold)
-    scored = scored.withColumn("score", percent_half_even(F.col("__s")))
-    own = Window.partitionBy("text", "id")
-    place = F.struct("__kind", "__order")
-    scored = scored.withColumn("__first", F.min(place).over(own)).withColumn("__n", F.row_number().over(own.orderBy(F.desc("score"), place))).where("__n = 1")
-    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), F.desc("priority"), "__first"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("text", "id", "name", "matched", F.least("score", F.lit(100)).alias("score"), "priority", "rank")
+    found = cells.mapInArrow(_stream(_names(threshold, top_k, fuzzy, least), schema), ", ".join(f"{c} {k}" for c, k in fields))
+    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), F.desc("priority"), "__kind", "__order"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).drop("__kind", "__order")
 
 
 def candidates(matches: DataFrame, fields: tuple[str, ...] = ("id", "name", "score")) -> DataFrame:

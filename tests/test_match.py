@@ -91,9 +91,11 @@ def rules(text, rows, threshold=60, k=3):
     return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_entities_against_rules(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(match, "DICTIONARY_ROWS", broadcast)
+@pytest.mark.parametrize("shard_rows", [100_000, 4])
+def test_entities_against_rules(spark, monkeypatch, shard_rows):
+    """Also with a dictionary of several shards."""
+    monkeypatch.setattr(match, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(match, "TOGETHER", 7)
     rnd = random.Random(5)
     word = lambda n: "".join(rnd.choice("abcD ") for _ in range(rnd.randint(1, n))).strip() or "b"
     rows = [(i, word(9), [word(7) for _ in range(rnd.randint(0, 3))]) for i in range(25)]
@@ -136,10 +138,10 @@ def names_by_rules(text, entities, aliases, threshold=0.5, k=5):
     return [(i, form, min(percent, 100), priority) for i, (percent, priority, _, form) in top]
 
 
-@pytest.mark.parametrize("prune, broadcast", [(True, 200_000), (False, 200_000), (True, 0)])
-def test_names_against_rules(spark, monkeypatch, prune, broadcast):
-    """Also with a dictionary that is too large to be broadcast."""
-    monkeypatch.setattr(match, "DICTIONARY_ROWS", broadcast)
+@pytest.mark.parametrize("prune, shard_rows", [(True, 100_000), (False, 100_000), (True, 4)])
+def test_names_against_rules(spark, monkeypatch, prune, shard_rows):
+    """Also with a dictionary of several shards."""
+    monkeypatch.setattr(match, "SHARD_ROWS", shard_rows)
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("abcD ") for _ in range(rnd.randint(1, n))).strip() or rnd.choice(["b", " "])
     entities = [(i, word(9), rnd.randint(0, 4) and 1) for i in range(20)]
