@@ -50,33 +50,82 @@ def encode_png(samples: np.ndarray, level: int = 6) -> bytes:
     return SIGNATURE + head + b"".join(_chunk(b"IDAT", data[i : i + IDAT]) for i in range(0, len(data), IDAT)) + _chunk(b"IEND", b"")
 
 
+def _predicted(kinds: np.ndarray, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What the filters none, sub, up, average and Paeth predict, by row."""
+    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+    return np.where(kinds == 4, paeth, np.where(kinds == 3, (left + up) >> 1, np.where(kinds == 2, up, np.where(kinds == 1, left, 0))))
+
+
+def _wavefront(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Undoes any filters of rows (height, width, channels) by anti-diagonals: a pixel needs those to its left, above and at the corner.
+
+    Both arrays are skewed, so that a diagonal is a row of them: pixel x of row y is in row x + y.
+    """
+    h, w, c = rows.shape
+    skew = np.zeros((w + h - 1, h, c), np.int16)
+    item = skew.itemsize * c
+    np.lib.stride_tricks.as_strided(skew, (h, w, c), ((h + 1) * item, h * item, skew.itemsize))[:] = rows
+    done = np.zeros((w + h + 1, h + 1, c), np.int16)  # two rows and the row above the first in front
+    done[1 : w + 1, 0] = above
+    kinds = kinds[:, None].astype(np.int16)
+    for d in range(w + h - 1):
+        lo, hi = max(0, d - w + 1), min(h, d + 1)
+        left, up, corner = done[d + 1, lo + 1 : hi + 1], done[d + 1, lo:hi], done[d, lo:hi]
+        done[d + 2, lo + 1 : hi + 1] = (skew[d, lo:hi] + _predicted(kinds[lo:hi], left, up, corner)) & 255
+    out = done[2:, 1:]
+    s0, s1, s2 = out.strides
+    return np.lib.stride_tricks.as_strided(out, (h, w, c), (s0 + s1, s0, s2)).astype(np.uint8)
+
+
+def _by_sample(kind: int, row: list[int], above: list[int]) -> list[int]:
+    """Undoes average or Paeth in one channel of one row."""
+    out, left, corner = [], 0, 0
+    for v, up in zip(row, above):
+        if kind == 3:
+            near = (left + up) >> 1
+        else:
+            a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            near = left if a <= b and a <= c else up if b <= c else corner
+        left, corner = (v + near) & 255, up
+        out.append(left)
+    return out
+
+
+#: Rows of a wavefront at most; rows from which one pays; rows of other filters that end it.
+FRONT, SOME, GAP = 4096, 6, 16
+
+
 def unfilter(rows: np.ndarray, channels: int) -> np.ndarray:
     """Undoes the five row filters; rows: (height, 1 + bytes of a row)."""
     kinds, out = rows[:, 0], rows[:, 1:].copy()
     if kinds.size and kinds.max() > 4:
         raise ValueError("unknown row filter")
-    edges = np.r_[0, np.flatnonzero(np.diff(kinds.astype(np.int16))) + 1, len(kinds)] if len(kinds) else [0]
+    width = out.shape[1] // channels
+    hard = np.flatnonzero(kinds > 2)
+    front = kinds.copy()  # 5: rows that go by wavefront, with the few of other filters between them
+    for part in np.split(hard, np.flatnonzero(np.diff(hard) > GAP) + 1) if len(hard) else []:
+        if part[-1] - part[0] + 1 >= SOME:
+            front[part[0] : part[-1] + 1] = 5
+    edges = np.r_[0, np.flatnonzero(np.diff(front.astype(np.int16))) + 1, len(kinds)].tolist() if len(kinds) else [0]
     for a, b in zip(edges[:-1], edges[1:]):
-        kind = kinds[a]
+        kind = front[a]
         if kind == 1:
             out[a:b] = np.cumsum(out[a:b].reshape(b - a, -1, channels), axis=1, dtype=np.uint8).reshape(b - a, -1)
         elif kind == 2:
             if a:
                 out[a] += out[a - 1]
             out[a:b] = np.cumsum(out[a:b], axis=0, dtype=np.uint8)
+        elif kind == 5:
+            step = min(FRONT, max(256, width))
+            for y in range(a, b, step):
+                z, above = min(b, y + step), out[y - 1] if y else np.zeros(out.shape[1], np.uint8)
+                out[y:z] = _wavefront(kinds[y:z], out[y:z].reshape(z - y, width, channels), above.reshape(width, channels)).reshape(z - y, -1)
         elif kind in (3, 4):
             for y in range(a, b):
-                above = out[y - 1].tolist() if y else [0] * out.shape[1]
-                row = out[y].tolist()
-                for x in range(len(row)):
-                    left = row[x - channels] if x >= channels else 0
-                    if kind == 3:
-                        row[x] = (row[x] + (left + above[x]) // 2) & 255
-                    else:
-                        corner = above[x - channels] if x >= channels else 0
-                        p = left + above[x] - corner
-                        row[x] = (row[x] + min(((abs(p - v), i, v) for i, v in enumerate((left, above[x], corner))))[2]) & 255
-                out[y] = row
+                above = out[y - 1] if y else np.zeros(out.shape[1], np.uint8)
+                for c in range(channels):
+                    out[y, c::channels] = _by_sample(int(kind), out[y, c::channels].tolist(), above[c::channels].tolist())
     return out
 
 

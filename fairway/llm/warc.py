@@ -26,6 +26,8 @@ from fairway.llm.common import in_place, materialise, small, tidy
 DICTIONARY_FRAME, ZSTD_FRAME, SKIPPABLE = 0x184D2A5D, 0xFD2FB528, 0x184D2A50
 #: Bytes of records in an archive, of a dictionary, and of the records that it is trained from.
 ARCHIVE, DICTIONARY, TRAINING = 8 << 20, 16 << 10, 512 << 10
+#: Bytes that a record, and a dictionary, may inflate to.
+MOST, MOST_DICTIONARY = 1 << 28, 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, page_id long, record_type string, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
@@ -83,8 +85,33 @@ def frame_end(data: memoryview, at: int) -> int:
     return at
 
 
+def inflate(frame: bytes, d: zstandard.ZstdDecompressor, most: int) -> bytes:
+    """The content of a frame; ValueError beyond `most` bytes, before more than that is held."""
+    said = zstandard.get_frame_parameters(frame).content_size
+    unknown = said == zstandard.CONTENTSIZE_UNKNOWN
+    if not unknown and said > most:
+        raise ValueError(f"a frame of more than {most} bytes")
+    if not unknown:
+        return d.decompress(frame)
+    parts, size = [], 0
+    with d.stream_reader(frame) as reader:
+        while part := reader.read(1 << 20):
+            parts.append(part)
+            size += len(part)
+            if size > most:
+                raise ValueError(f"a frame of more than {most} bytes")
+    return b"".join(parts)
+
+
+def _whole(text: str | bytes) -> int:
+    """A number of 64 bits; ValueError for any other text."""
+    if not re.fullmatch(r"-?[0-9]{1,19}", text if isinstance(text, str) else text.decode("ascii")) or not -(2**63) <= (n := int(text)) < 2**63:
+        raise ValueError("a number beyond 64 bits, or none")
+    return n
+
+
 def parse_record(data: bytes) -> dict:
-    """The fields of a record; raises ValueError where headers, lengths or the payload's digest don't hold."""
+    """The fields of a record; raises ValueError where headers, numbers, lengths or the payload's digest don't hold."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
@@ -95,28 +122,29 @@ def parse_record(data: bytes) -> dict:
     for k in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if k not in fields:
             raise ValueError(f"no {k}")
-    n = int(fields["content-length"])
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+    n = _whole(fields["content-length"])
+    if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("content-length differs from the block")
     kind = fields["warc-type"]
     http, gap, payload = rest[:n].partition(b"\r\n\r\n")
     length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
     if not gap or not length or not http.startswith(b"HTTP/"):
         raise ValueError("no HTTP header")
+    length = _whole(length[1])
     scheme, _, digest = fields.get("warc-payload-digest", "").partition(":")
     if scheme != "sha1":
         raise ValueError("no payload digest")
     digest = base64.b32decode(digest)
-    if kind == "response" and (len(payload) != int(length[1]) or hashlib.sha1(payload).digest() != digest):
+    if kind == "response" and (len(payload) != length or hashlib.sha1(payload).digest() != digest):
         raise ValueError("the payload differs from its length or digest")
     if kind == "revisit" and (payload or "warc-refers-to" not in fields):
         raise ValueError("a revisit with a payload or without a target")
-    number = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
-    return {"record_id": fields["warc-record-id"], "page_id": number("warc-record-id"), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "payload_bytes": int(length[1]), "payload_digest": digest.hex(), "payload": payload if kind == "response" else None, "error": None}
+    number = lambda name: _whole(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
+    return {"record_id": fields["warc-record-id"], "page_id": number("warc-record-id"), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "payload_bytes": length, "payload_digest": digest.hex(), "payload": payload if kind == "response" else None, "error": None}
 
 
-def parse_archive(content: bytes) -> Iterator[dict]:
-    """The records of an archive. A record that doesn't hold is a row with only `error`; a broken frame ends the archive so."""
+def parse_archive(content: bytes, most: int = MOST) -> Iterator[dict]:
+    """The records of an archive. A record that doesn't hold, or inflates to more than `most` bytes, is a row with only `error`; a broken frame ends the archive so."""
     data, at, trained = memoryview(content), 0, None
     bad = lambda e: dict.fromkeys([f.split()[0] for f in RECORD.split(", ")]) | {"error": f"{type(e).__name__}: {e}"}
     d = zstandard.ZstdDecompressor()
@@ -126,10 +154,12 @@ def parse_archive(content: bytes) -> Iterator[dict]:
                 raise ValueError("truncated frame")
             magic, size = struct.unpack("<II", data[at : at + 8])
             if magic & 0xFFFFFFF0 == SKIPPABLE:
+                if at + 8 + size > len(data):
+                    raise ValueError("truncated frame")
                 if at == 0 and magic == DICTIONARY_FRAME:
                     body = bytes(data[8 : 8 + size])
                     if body[:4] == struct.pack("<I", ZSTD_FRAME):
-                        body = zstandard.ZstdDecompressor().decompress(body, max_output_size=16 << 20)
+                        body = inflate(body, zstandard.ZstdDecompressor(), MOST_DICTIONARY)
                     trained = zstandard.ZstdCompressionDict(body)
                     d = zstandard.ZstdDecompressor(dict_data=trained)
                 at += 8 + size
@@ -141,7 +171,7 @@ def parse_archive(content: bytes) -> Iterator[dict]:
             yield bad(e)
             return
         try:
-            yield parse_record(d.decompressobj().decompress(data[at:end]))
+            yield parse_record(inflate(bytes(data[at:end]), d, most))
         except (ValueError, zstandard.ZstdError) as e:
             yield bad(e)
         at = end
@@ -192,14 +222,14 @@ def write_archives(pages: DataFrame, least: int = 1000, date: str = "2024-01-01T
     return with_revisits(pages, least, id_col, url_col, payload_col).mapInArrow(tidy(_write(date)), "archive string, content binary")
 
 
-def _read(payloads: bool):
+def _read(payloads: bool, most: int):
     schema = pa.schema([("archive", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, held, size = batch.column(0)[i].as_py(), [], 0
-                for r in parse_archive(batch.column(1)[i].as_py() or b""):
+                for r in parse_archive(batch.column(1)[i].as_py() or b"", most):
                     if not payloads:
                         r["payload"] = None
                     held.append({"archive": name, **r})
@@ -213,6 +243,6 @@ def _read(payloads: bool):
     return run
 
 
-def read_archives(archives: DataFrame, name_col: str = "archive", content_col: str = "content", payloads: bool = True) -> DataFrame:
-    """The records of archives, one row each (see RECORD); `error` tells what is wrong with one. Null contents hold none."""
-    return archives.select(F.col(name_col).alias("archive"), F.col(content_col).alias("content")).mapInArrow(tidy(_read(payloads)), f"archive string, {RECORD}")
+def read_archives(archives: DataFrame, name_col: str = "archive", content_col: str = "content", payloads: bool = True, most: int = MOST) -> DataFrame:
+    """The records of archives, one row each (see RECORD); `error` tells what is wrong with one, also where it inflates to more than `most` bytes. Null contents hold none."""
+    return archives.select(F.col(name_col).alias("archive"), F.col(content_col).alias("content")).mapInArrow(tidy(_read(payloads, most)), f"archive string, {RECORD}")

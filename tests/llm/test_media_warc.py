@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -41,6 +42,30 @@ def test_all_filters(kind, channels, colour):
     assert (got.reshape(7, -1) == samples).all()
 
 
+@pytest.mark.parametrize("channels, colour", [(1, 0), (3, 2)])
+@pytest.mark.parametrize("front", [7, 4096])
+def test_mixed_filters(monkeypatch, channels, colour, front):
+    """Rows of all filters in turn, by wavefronts of several blocks and by single rows."""
+    monkeypatch.setattr(media, "FRONT", front)
+    rng = np.random.default_rng(3)
+    samples = rng.integers(0, 256, (90, 11 * channels)).astype(np.uint8)
+    kinds = np.r_[rng.integers(0, 5, 40), [0, 1, 2] * 8, [4], [2] * 20, [3, 4, 1, 4, 2]]
+    by_kind = {k: filtered(samples, k, channels) for k in range(5)}
+    width = 1 + samples.shape[1]
+    rows = b"".join(by_kind[k][y * width : (y + 1) * width] for y, k in enumerate(kinds.tolist()))
+    assert (media.decode_png(png_of(rows, 11, 90, colour)).reshape(90, -1) == samples).all()
+
+
+@pytest.mark.parametrize("kind", [3, 4])
+@pytest.mark.parametrize("height, width", [(3200, 3200), (100_000, 100)])
+def test_ten_megabytes_of_hard_rows(kind, height, width):
+    rows = np.random.default_rng(kind).integers(0, 256, (height, 1 + width)).astype(np.uint8)
+    rows[:, 0] = kind
+    began = time.process_time()
+    media.unfilter(rows, 1)
+    assert time.process_time() - began < 6  # some 1 s on a free core
+
+
 @pytest.mark.parametrize("shape", [(1, 576), (40, 24), (9, 5, 3), (3, 4, 4)])
 def test_round_trip(shape):
     samples = np.random.default_rng(0).integers(0, 256, shape).astype(np.uint8)
@@ -190,3 +215,39 @@ def test_broken_archives(spark):
     assert [r["error"] is None for r in warc.parse_archive(good + good[:-3])] == [True, False]
     rows = spark.createDataFrame([("a", None), ("b", b""), ("c", good)], "archive string, content binary")
     assert warc.read_archives(rows).count() == 1
+
+
+def test_hostile_archives(spark):
+    """Numbers beyond 64 bits, frames that inflate too far, with and without saying so, and skippable frames that end beyond the archive."""
+    date = "2024-01-01T00:00:00Z"
+    record, revisit = warc.build_record(1, "u", b"payload", None, date), warc.build_record(2, "u", b"payload", 1, date)
+    c = zstandard.ZstdCompressor().compress
+    silent = zstandard.ZstdCompressor(write_content_size=False).compress
+    good = c(record)
+    big = warc.build_record(3, "u", b"x" * 3_000_000, None, date)
+    block = len(revisit.partition(b"\r\n\r\n")[2]) - 4
+    longer = revisit.replace(b"Content-Length: 7\r\n", b"Content-Length: " + b"7" * 25 + b"\r\n").replace(b"Content-Length: %d\r\n" % block, b"Content-Length: %d\r\n" % (block + 24))
+    bad = {
+        "id": c(record.replace(b"urn:page:1>", b"urn:page:" + b"9" * 25 + b">")),
+        "target": c(revisit.replace(b"urn:page:1>", b"urn:page:-" + b"9" * 19 + b">")),
+        "payload length": c(longer),
+        "length": c(record.replace(b"Content-Length: 7", b"Content-Length: 7" + b"0" * 5000)),
+        "bomb": c(big),
+        "silent bomb": silent(big),
+    }
+    skip = struct.pack("<II", 0x184D2A51, 3) + b"abc"
+    dictionary = c(b"\0" * (warc.MOST_DICTIONARY + 1))
+    rows = [(name, good + data + good) for name, data in bad.items()]
+    rows += [("skipped", skip + good), ("short skip", good + struct.pack("<II", 0x184D2A51, 9) + b"abc"), ("short dictionary", struct.pack("<II", warc.DICTIONARY_FRAME, 99) + b"abc"), ("dictionary bomb", struct.pack("<II", warc.DICTIONARY_FRAME, len(dictionary)) + dictionary + good)]
+    found = {}
+    for r in warc.read_archives(spark.createDataFrame(rows, "archive string, content binary"), most=1 << 20).collect():
+        found.setdefault(r.archive, []).append(r.error is None)
+    assert found == {**{name: [True, False, True] for name in bad}, "skipped": [True], "short skip": [True, False], "short dictionary": [False], "dictionary bomb": [False]}
+    assert [r["error"] for r in warc.parse_archive(c(big))] == [None]
+
+
+def test_clashing_names_of_pages(spark, pages):
+    df = spark.createDataFrame(pages[:20], "page_id long, url string, html string")
+    clash = df.selectExpr("*", "1 AS sender", "2 AS rid", "'x' AS payload", "3 AS key", "4 AS refers_to", "5 AS top")
+    shown = lambda d: sorted(map(str, warc.read_archives(warc.write_archives(d)).drop("archive").collect()))
+    assert shown(clash) == shown(df)
