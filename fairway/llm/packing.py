@@ -25,6 +25,8 @@ from fairway.llm.common import by_bytes, materialise, small, tidy
 
 #: Groups of large lengths; lengths of over 1/LARGE of the capacity are large.
 GROUPS, LARGE = 96, 8
+#: Ids that a configuration may leave free, from any number to none.
+GAPS = (1 << 30, 256, 64, 32, 16, 8, 4, 2, 1, 0)
 
 
 def _tokenise(vocabulary: str, capacity: int, end: int):
@@ -101,8 +103,10 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 
 
 def _grouped(hist: dict[int, int], least: int, groups: int) -> list[tuple[int, list[list[int]]]]:
-    """(rounded size, [[length, count], ...]) of lengths of at least `least`: groups of equal cardinality, largest first."""
+    """(rounded size, [[length, count], ...]) of lengths of at least `least`: groups of equal cardinality, largest first; no more lengths than groups stay as they are."""
     lengths = sorted((x for x in hist if x >= least), reverse=True)
+    if len(lengths) <= groups:
+        return [(x, [[x, hist[x]]]) for x in lengths]
     total = sum(hist[x] for x in lengths)
     quota = max(1, -(-total // groups))
     out: list[tuple[int, list[list[int]]]] = []
@@ -172,11 +176,27 @@ def _substituted(left: dict[int, int], capacity: int, groups: int) -> list[tuple
     return kinds
 
 
+def sequences(kinds: list[tuple[int, list[tuple[int, int]]]]) -> int:
+    return sum(copies for copies, _ in kinds)
+
+
 def pack_histogram(hist: dict[int, int], capacity: int, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(copies, [(length, times), ...])]: kinds of sequences that hold all lengths of the histogram."""
-    left = {x: n for x, n in hist.items() if n}
-    full = [(n, 0, [(capacity, 1)])] if (n := left.pop(capacity, 0)) else []
-    return _best_fit([*full, *_substituted(left, capacity, groups)], left, capacity)
+    """[(copies, [(length, times), ...])]: kinds of sequences that hold all lengths of the histogram.
+
+    Configurations that the actual lengths fill badly may cost more than they save, so plans that keep those of a gap of
+    at most GAPS, each best fit into the rest, are compared, and the plan of the fewest sequences is taken.
+    """
+    whole = {x: n for x, n in hist.items() if n}
+    full = [(n, 0, [(capacity, 1)])] if (n := whole.pop(capacity, 0)) else []
+    made = _substituted(dict(whole), capacity, groups)
+    plans = []
+    for most in GAPS:
+        kept, left = [k for k in made if k[1] <= most], dict(whole)
+        for copies, _, items in kept:
+            for x, times in items:
+                left[x] -= copies * times
+        plans.append(_best_fit([*full, *kept], left, capacity))
+    return min(plans, key=sequences)
 
 
 def _best_fit(kinds: list[tuple[int, int, list[tuple[int, int]]]], left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

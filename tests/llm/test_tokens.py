@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -145,3 +146,19 @@ def test_few_sequences(low, high, most):
     lengths = np.random.default_rng(1).integers(low, high, 40_000)
     hist = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)]))
     assert sum(c for c, _ in packing.pack_histogram(hist, 2048)) <= most * lengths.sum() / 2048
+
+
+@pytest.mark.parametrize("low, high, n", [(1000, 1048, 20_000), (1020, 1030, 5936), (1020, 1030, 50_010), (600, 1100, 20_000), (1, 2048, 20_000), (257, 2047, 10_000), (340, 1400, 20_000)])
+def test_never_more_sequences_than_best_fit(low, high, n):
+    hist = dict(Counter(np.random.default_rng(0).integers(low, high + 1, n).tolist()))
+    plan = packing.pack_histogram(hist, 2048)
+    held = Counter()
+    for copies, items in plan:
+        assert sum(length * times for length, times in items) <= 2048
+        held.update({length: copies * times for length, times in items})
+    assert held == Counter(hist)
+    assert packing.sequences(plan) <= packing.sequences(packing._best_fit([], dict(hist), 2048))
+
+
+def test_few_lengths_are_not_rounded():
+    assert packing._grouped({1000 + k: 5 for k in range(49)}, 257, 96) == [(1048 - k, [[1048 - k, 5]]) for k in range(49)]
