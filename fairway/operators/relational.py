@@ -58,6 +58,43 @@ def page_with_total(df: DataFrame, order: list[Column], number: int = 1, size: i
     return page(df, order, number, size).crossJoin(F.broadcast(total))  # the total is one row
 
 
+def _after(order: list[tuple[str, bool]], cursor: dict[str, Any]) -> Column:
+    """Whether a row comes after the cursor; nulls first where ascending, last where descending, as Spark sorts."""
+    out = F.lit(False)
+    for column, descending in reversed(order):
+        c, v = F.col(column), cursor[column]
+        if descending:
+            further = F.lit(False) if v is None else (c < F.lit(v)) | c.isNull()
+        else:
+            further = c.isNotNull() if v is None else c > F.lit(v)
+        out = F.coalesce(further, F.lit(False)) | (c.eqNullSafe(F.lit(v)) & out)
+    return out
+
+
+def page_after(df: DataFrame, order: list[tuple[str, bool]], cursor: dict[str, Any] | None = None, size: int = 20) -> DataFrame:
+    """The next `size` rows (1 to 100) after a cursor, in the order of (column, descending) pairs, which must be total.
+
+    Unlike page(), no row before the cursor is sorted or skipped: every partition keeps its first `size` rows after it, and
+    the first comparison reaches the scan. No cursor: the first page.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("1 <= size <= 100")
+    rows = df
+    if cursor is not None:
+        first, descending = order[0]
+        if cursor[first] is not None:  # the part of the condition that a scan can use
+            start = (F.col(first) <= F.lit(cursor[first])) | F.col(first).isNull() if descending else F.col(first) >= F.lit(cursor[first])
+            rows = rows.where(start)
+        rows = rows.where(_after(order, cursor))
+    return rows.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in order]).limit(size)
+
+
+def cursor_of(rows: DataFrame, order: list[tuple[str, bool]]) -> dict[str, Any] | None:
+    """The cursor behind the last row of a page, for page_after(); None for an empty page."""
+    last = rows.orderBy(*[F.asc_nulls_first(c) if d else F.desc_nulls_last(c) for c, d in order]).select(*[c for c, _ in order]).first()
+    return None if last is None else last.asDict()
+
+
 def counts_with_zeros(df: DataFrame, column: str, kinds: list[str], total: str = "TOTAL") -> DataFrame:
     """(kind, n) for a fixed list of kinds, zero where there are none, and their total."""
     spark = df.sparkSession
