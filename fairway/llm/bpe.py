@@ -92,19 +92,33 @@ class PrefixBpe:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.id_of = {symbols(t): i for t, i in vocab.items()}
         self.symbols_of = {i: s for s, i in self.id_of.items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
-        self.automaton = ahocorasick.Automaton()
-        for s, i in self.id_of.items():
-            self.automaton.add_word(s, (len(s), i))
-        self.automaton.make_automaton()
         if max(vocab.values()) >= 1 << TOKEN_BITS:
             raise ValueError(f"vocabularies of more than {1 << TOKEN_BITS} ids are not supported")
         self.compatible: dict[int, bool] = {}
         self.splits = memo(self._split_of)
         self.lefts = memo(lambda t: self._spine(t, 0))
         self.rights = memo(lambda t: self._spine(t, 1))
-        self._split = regex.compile(b"(" + b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
+        self._split = self._special_pattern()
+
+    def _special_pattern(self):
+        return regex.compile(b"(" + b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
+
+    @cached_property
+    def rank(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and result of the merges, by their parts."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, pairs = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        return {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """All tokens, to be found at every place of a word."""
+        found = ahocorasick.Automaton()
+        for s, i in self.id_of.items():
+            found.add_word(s, (len(s), i))
+        found.make_automaton()
+        return found
 
     @cached_property
     def library(self):
@@ -201,6 +215,19 @@ class PrefixBpe:
         return array("I", (self.special[part],)).tobytes() if part in self.special else self.word(part)
 
 
+class LibraryBpe(PrefixBpe):
+    """The same ids, those of a word from the library's own model: for operators that only need the ids. The file is parsed by the library alone."""
+
+    def __init__(self, path: str):
+        self.path, self.bytes_of = path, byte_alphabet()
+        self.special = {t.content.encode(): i for i, t in self.library.get_added_tokens_decoder().items()}
+        self._split = self._special_pattern()
+        self.model, self.shown = self.library.model, {b: c for c, b in self.bytes_of.items()}
+
+    def word(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.shown))]).tobytes()
+
+
 def split_pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct pieces of texts cut at ASCII white space; the pieces of all texts in order, as numbers; each text's bounds.
 
@@ -358,11 +385,11 @@ class PieceTable:
         return ids, np.r_[0, np.cumsum(n)][bounds]
 
 
-_TABLES: dict[str, PieceTable] = {}
+_TABLES: dict[tuple[str, type], PieceTable] = {}
 
 
-def piece_table(vocabulary: str) -> PieceTable:
+def piece_table(vocabulary: str, kind: type[PrefixBpe] = PrefixBpe) -> PieceTable:
     """This worker's table for a vocabulary file; it lives as long as the worker."""
-    if vocabulary not in _TABLES:
-        _TABLES[vocabulary] = PieceTable(PrefixBpe(vocabulary_path(vocabulary)))
-    return _TABLES[vocabulary]
+    if (vocabulary, kind) not in _TABLES:
+        _TABLES[vocabulary, kind] = PieceTable(kind(vocabulary_path(vocabulary)))
+    return _TABLES[vocabulary, kind]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairway.llm.bpe import piece_table
+from fairway.llm.bpe import LibraryBpe, piece_table
 from fairway.llm.common import by_bytes, materialise, small, tidy
 
 #: Groups of large lengths; lengths of over 1/LARGE of the capacity are large.
@@ -31,7 +31,7 @@ GAPS = (1 << 30, 256, 64, 32, 16, 8, 4, 2, 1, 0)
 
 def _tokenise(vocabulary: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = piece_table(vocabulary), TaskContext.get().partitionId()
+        table, part = piece_table(vocabulary, LibraryBpe), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in by_bytes(batches, "text", 1 << 19):
             flat, bounds = table.encode(batch.column(1))

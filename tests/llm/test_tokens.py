@@ -148,6 +148,14 @@ def test_few_sequences(low, high, most):
     assert sum(c for c, _ in packing.pack_histogram(hist, 2048)) <= most * lengths.sum() / 2048
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60), st.sampled_from(["", "<s>", " [MASK] ", "\u00ad", "İ"]))
+def test_both_encoders_give_the_same_ids(text, extra):
+    texts = pa.array([text + extra + text, extra], pa.string())
+    one, two = bpe.piece_table(bpe.VOCABULARY).encode(texts), bpe.piece_table(bpe.VOCABULARY, bpe.LibraryBpe).encode(texts)
+    assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
+
+
 @pytest.mark.parametrize("low, high, n", [(1000, 1048, 20_000), (1020, 1030, 5936), (1020, 1030, 50_010), (600, 1100, 20_000), (1, 2048, 20_000), (257, 2047, 10_000), (340, 1400, 20_000)])
 def test_never_more_sequences_than_best_fit(low, high, n):
     hist = dict(Counter(np.random.default_rng(0).integers(low, high + 1, n).tolist()))
