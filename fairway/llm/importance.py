@@ -9,6 +9,7 @@ text lost counting as much as COST bad ones caught: weights and noise are on one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,17 +143,20 @@ def best_cut(weights: list[tuple[float, int]]) -> float:
     return float(edges[int(np.argmax(value))])
 
 
-def resample(df: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, share: float | None = None) -> DataFrame:
     """The columns `carry` of `df` (all of them if None), __weight, and __kept: whether the sample of k rows has the row.
 
+    With `share`, a stated budget, also __sampled: whether the sample of that share of all rows (rounded up) has it. By
+    the same noise, the smaller of two samples is part of the larger.
+
     Reads the texts twice: to fit the models, and to weigh the rows, which are written with their weights. Rows that tie
     with the k-th key are all kept, repeated rows among them; rows without an id share one noise value. Where k is not
     given and labels of both kinds are missing, all rows are kept. An empty table keeps none. Columns of `df` named
-    __weight or __kept give way to the new ones.
+    __weight, __kept or __sampled give way to the new ones.
     """
     sample = labelled_sample(labels, id_col=id_col)
     ratio = fit(df, sample, id_col, text_col)
-    named = [c for c in (df.columns if carry is None else carry) if c not in ("__weight", "__kept")]
+    named = [c for c in (df.columns if carry is None else carry) if c not in ("__weight", "__kept", "__sampled")]
     slim = df.select(F.struct(*[df[c] for c in named]).alias("row"), df[id_col].alias("id"), df[text_col].alias("text"))
     key = gumbel_key(F.col("__weight"), F.col("id"), seed, temperature)
     scored = materialise(weighted(slim, ratio, "text", ["row", "id"]).withColumn("key", key), "quality-weights")
@@ -161,4 +165,6 @@ def resample(df: DataFrame, labels: DataFrame, k: int | None = None, temperature
         cut = best_cut([(r["w"], r["q"]) for r in known.collect()])  # 2 * LABELLED rows at most
         k = scored.where(F.col("__weight") >= F.lit(cut)).count()
     least = kth_largest(scored, k)
-    return scored.select("row.*", "__weight", (F.lit(False) if least is None else F.col("key") >= F.lit(least)).alias("__kept"))
+    above = lambda x: F.lit(False) if x is None else F.col("key") >= F.lit(x)
+    drawn = [] if share is None else [above(kth_largest(scored, math.ceil(share * scored.count()))).alias("__sampled")]
+    return scored.select("row.*", "__weight", above(least).alias("__kept"), *drawn)

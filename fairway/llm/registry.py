@@ -27,9 +27,9 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log importance weight of every document, and whether the sample keeps it."""
-    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
-    return out.select("doc_id", F.col("__weight").alias("log_weight"), F.col("__kept").alias("kept"))
+    """Log importance weight of every document, whether it is kept (all above the cut of the labels), and whether a sample of a quarter of all documents has it."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"], share=0.25)
+    return out.select("doc_id", F.col("__weight").alias("log_weight"), F.col("__kept").alias("kept"), F.col("__sampled").alias("sampled"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

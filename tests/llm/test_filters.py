@@ -174,6 +174,8 @@ def test_weights_and_sample_by_hand(spark):
         noisy = sorted(want, key=lambda i: -(want[i] / temperature - np.log(-np.log(unit(i)))))[:n]
         assert {i for i, r in got.items() if r["__kept"]} == set(noisy)
         assert set(noisy) != set(sorted(want, key=lambda i: -want[i])[:n])  # the noise decides
+        drawn = {r.doc_id for r in importance.resample(docs, labels, k, temperature, share=0.2).where("__sampled").collect()}
+        assert drawn == set(sorted(want, key=lambda i: -(want[i] / temperature - np.log(-np.log(unit(i)))))[:61])  # a fifth of 301 rows
 
 
 def test_gumbel_follows_the_weights(spark):
