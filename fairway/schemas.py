@@ -40,6 +40,12 @@ _DDL = {
     "sys_user_role": "user_id bigint, role_id bigint",
 }
 
+#: Tables that streams keep for themselves: versions of opportunities, and days of the heatmap, each with the batch that wrote it.
+_KEPT = {
+    "opportunity_version": "id bigint, node_id bigint, tonnage decimal(12,2), loading_date date, status string, updated_at timestamp_ntz, upto bigint",
+    "heatmap_day": "stat_date date, node_id bigint, cargo_count bigint, total_tonnage decimal(16,2), upto bigint",
+}
+
 #: Allowed values of status columns; where the sources of the data differ, the union of both sets.
 STATUSES = {
     ("cargo_raw_message", "status"): {"PENDING", "PARSING", "PARSED", "PARSE_FAILED", "INVALID"},
@@ -54,7 +60,7 @@ UNIQUE = {"waterway": ["code"], "node_alias": ["alias_name"], "vessel_dynamic":
 
 
 def schema(name: str) -> StructType:
-    return StructType.fromDDL(_DDL[name])
+    return StructType.fromDDL(_DDL[name] if name in _DDL else _KEPT[name])
 
 
 def tables() -> list[str]:
