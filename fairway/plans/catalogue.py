@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairway.functions import scalars as X
-from fairway.operators import changes, codes, governance, match, parsing, relational as R, routes, stats
+from fairway.operators import changes, codes, governance, match, ordered, parsing, relational as R, routes, search, stats
 from fairway.sources import adapters as A
 from fairway.sources.tables import table
 
@@ -684,3 +685,46 @@ def one_result_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one result of each message: the first."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("raw_message_id"), F.col("l_linenumber").alias("result"))
     return R.top_per_key(li, ["raw_message_id"], [F.asc("result")], 1)
+
+
+@query("q46b_change_log_in_slices", """SELECT vessel_id, old_value, new_value, changed_at FROM (SELECT user_id % 3 AS vessel_id, lag(event_type) OVER w AS old_value, event_type AS new_value, ts AS changed_at, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id)) WHERE n > 1 AND old_value IS DISTINCT FROM new_value""")
+def change_log_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of three vessels with a third of all reports each, in slices of time."""
+    e = A.vessel_events(spark, sf_dir).withColumn("vessel_id", F.pmod("vessel_id", F.lit(3)))
+    return governance.change_log(e, "vessel_id", "vessel_status", slice_rows=1000)
+
+
+@query("q47b_running_totals", """SELECT event_id AS id, event_type AS vessel_status, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM events""")
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums over a few keys that have all reports, in slices of time."""
+    e = A.vessel_events(spark, sf_dir).select("id", "vessel_status", "vessel_id", "ts")
+    return ordered.running_sum(e, ["vessel_status"], ["ts", "id"], F.col("vessel_id"), "so_far", slice_rows=1000).select("id", "vessel_status", "so_far")
+
+
+@query("q68_page_after", f"""SELECT id, target_type, created_at FROM ({_AUDIT}) ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40""")
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of records, newest first, each by the cursor of the page before."""
+    a, order, cursor = A.audit_records(spark, sf_dir), [("created_at", True), ("id", True)], None
+    for _ in range(2):
+        cursor = R.cursor_of(R.page_after(a, order, cursor, 20), order)
+    return R.page_after(a, order, cursor, 20).select("id", "target_type", "created_at")
+
+
+@query("q69_search_by_grams", """SELECT 'EAR' AS word, p_partkey AS id FROM part WHERE p_name ILIKE '%EAR%' OR p_brand ILIKE '%EAR%' UNION ALL SELECT 'red%d_et', p_partkey FROM part WHERE p_name ILIKE '%red%d_et%' OR p_brand ILIKE '%red%d_et%'
+UNION ALL SELECT 'rand#1', p_partkey FROM part WHERE p_name ILIKE '%rand#1%' OR p_brand ILIKE '%rand#1%' UNION ALL SELECT 'e', p_partkey FROM part WHERE p_name ILIKE '%e%' OR p_brand ILIKE '%e%'""")
+def search_by_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords by the postings of trigrams; wildcards cut a word into literal runs, and one without a trigram meets all rows."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    posted = search.postings(p, ["name", "brand"])
+    found = [search.search(p, posted, ["name", "brand"], w).select(F.lit(w).alias("word"), "id") for w in ("EAR", "red%d_et", "rand#1", "e")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("q70_new_ids", """WITH t AS (SELECT max(o_orderkey) AS top FROM orders) SELECT l_returnflag AS flag, count(*) AS n, (SELECT top FROM t) AS below, (SELECT top + count(*) FROM t, lineitem GROUP BY top) AS upto, count(*) AS ids FROM lineitem GROUP BY 1""")
+def new_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines numbered after the largest order: no number twice, none left out, none at or below the old ones."""
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    lines = table(spark, sf_dir, "lineitem").select(F.lit(None).cast("long").alias("id"), F.col("l_returnflag").alias("flag"))
+    made = changes.with_new_ids(lines, old)
+    ends = made.agg((F.min("id") - 1).alias("below"), F.max("id").alias("upto"))
+    return made.groupBy("flag").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).crossJoin(F.broadcast(ends))  # one row
