@@ -184,6 +184,28 @@ def test_gumbel_follows_the_weights(spark):
     assert abs(df.agg(F.avg((F.col("b") > F.col("a")).cast("int"))).first()[0] - 0.75) < 0.02
 
 
+def test_trees_carry_over_to_hosts_that_they_have_not_seen(spark):
+    """A made set of 360 hosts: bad URLs tend to digits, parameters, depth and length, good ones to plain paths, with overlap; a third of the hosts is held out."""
+    rnd = random.Random(5)
+    word = lambda n, letters="abcdefghijklmnopqrstuvwxyz": "".join(rnd.choice(letters) for _ in range(n))
+    rows = []
+    for h in range(360):
+        bad = h % 2
+        host = f"{word(rnd.randint(4, 12))}.{word(rnd.randint(4, 9))}.{rnd.choice(['com', 'net', 'org'] + ['xyz'] * bad)}"
+        for _ in range(5):
+            odd = rnd.random() < (0.97 if bad else 0.03)  # some look like the other kind in every respect
+            deep = rnd.randint(3, 7) if rnd.random() < 0.1 + 0.8 * odd else rnd.randint(1, 3)
+            path = "/".join(word(rnd.randint(3, 8), "0123456789abcdef" if odd else "aeilnorst") for _ in range(deep))
+            args = "&".join(f"{word(2)}={word(6, '0123456789')}" for _ in range(rnd.randint(1, 5) if odd else rnd.randint(0, 1)))
+            rows.append((len(rows), f"https://{host}/{path}" + (f"?{args}" if args else ""), bad, h % 3 == 0))
+    df = spark.createDataFrame(rows, "page_id long, url string, label int, held boolean").repartition(3)
+    model = url_filter.train(df.where("NOT held"))
+    precision, recall, n = figures(url_filter.judge(df.where("held"), model, []).join(df.select("page_id", "label"), "page_id"))
+    assert n == 600 and precision >= 0.9 and recall >= 0.9
+    used = dict(zip(url_filter.FEATURES, model.trees.featureImportances.toArray()))
+    assert sum(used[k] > 0.01 for k in ("length", "depth", "digit_ratio", "entropy", "parameters", "query_length", "path_length")) >= 3
+
+
 def brute_licenses(text):
     words = lambda t: re.findall(r"[^\W_]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     found = {" ".join(words(text)[i : i + 5]) for i in range(len(words(text)) - 4)}
