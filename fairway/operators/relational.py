@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairway.operators.ordered import running_sum
+
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -111,6 +113,20 @@ def nested(parents: DataFrame, children: DataFrame, key: str, foreign: str, fiel
     return parents.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
+def nested_parts(parents: DataFrame, children: DataFrame, key: str, foreign: str, fields: list[str], name: str = "children", size: int = 10_000, slice_rows: int | None = None) -> DataFrame:
+    """nested() for parents of any number of children: a row for every `size` of them, with its number in `part`, from 0.
+
+    Children are in the order of their fields across the parts. They are counted in slices of the first field, so neither
+    a window nor an array ever holds all children of a parent. A parent without children has one row and an empty array.
+    """
+    narrow = children.select(F.col(foreign).alias("__key"), *fields)
+    placed = running_sum(narrow, ["__key"], fields, F.lit(1).cast("long"), "__nth", slice_rows)
+    part = F.floor((F.col("__nth") - 1) / size).cast("int")
+    lists = placed.groupBy(F.col("__key").alias(key), part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    kind = lists.schema[name].dataType
+    return parents.join(lists, key, "left").withColumns({"part": F.coalesce("part", F.lit(0)), name: F.coalesce(name, F.array().cast(kind))})
+
+
 def by_name_or_alias(nodes: DataFrame, aliases: DataFrame, word: str) -> DataFrame:
     """Nodes whose name or any alias contains the word."""
     named = nodes.where(F.col("name").ilike(f"%{word}%")).select("id")

@@ -728,3 +728,13 @@ def new_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = changes.with_new_ids(lines, old)
     ends = made.agg((F.min("id") - 1).alias("below"), F.max("id").alias("upto"))
     return made.groupBy("flag").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).crossJoin(F.broadcast(ends))  # one row
+
+
+@query("q53b_children_in_parts", """WITH l AS (SELECT l_returnflag AS flag, l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1) // 500 AS part FROM lineitem)
+SELECT flag, CAST(part AS INTEGER) AS part, count(*) AS n, string_agg(l_orderkey || '-' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) AS lines FROM l GROUP BY ALL""")
+def children_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few parents with very many children: arrays of 500 at most, in order across the parts."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_orderkey", "l_linenumber")
+    out = R.nested_parts(li.select("flag").distinct(), li, "flag", "flag", ["l_orderkey", "l_linenumber"], "lines", size=500, slice_rows=10_000)
+    shown = F.transform("lines", lambda r: F.concat_ws("-", r["l_orderkey"].cast("string"), r["l_linenumber"].cast("string")))
+    return out.select("flag", "part", F.size("lines").cast("long").alias("n"), F.array_join(shown, ",").alias("lines"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fairway.operators import changes, codes, governance, ordered, routes
+from fairway.operators import changes, codes, governance, ordered, relational, routes
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -110,3 +110,12 @@ def test_a_batch_that_names_a_key_twice(spark):
     new = spark.createDataFrame([(1, "c", 1), (1, "d", 0), (3, "e", 5), (3, "e", 5)], "id long, name string, n int")
     assert sorted(map(tuple, changes.upsert(old, new, ["id"]).collect())) == [(1, "d", 0), (2, "b", 0), (3, "e", 5)]
     assert sorted(map(tuple, changes.update_rows(old, new, ["id"]).collect())) == [(1, "d", 0), (2, "b", 0)]
+
+
+@pytest.mark.parametrize("slice_rows", [None, 60])
+def test_children_in_parts(spark, slice_rows):
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    children = spark.range(500).select(F.when(F.col("id") < 470, 1).otherwise(2).alias("pid"), (F.col("id") * 7 % 500).alias("n"))
+    got = relational.nested_parts(parents, children, "id", "pid", ["n"], size=40, slice_rows=slice_rows).orderBy("id", "part").collect()
+    assert [(r.id, r.part, len(r.children)) for r in got] == [(1, k, 40) for k in range(11)] + [(1, 11, 30), (2, 0, 30), (3, 0, 0)]
+    assert [c.n for r in got if r.id == 1 for c in r.children] == sorted(i * 7 % 500 for i in range(470))
