@@ -395,6 +395,39 @@ _GOODS = """SELECT min(p_partkey) AS id, p_name AS name, [replace(p_name, ' ', '
 _ASKED = """SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN ' fresh ' || p_name WHEN 3 THEN substring(p_name, 1, 5) WHEN 4 THEN replace(p_name, ' ', '-') WHEN 5 THEN replace(p_name, 'e', 'a') ELSE reverse(p_name) END AS text FROM part"""
 
 
+def _ratios(pairs: str) -> str:
+    """Common table expressions that end in ratio (a, b, r): the similarity of the distinct pairs (a, b) that can reach 0.5.
+
+    r is twice the characters in matching blocks over those of both texts. The longest block of two stretches, ties by
+    its place in a, then in b, cuts them into what is left and right of it, and so on. For texts of b below 200 characters.
+    """
+    return f"""pr AS MATERIALIZED (SELECT row_number() OVER () AS p, a, b FROM (SELECT DISTINCT a, b FROM ({pairs})) WHERE least(length(a), length(b)) > 0 AND 4 * least(length(a), length(b)) >= length(a) + length(b)),
+eq AS (SELECT p, i, j FROM (SELECT p, unnest(range(1, length(a) + 1)) AS i, unnest(string_split(a, '')) AS c FROM pr) JOIN (SELECT p, unnest(range(1, length(b) + 1)) AS j, unnest(string_split(b, '')) AS c FROM pr) USING (p, c)),
+runs AS MATERIALIZED (SELECT p, i, j, max(i) OVER (PARTITION BY p, i - j, g) - i + 1 AS run FROM (SELECT *, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS g FROM eq)),
+seg(p, a0, a1, b0, b1, m) AS (SELECT p, CAST(1 AS BIGINT), length(a) + 1, CAST(1 AS BIGINT), length(b) + 1, CAST(0 AS BIGINT) FROM pr UNION ALL
+SELECT p, CASE side WHEN 0 THEN a0 ELSE x[2] - x[1] END, CASE side WHEN 0 THEN x[2] ELSE a1 END, CASE side WHEN 0 THEN b0 ELSE x[3] - x[1] END, CASE side WHEN 0 THEN x[3] ELSE b1 END, CASE side WHEN 0 THEN -x[1] ELSE 0 END
+FROM (SELECT p, a0, a1, b0, b1, min([-least(run, a1 - i, b1 - j), i, j]) AS x FROM seg JOIN runs USING (p) WHERE i >= a0 AND i < a1 AND j >= b0 AND j < b1 GROUP BY ALL), (SELECT unnest([0, 1]) AS side)),
+ratio AS MATERIALIZED (SELECT a, b, 2.0::DOUBLE * CAST(sum(m) AS DOUBLE) / (length(a) + length(b)) AS r FROM seg JOIN pr USING (p) GROUP BY p, a, b)"""
+
+
+def _entity_matches(asked: str, entities: str, top: int = 3) -> str:
+    """SQL of the first matcher: (text, id, name, score, via, rank) of the texts of `asked` in the dictionary (id, name, aliases)."""
+    return f"""WITH RECURSIVE q AS (SELECT DISTINCT text, lower(trim(text)) AS t FROM ({asked}) WHERE text <> ''), d AS (SELECT id, name, lower(name) AS n, [lower(x) FOR x IN aliases] AS al FROM ({entities})),
+forms AS (SELECT id, n AS form, 1 AS is_name FROM d UNION ALL SELECT id, unnest(al), 0 FROM d), {_ratios("SELECT t AS a, form AS b FROM q, forms")},
+near AS (SELECT t, id, max([CAST(trunc(r * 100) AS INTEGER), is_name]) AS best FROM ratio JOIN forms ON b = form JOIN q ON a = t GROUP BY ALL),
+ruled AS (SELECT text, t, id, name, CASE WHEN t = n THEN 100 WHEN list_contains(al, t) THEN 95 WHEN contains(t, n) OR contains(n, t) THEN 85 WHEN len([x FOR x IN al IF contains(t, x) OR contains(x, t)]) > 0 THEN 80 END AS s FROM q, d),
+scored AS (SELECT text, id, name, coalesce(s, best[1]) AS score, CASE s WHEN 100 THEN 'exact' WHEN 95 THEN 'alias_exact' WHEN 85 THEN 'contains' WHEN 80 THEN 'alias_contains' ELSE CASE best[2] WHEN 1 THEN 'fuzzy' ELSE 'alias_fuzzy' END END AS via FROM ruled LEFT JOIN near USING (t, id))
+SELECT text, id, name, CAST(score AS INTEGER) AS score, via, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored WHERE score >= 60 QUALIFY rank <= {top}"""
+
+
+def _name_matches(asked: str, rows: str, top: int = 5) -> str:
+    """SQL of the second matcher: (text, id, name, matched, score, priority, rank) of the texts of `asked` in the rows (id, name, matched, priority, kind, ord)."""
+    return f"""WITH RECURSIVE q AS (SELECT DISTINCT text, lower(trim(text)) AS t FROM ({asked}) WHERE text <> ''), f AS (SELECT *, lower(trim(matched)) AS m FROM ({rows}) WHERE matched <> ''), {_ratios("SELECT t AS a, m AS b FROM q, f")},
+scored AS (SELECT text, id, name, matched, priority, kind, ord, CASE WHEN t = m THEN 1.0::DOUBLE WHEN contains(t, m) OR contains(m, t) THEN 0.85::DOUBLE ELSE r END AS s FROM q CROSS JOIN f LEFT JOIN ratio ON a = t AND b = m),
+best AS (SELECT *, round_even(s * 100, 0) AS score, row_number() OVER (PARTITION BY text, id ORDER BY round_even(s * 100, 0) DESC, kind, ord) AS n, first_value(kind) OVER w AS k0, first_value(ord) OVER w AS o0 FROM scored WHERE s >= 0.5 WINDOW w AS (PARTITION BY text, id ORDER BY kind, ord))
+SELECT text, id, name, matched, CAST(score AS INTEGER) AS score, priority, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, priority DESC NULLS LAST, k0, o0) AS INTEGER) AS rank FROM best WHERE n = 1 QUALIFY rank <= {top}"""
+
+
 @query("q38_match_rules", f"""WITH p AS (SELECT text, lower(trim(text)) AS t, id, name, [lower(x) FOR x IN aliases] AS a FROM ({_ASKED}), ({_GOODS})),
 s AS (SELECT text, id, name, CASE WHEN t = lower(name) THEN 100 WHEN list_contains(a, t) THEN 95 WHEN contains(t, lower(name)) OR contains(lower(name), t) THEN 85 WHEN len([x FOR x IN a IF contains(t, x) OR contains(x, t)]) > 0 THEN 80 END AS score FROM p)
 SELECT text, id, name, CAST(score AS INTEGER) AS score, CASE score WHEN 100 THEN 'exact' WHEN 95 THEN 'alias_exact' WHEN 85 THEN 'contains' ELSE 'alias_contains' END AS via, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 3""")
@@ -402,18 +435,12 @@ def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_entities(_asked(spark, sf_dir), _goods(spark, sf_dir), fuzzy=False)
 
 
-@query("q39_match_entities")
+@query("q39_match_entities", _entity_matches(_ASKED, _GOODS))
 def match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first matcher with similarity; tested against its rules in plain Python."""
+    """The first matcher with similarity."""
     return match.match_entities(_asked(spark, sf_dir), _goods(spark, sf_dir))
 
 
-@query("q40_match_names")
-def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second matcher; tested against its rules in plain Python."""
-    return match.match_names(_asked(spark, sf_dir), *_named_goods(spark, sf_dir), "entity_id")
-
-
 def _named_goods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Goods and their aliases as tables of the second matcher; one in eleven of either is inactive."""
     g = _goods(spark, sf_dir)
@@ -424,6 +451,13 @@ def _named_goods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 _NAMED = f"""g AS ({_GOODS}), e AS (SELECT id, name FROM g WHERE id % 11 <> 0),
 al AS (SELECT id * 2 + i AS id, id AS entity_id, aliases[i + 1] AS alias_name, CAST(id % 10 AS INTEGER) AS priority FROM g, (SELECT unnest([0, 1]) AS i) WHERE (id + 3) % 11 <> 0)"""
+_NAMED_ROWS = f"""WITH {_NAMED} SELECT e.id, e.name, al.alias_name AS matched, al.priority, 0 AS kind, al.id AS ord FROM al JOIN e ON al.entity_id = e.id UNION ALL SELECT id, name, name, 5, 1, id FROM e"""
+
+
+@query("q40_match_names", _name_matches(_ASKED, _NAMED_ROWS))
+def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second matcher, with similarity."""
+    return match.match_names(_asked(spark, sf_dir), *_named_goods(spark, sf_dir), "entity_id")
 
 
 @query("q40b_name_rules", f"""WITH {_NAMED}, f AS (SELECT e.id, e.name, al.alias_name AS matched, al.priority, 0 AS kind, al.id AS ord FROM al JOIN e ON al.entity_id = e.id UNION ALL SELECT id, name, name, 5, 1, id FROM e),
@@ -435,7 +469,7 @@ def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_names(_asked(spark, sf_dir), *_named_goods(spark, sf_dir), "entity_id", fuzzy=False)
 
 
-@query("q41_match_unpruned")
+@query("q41_match_unpruned", _entity_matches(_ASKED, _GOODS))
 def match_unpruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first matcher without its length bound: the same result as q39."""
     return match.match_entities(_asked(spark, sf_dir), _goods(spark, sf_dir), prune=False)
@@ -548,9 +582,16 @@ def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.delete_rows(changes.update_rows(n, changed, ["id"]), n.where(F.pmod("id", F.lit(11)) == 0), ["id"])
 
 
-@query("q52_parse_messages")
+_DICTIONARY = f"""SELECT n.id, any_value(name) AS name, list(alias_name ORDER BY a.id) AS aliases FROM ({_NODES}) n JOIN ({_ALIASES}) a ON node_id = n.id GROUP BY 1"""
+_MESSAGES = r"""SELECT id, regexp_extract(c, '([^\s,.]+?)(?:到|至|->|→)', 1) AS origin_text, regexp_extract(c, '(?:到|至|->|→)([^\s,.\d]+)', 1) AS dest_text, regexp_extract(c, '吨([^\s,.\d]+)', 1) AS commodity_text, CAST(regexp_extract(replace(regexp_extract(c, '\d[\d,.]*\s*千吨'), ',', ''), '[\d.]+') AS DOUBLE) * 1000 AS tonnage
+FROM (SELECT o_orderkey AS id, 'Supplier#' || lpad(CAST(o_custkey % 100 AS VARCHAR), 9, '0') || '到S' || o_orderkey % 100 || ',' || o_orderkey % 9 || '千吨red widget' AS c FROM orders)"""
+
+
+@query("q52_parse_messages", f"""WITH m AS MATERIALIZED ({_MESSAGES}), ends AS MATERIALIZED ({_entity_matches("SELECT origin_text AS text FROM m UNION ALL SELECT dest_text FROM m", _DICTIONARY, 1)}), goods AS MATERIALIZED ({_entity_matches("SELECT commodity_text AS text FROM m", _GOODS, 1)})
+SELECT m.id, o.id AS origin_id, d.id AS dest_id, g.id AS commodity_id, tonnage, CAST((coalesce(o.score, 0) + coalesce(d.score, 0) + coalesce(g.score, 0)) // 3 AS INTEGER) AS overall_confidence, 'PENDING_CONFIRM' AS parse_status
+FROM m LEFT JOIN ends o ON o.text = origin_text LEFT JOIN ends d ON d.text = dest_text LEFT JOIN goods g ON g.text = commodity_text""")
 def parse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages made of node and part names, parsed and linked; tested on literal messages."""
+    """Messages made of node and part names, parsed and linked."""
     n = match.dictionary(A.nodes(spark, sf_dir), A.node_aliases(spark, sf_dir), "node_id")
     o = A.orders(spark, sf_dir)
     text = F.concat(F.lit("Supplier#"), F.lpad(F.pmod("customer_id", F.lit(100)).cast("string"), 9, "0"), F.lit("到S"), F.pmod("id", F.lit(100)).cast("string"), F.lit("，"), F.pmod("id", F.lit(9)).cast("string"), F.lit("千吨red widget"))
@@ -595,9 +636,16 @@ def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.absent(rows, A.nodes(spark, sf_dir).where("status = 1").select(F.col("id").alias("node_id")), ["node_id"]).select("order_id", "node_id")
 
 
-@query("q58_parse_blended")
+_NODE_ROWS = f"""SELECT n.id, name, alias_name AS matched, priority, 0 AS kind, a.id AS ord FROM ({_NODES}) n JOIN ({_ALIASES}) a ON node_id = n.id WHERE n.status = 1 AND a.status = 1 UNION ALL SELECT id, name, name, 5, 1, id FROM ({_NODES}) WHERE status = 1"""
+_BLEND = "CASE WHEN {0}.id IS NULL THEN {1} ELSE ({1} + {0}.score) // 2 END"
+
+
+@query("q58_parse_blended", f"""WITH m AS MATERIALIZED (SELECT o_orderkey AS id, 'Supplier#' || lpad(CAST(o_custkey % 100 AS VARCHAR), 9, '0') AS origin_text, 'S' || o_orderkey % 100 AS dest_text, CASE WHEN o_orderkey % 5 <> 0 THEN 'red widget' END AS commodity_text, o_orderkey * 3 % 101 AS oe, o_orderkey * 5 % 101 AS de, o_orderkey * 7 % 101 AS ce, o_orderkey * 11 % 101 AS te FROM orders),
+ends AS MATERIALIZED ({_name_matches("SELECT origin_text AS text FROM m UNION ALL SELECT dest_text FROM m", _NODE_ROWS, 1)}), goods AS MATERIALIZED ({_name_matches("SELECT commodity_text AS text FROM m", _NAMED_ROWS, 1)}),
+c AS (SELECT m.id, te, o.id AS origin_id, d.id AS dest_id, g.id AS commodity_id, CAST({_BLEND.format("o", "oe")} AS INTEGER) AS origin_confidence, CAST({_BLEND.format("d", "de")} AS INTEGER) AS dest_confidence, CAST({_BLEND.format("g", "ce")} AS INTEGER) AS commodity_confidence FROM m LEFT JOIN ends o ON o.text = origin_text LEFT JOIN ends d ON d.text = dest_text LEFT JOIN goods g ON g.text = commodity_text)
+SELECT * EXCLUDE (te), CAST((origin_confidence + dest_confidence + commodity_confidence + te) // 4 AS INTEGER) AS overall_confidence, CASE WHEN id % 9 <> 0 THEN (id % 9) || '.0' END AS tonnage_text, 'PENDING_CONFIRM' AS parse_status FROM c""")
 def parse_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The older pipeline over orders: both ends and the goods matched by the second matcher, confidences blended; tested by hand."""
+    """The older pipeline over orders: both ends and the goods matched by the second matcher, confidences blended."""
     n = A.nodes(spark, sf_dir)
     goods, goods_aliases = _named_goods(spark, sf_dir)
     i = F.col("id")
