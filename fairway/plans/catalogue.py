@@ -9,8 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairway import schemas
 from fairway.functions import scalars as X
 from fairway.operators import changes, codes, governance, match, ordered, parsing, relational as R, routes, search, stats
+from fairway.plans import stages
 from fairway.sources import adapters as A
 from fairway.sources.tables import table
 
@@ -786,3 +788,123 @@ def children_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.nested_parts(li.select("flag").distinct(), li, "flag", "flag", ["l_orderkey", "l_linenumber"], "lines", size=500, slice_rows=10_000)
     shown = F.transform("lines", lambda r: F.concat_ws("-", r["l_orderkey"].cast("string"), r["l_linenumber"].cast("string")))
     return out.select("flag", "part", F.size("lines").cast("long").alias("n"), F.array_join(shown, ",").alias("lines"))
+
+
+@query("q71_dictionary", f"""SELECT n.id, name, coalesce(string_agg(alias_name, '|' ORDER BY a.id), '') AS aliases FROM ({_NODES}) n LEFT JOIN ({_ALIASES}) a ON node_id = n.id AND n.id % 4 <> 0 GROUP BY ALL""")
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes with their aliases in the order of these' ids; some have none."""
+    a = A.node_aliases(spark, sf_dir).where(F.pmod("node_id", F.lit(4)) != 0)
+    return match.dictionary(A.nodes(spark, sf_dir), a, "node_id").select("id", "name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("q72_candidates", f"""SELECT text, arg_min(id, rank) AS matched_id, arg_min(score, rank) AS confidence, string_agg(id || ':' || name || ':' || score, '|' ORDER BY rank) AS candidates FROM ({_entity_matches(_ASKED, _GOODS)}) GROUP BY 1""")
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a text: the best entity, its confidence, and the ranked candidates as records of id, name and score."""
+    c = match.candidates(match.match_entities(_asked(spark, sf_dir), _goods(spark, sf_dir)))
+    shown = F.transform("candidates", lambda r: F.concat_ws(":", r["id"].cast("string"), r["name"], r["score"].cast("string")))
+    return c.select("text", "matched_id", "confidence", F.array_join(shown, "|").alias("candidates"))
+
+
+@query("q73_enable_disable", f"""SELECT id, CAST(CASE WHEN id % 5 = 0 THEN 1 WHEN id % 3 = 0 THEN 0 ELSE status END AS INTEGER) AS status FROM ({_NODES})""")
+def enable_disable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes disabled by id, then some enabled."""
+    n = A.nodes(spark, sf_dir).select("id", "status")
+    off, on = n.where(F.pmod("id", F.lit(3)) == 0), n.where(F.pmod("id", F.lit(5)) == 0)
+    return governance.set_status(governance.set_status(n, off, False), on.unionByName(on), True)
+
+
+@query("q74_message_states", """WITH m AS (SELECT o_orderkey AS id, ['PENDING', 'PARSING', 'PARSED', 'PARSE_FAILED', 'INVALID'][o_orderkey % 5 + 1] AS s, o_orderdate FROM orders),
+a AS (SELECT id, CASE WHEN s = 'PARSING' AND o_orderdate < TIMESTAMP '1998-06-14 23:00:00' THEN 'PENDING' ELSE s END AS swept FROM m), b AS (SELECT *, CASE WHEN id % 4 = 0 AND swept <> 'PARSING' THEN 'PENDING' ELSE swept END AS asked FROM a)
+SELECT *, CASE WHEN id % 12 = 0 THEN 'PARSE_FAILED' WHEN id % 6 = 0 THEN 'PARSED' ELSE asked END AS status FROM b""")
+def message_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of messages after a sweep of stale ones, requests to parse again, and the results of a batch."""
+    states = F.array(*map(F.lit, ("PENDING", "PARSING", "PARSED", "PARSE_FAILED", "INVALID")))
+    m = A.orders(spark, sf_dir).select("id", F.get(states, F.pmod("id", F.lit(5)).cast("int")).alias("status"), F.col("created_at").alias("updated_at"))
+    wanted = m.select("id").where(F.pmod("id", F.lit(4)) == 0)
+    results = m.where(F.pmod("id", F.lit(6)) == 0).select("id", F.when(F.pmod("id", F.lit(12)) == 0, "PARSE_FAILED").otherwise("PENDING_CONFIRM").alias("parse_status"))
+    swept = governance.stale_reset(m, datetime.datetime(1998, 6, 15)).withColumn("swept", F.col("status"))
+    asked = governance.request_reparse(swept, wanted).withColumn("asked", F.col("status"))
+    return parsing.after_parse(asked, results).select("id", "swept", "asked", "status")
+
+
+@query("q75_approved_aliases", f"""WITH j AS ({_JUDGED}), w AS (SELECT id, arg_min(decision, n) AS decision FROM j WHERE refusal IS NULL GROUP BY 1)
+SELECT s_suppkey AS node_id, s_name AS alias_name, 'SYSTEM' AS alias_type, CAST(100 AS INTEGER) AS priority, CAST(1 AS INTEGER) AS status FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey IN (SELECT submitter_id FROM ({_AUDIT}) a JOIN w USING (id) WHERE decision = 'APPROVE' AND target_type = 'NODE')""")
+def approved_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The system aliases that approvals of nodes lead to, but for nodes that have theirs; the target is known by its submitter."""
+    a = A.audit_records(spark, sf_dir).withColumn("target_id", F.col("submitter_id"))
+    have = A.node_aliases(spark, sf_dir).where(F.pmod("node_id", F.lit(3)) == 0).withColumn("alias_type", F.lit("SYSTEM"))
+    return governance.approve_nodes(a, _decisions(spark, sf_dir), A.nodes(spark, sf_dir), have)[1]
+
+
+@query("q76_manual_entries", f"""WITH r AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_suppkey AS o, CASE WHEN l_partkey % 4 <> 0 THEN l_partkey % 120 END AS d FROM lineitem), n AS (SELECT id FROM ({_NODES}) WHERE status = 1),
+k AS (SELECT *, o IN (SELECT id FROM n) AND (d IS NULL OR d IN (SELECT id FROM n)) AS ok FROM r) SELECT order_id, line, o AS origin_node_id, d AS dest_node_id, CASE WHEN ok THEN 'PENDING' END AS status, CASE WHEN ok THEN 'MANUAL' END AS input_type FROM k""")
+def manual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual entries, accepted ones waiting and the others without a state: an end that is given must be an active node."""
+    dest = F.when(F.pmod("l_partkey", F.lit(4)) != 0, F.pmod("l_partkey", F.lit(120)))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("origin_node_id"), dest.alias("dest_node_id"))
+    accepted, rejected = parsing.manual_opportunities(rows, A.nodes(spark, sf_dir).where("status = 1"))
+    return accepted.unionByName(rejected, allowMissingColumns=True)
+
+
+@query("q77_violations", """WITH m AS (SELECT CASE WHEN event_id % 7 <> 0 THEN CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'PARSED' ELSE upper(event_type) END END AS status FROM events),
+a AS (SELECT CASE WHEN user_id % 10 <> 0 THEN 'n' || user_id END AS alias_name FROM events), h AS (SELECT CAST(ts AS DATE) AS d, CASE WHEN user_id % 50 <> 0 THEN user_id END AS n, CASE WHEN event_type = 'error' THEN 'OTHER' ELSE 'VESSEL' END AS t FROM events),
+v AS (SELECT 'cargo_raw_message' AS name, 'status in set' AS rule, count(*) AS n FROM m WHERE status NOT IN ('PENDING', 'PARSING', 'PARSED', 'PARSE_FAILED', 'INVALID')
+UNION ALL SELECT 'node_alias', 'key not null', count(*) FROM a WHERE alias_name IS NULL UNION ALL SELECT 'node_alias', 'key unique', count(*) FROM (SELECT alias_name FROM a GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'heatmap_stat_daily', 'stat_type in set', count(*) FROM h WHERE t = 'OTHER' UNION ALL SELECT 'heatmap_stat_daily', 'key not null', count(*) FROM h WHERE n IS NULL
+UNION ALL SELECT 'heatmap_stat_daily', 'key unique', count(*) FROM (SELECT d, n, t FROM h GROUP BY ALL HAVING count(*) > 1)) SELECT * FROM v WHERE n > 0""")
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and keys that break the rules of three tables, by rule."""
+    e = table(spark, sf_dir, "events")
+    kind, user = F.col("event_type"), F.col("user_id")
+    made = {
+        "cargo_raw_message": e.select(F.when(F.pmod("event_id", F.lit(7)) != 0, F.when(kind == "view", "PENDING").when(kind == "click", "PARSED").otherwise(F.upper(kind))).alias("status")),
+        "node_alias": e.select(F.when(F.pmod(user, F.lit(10)) != 0, F.concat(F.lit("n"), user.cast("string"))).alias("alias_name")),
+        "heatmap_stat_daily": e.select(F.to_date("ts").alias("stat_date"), F.when(F.pmod(user, F.lit(50)) != 0, user).alias("node_id"), F.when(kind == "error", "OTHER").otherwise("VESSEL").alias("stat_type")),
+    }
+    found = [schemas.violations(schemas.conform(df, name), name).select(F.lit(name).alias("name"), "rule", "n") for name, df in made.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("q78_sql_functions", f"""WITH RECURSIVE s AS (SELECT id, lower(name) AS n, 'supplier' || id AS short, latitude AS la, longitude AS lo FROM ({_NODES})), {_ratios("SELECT n AS a, short AS b FROM s")},
+h AS (SELECT *, 6371.0::DOUBLE * 2 * atan2(sqrt(x), sqrt(1 - x)) AS km FROM (SELECT *, power(sin(radians(31.5::DOUBLE - la) / 2), 2) + cos(radians(la)) * cos(radians(31.5::DOUBLE)) * power(sin(radians(117.25::DOUBLE - lo) / 2), 2) AS x FROM s))
+SELECT id, CAST(round(km * 100) AS BIGINT) AS km_100, CAST(round(km * 150) AS BIGINT) AS river_100, CAST(trunc(r * 100) AS INTEGER) AS likeness, CAST(id || '000' AS DOUBLE) AS tons, CASE WHEN id % 2 = 0 THEN '138' || lpad(CAST(id AS VARCHAR), 8, '0') END AS phone FROM h JOIN ratio ON a = n AND b = short""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions as SQL knows them."""
+    X.register(spark)
+    text = """SELECT id, CAST(round(haversine_km(latitude, longitude, 31.5D, 117.25D) * 100) AS BIGINT) AS km_100, CAST(round(waterway_km(haversine_km(latitude, longitude, 31.5D, 117.25D)) * 100) AS BIGINT) AS river_100,
+              CAST(similarity_ratio(lower(name), concat('supplier', id)) * 100 AS INT) AS likeness, tonnage_of(concat(id, '千吨')) AS tons, phone_of(concat('tel ', if(id % 2 = 0, '138', '99'), lpad(CAST(id AS STRING), 8, '0'), '.')) AS phone FROM {n}"""
+    return spark.sql(text, n=A.nodes(spark, sf_dir))
+
+
+@query("q79_extract", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 'N' || o_orderkey % 100 END AS origin_text, CASE WHEN o_orderkey % 7 <> 0 THEN '港口' END AS dest_text, CASE WHEN o_orderkey % 7 <> 0 THEN '煤炭' END AS commodity_text,
+CASE WHEN o_orderkey % 7 <> 0 THEN CAST((o_orderkey % 900 + 1) * [10000, 1000, 1][o_orderkey % 3 + 1] AS DOUBLE) END AS tonnage, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS loading_date, CASE WHEN o_orderkey % 7 <> 0 THEN '13' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS contact_phone FROM orders""")
+def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of messages by the default extractor; blank messages have none, and dates that don't exist are null."""
+    i = F.col("id")
+    unit = F.get(F.array(*map(F.lit, ("万吨", "千吨", "吨"))), F.pmod(i, F.lit(3)).cast("int"))
+    day = F.when(F.pmod(i, F.lit(5)) == 0, "1998-13-40").otherwise(F.date_format("created_at", "yyyy-MM-dd"))
+    text = F.concat(F.lit("N"), F.pmod(i, F.lit(100)), F.lit("到港口，"), F.pmod(i, F.lit(900)) + 1, unit, F.lit("煤炭  "), day, F.lit("\t电话13"), F.lpad(i.cast("string"), 9, "0"))
+    m = A.orders(spark, sf_dir).select("id", F.when(F.pmod(i, F.lit(7)) != 0, text).otherwise(" 　 ").alias("raw_text"))
+    return parsing.extract_by_rules(m).select("id", "origin_text", "dest_text", "commodity_text", "tonnage", F.col("loading_date").cast("string").alias("loading_date"), "contact_phone")
+
+
+_RIVERS = ["运河", "北运河", "永定河", "松花江", "乌苏里江", "西江", "渭河", "淮河", "川"]
+
+
+@query("q80_single_codes", """SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 1 THEN '05' ELSE ['08', '08', '07', '06', '05', '04', '03', '02', '01'][p_partkey % 9 + 1] END || '-' || CASE WHEN p_partkey % 3 = 2 THEN '03' WHEN p_partkey % 2 = 0 THEN '01' ELSE '02' END || '-' || ['001', '008', '001', '001', '1001'][p_partkey % 5 + 1] AS code,
+CASE WHEN p_partkey % 4 = 1 THEN '05' WHEN contains(p_name, 'red') THEN '42' WHEN contains(p_name, 'blue') THEN '41' ELSE '00' END AS own_basin FROM part""")
+def single_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of single rows: the basin by parent or name, the first that fits, the level, the number after the largest sibling's; and basins of one's own."""
+    p, i = table(spark, sf_dir, "part"), F.col("p_partkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.pmod(i, F.lit(len(values))).cast("int"))
+    name, parent = F.concat("p_name", pick(_RIVERS)), pick([None, "05-02-003", "bad", None])
+    made = codes.single_code(name, F.pmod(i, F.lit(3)) + 1, F.when(F.pmod(i, F.lit(2)) == 1, i), parent, pick([None, "01-02-007", "xx", "01-02-abc", "01-02-1000"]))
+    return p.select(i.alias("id"), made.alias("code"), codes.basin(F.col("p_name"), parent, {"42": ["red"], "41": ["blue"]}, "00").alias("own_basin"))
+
+
+@query("q81_stages", """WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'P') SELECT 'waiting' AS stage, count(*) AS n FROM o UNION ALL SELECT 'by customer', count(DISTINCT o_custkey) FROM o UNION ALL SELECT 'repeated', count(*) FROM (SELECT o_custkey FROM o GROUP BY 1 HAVING count(*) > 1)""")
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline of three stages with the number of rows that each gave."""
+    steps = [("waiting", lambda d: d.where("status = 'P'")), ("by customer", lambda d: d.groupBy("customer_id").count()), ("repeated", lambda d: d.where("count > 1"))]
+    out = stages.run_stages(A.orders(spark, sf_dir), steps)
+    return reduce(DataFrame.unionByName, [d.agg(F.lit(name).alias("stage"), F.count("*").alias("n")) for name, d in out.stages.items()])
