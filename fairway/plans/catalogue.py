@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairway import schemas
@@ -589,6 +589,11 @@ _MESSAGES = r"""SELECT id, regexp_extract(c, '([^\s,.]+?)(?:到|至|->|→)', 1)
 FROM (SELECT o_orderkey AS id, 'Supplier#' || lpad(CAST(o_custkey % 100 AS VARCHAR), 9, '0') || '到S' || o_orderkey % 100 || ',' || o_orderkey % 9 || '千吨red widget' AS c FROM orders)"""
 
 
+def message() -> Column:
+    """The text of an order as a message: node by name, node by alias, tonnage and goods."""
+    return F.concat(F.lit("Supplier#"), F.lpad(F.pmod("customer_id", F.lit(100)).cast("string"), 9, "0"), F.lit("到S"), F.pmod("id", F.lit(100)).cast("string"), F.lit("，"), F.pmod("id", F.lit(9)).cast("string"), F.lit("千吨red widget"))
+
+
 @query("q52_parse_messages", f"""WITH m AS MATERIALIZED ({_MESSAGES}), ends AS MATERIALIZED ({_entity_matches("SELECT origin_text AS text FROM m UNION ALL SELECT dest_text FROM m", _DICTIONARY, 1)}), goods AS MATERIALIZED ({_entity_matches("SELECT commodity_text AS text FROM m", _GOODS, 1)})
 SELECT m.id, o.id AS origin_id, d.id AS dest_id, g.id AS commodity_id, tonnage, CAST((coalesce(o.score, 0) + coalesce(d.score, 0) + coalesce(g.score, 0)) // 3 AS INTEGER) AS overall_confidence, 'PENDING_CONFIRM' AS parse_status
 FROM m LEFT JOIN ends o ON o.text = origin_text LEFT JOIN ends d ON d.text = dest_text LEFT JOIN goods g ON g.text = commodity_text""")
@@ -596,9 +601,7 @@ def parse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages made of node and part names, parsed and linked."""
     n = match.dictionary(A.nodes(spark, sf_dir), A.node_aliases(spark, sf_dir), "node_id")
     o = A.orders(spark, sf_dir)
-    text = F.concat(F.lit("Supplier#"), F.lpad(F.pmod("customer_id", F.lit(100)).cast("string"), 9, "0"), F.lit("到S"), F.pmod("id", F.lit(100)).cast("string"), F.lit("，"), F.pmod("id", F.lit(9)).cast("string"), F.lit("千吨red widget"))
-    goods = _goods(spark, sf_dir)
-    out = parsing.parse_messages(o.select("id", text.alias("raw_text")), n, goods)
+    out = parsing.parse_messages(o.select("id", message().alias("raw_text")), n, _goods(spark, sf_dir))
     return out.select("id", "origin_id", "dest_id", "commodity_id", "tonnage", "overall_confidence", "parse_status")
 
 

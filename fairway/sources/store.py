@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,6 +26,16 @@ from fairway.schemas import conform, schema
 KEPT_COMMITS = 20
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that is not there yet, below spark.checkpoint.dir, which all executors share; only a local session without it gets one of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-store-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Transaction:
     """Changes to several tables that take effect together when its block ends; its reads see its own changes."""
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from fairway.operators.governance import latest
 from fairway.schemas import conform
 from fairway.sources.store import Store
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, per_trigger: int = 1000) -> DataFrame:
     """Parquet files as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
