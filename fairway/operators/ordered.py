@@ -81,21 +81,28 @@ def running_sum(df: DataFrame, key: list[str], order: list[str], value: Column,
     return out.select(*[c for c in df.columns if c != name], name)
 
 
+def slices(df: DataFrame, slice_rows: int | None = None) -> int:
+    """The number of parts of about SLICE_ROWS rows that a table makes."""
+    return max(1, math.ceil(df.count() / (slice_rows or SLICE_ROWS)))
+
+
 def numbered(df: DataFrame, name: str, slice_rows: int | None = None) -> DataFrame:
     """`df` with numbers from 1 to its number of rows, each once; which row gets which follows from the rows alone.
 
-    Rows that are equal are counted first and get their numbers together, in runs of RUN, so that a third of all rows
-    may be the same. Columns must be of kinds that can be grouped by.
+    Rows that are equal are counted first and get their numbers in runs of RUN, which are dealt to slots of about
+    SLICE_ROWS numbers, a task each; so a third of all rows may be the same. Columns must be of kinds that can be grouped by.
     """
     fields = df.columns
-    parts = max(1, math.ceil(df.count() / (slice_rows or SLICE_ROWS)))
-    content = F.xxhash64(*fields)
-    equal = df.groupBy(*fields).agg(F.count("*").alias("__many")).withColumn("__slot", F.pmod(content, F.lit(parts)))
-    upto = F.sum("__many").over(Window.partitionBy("__slot").orderBy(content, *fields).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sizes = equal.groupBy("__slot").agg(F.sum("__many").alias("__size"))
-    before = sizes.select("__slot", F.coalesce(F.sum("__size").over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row per SLICE_ROWS rows
-    placed = equal.withColumn("__upto", upto).join(F.broadcast(before), "__slot")
-    first = F.col("__before") + F.col("__upto") - F.col("__many")
-    runs = placed.withColumn("__first", first).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__many") - 1) / RUN))))
-    size = F.least(F.lit(RUN), F.col("__many") - F.col("__run") * RUN)
-    return runs.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), size))).select(*fields, (F.col("__first") + F.col("__run") * RUN + F.col("__i")).alias(name))
+    parts = slices(df, slice_rows)
+    equal = df.groupBy(*fields).agg(F.count("*").alias("__many"))
+    runs = equal.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__many") - 1) / RUN))))
+    size = F.least(F.lit(RUN).cast("long"), F.col("__many") - F.col("__run") * RUN)
+    content = F.xxhash64(*fields, "__run")
+    dealt = runs.select(*fields, "__run", size.alias("__size"), F.pmod(content, F.lit(parts)).cast("int").alias("__slot"))
+    upto = F.sum("__size").over(Window.partitionBy("__slot").orderBy(content, *fields, "__run").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = dealt.groupBy("__slot").agg(F.sum("__size").alias("__total"))
+    before = totals.select("__slot", F.coalesce(F.sum("__total").over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row per SLICE_ROWS rows
+    # By id and number: few runs stand for many rows, and adaptive execution would put them all into one task.
+    placed = dealt.repartitionById(parts, F.col("__slot")).withColumn("__upto", upto).join(F.broadcast(before), "__slot")
+    first = F.col("__before") + F.col("__upto") - F.col("__size")
+    return placed.withColumn("__first", first).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__size")))).select(*fields, (F.col("__first") + F.col("__i")).alias(name))

@@ -780,7 +780,8 @@ def new_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.lit(None).cast("long").alias("id"), F.col("l_returnflag").alias("flag"))
     made = changes.with_new_ids(lines, old)
     ends = made.agg((F.min("id") - 1).alias("below"), F.max("id").alias("upto"))
-    return made.groupBy("flag").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).crossJoin(F.broadcast(ends))  # one row
+    dealt = made.repartition(ordered.slices(lines), "id")  # by number, so that a task holds as many ids at any size
+    return dealt.groupBy("flag").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).crossJoin(F.broadcast(ends))  # one row
 
 
 @query("q53b_children_in_parts", """WITH l AS (SELECT l_returnflag AS flag, l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1) // 500 AS part FROM lineitem)

@@ -96,6 +96,13 @@ def test_many_ids(spark):
     assert tuple(got) == (1, 2_000_000, 2_000_000)
 
 
+def test_numbers_of_few_values_are_many_tasks(spark):
+    df = spark.range(6_000_000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("flag"))
+    got = ordered.numbered(df, "n").groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).collect()
+    assert sum(r.rows for r in got) == 6_000_000 and min(r.least for r in got) == 1 and max(r.most for r in got) == 6_000_000
+    assert len(got) == 6 and max(r.rows for r in got) < 2_000_000  # all rows of a value were one task's
+
+
 def test_codes_below_a_large_parent(spark, monkeypatch):
     monkeypatch.setattr(ordered, "SLICE_ROWS", 50)
     old = spark.createDataFrame([(1, "长江", 1, None, "01-01-007")], "id long, name string, level int, parent_id long, code string")
