@@ -13,6 +13,9 @@ from fairway.operators.match import candidates, match_entities, match_names
 Extractor = Callable[[DataFrame], DataFrame]
 FIELDS = ("origin", "dest", "commodity")
 
+#: Messages of one text that are joined in one task, about.
+PART_ROWS = 100_000
+
 
 def extract_by_rules(messages: DataFrame) -> DataFrame:
     """The default extractor: adds origin_text, dest_text, commodity_text, tonnage, loading_date and contact_phone.
@@ -32,11 +35,27 @@ def extract_by_rules(messages: DataFrame) -> DataFrame:
     ).drop("__clean")
 
 
-def _linked(out: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
-    """Messages with id, confidence and candidates of each field; `found` has a field's candidates() by text."""
+def _heavy(out: DataFrame) -> DataFrame:
+    """(__heavy, __parts): the texts of more than PART_ROWS fields and the parts that their messages make; at most three rows for PART_ROWS messages."""
+    return _texts(out, *[f"{f}_text" for f in FIELDS]).groupBy(F.col("text").alias("__heavy")).agg(F.ceil(F.count("*") / PART_ROWS).alias("__parts")).where("__parts > 1")
+
+
+def _linked(out: DataFrame, found: dict[str, DataFrame], messages: DataFrame) -> DataFrame:
+    """Messages with id, confidence and candidates of each field; `found` has a field's candidates() by text.
+
+    A text that very many messages share meets them in parts, to which they are dealt by a hash of the columns of `messages`,
+    so none is a task of its own; messages whose text is null or empty match nothing and are spread the same way.
+    """
+    heavy = F.broadcast(_heavy(out))
+    spread = F.xxhash64(*[c for c, kind in messages.dtypes if "map<" not in kind])  # maps have no hash
     for field, c in found.items():
+        text = F.col(f"{field}_text")
         own = c.select(F.col("text").alias(f"{field}_text"), F.col("matched_id").alias(f"{field}_id"), F.col("confidence").alias(f"{field}_confidence"), F.col("candidates").alias(f"{field}_candidates"))
-        out = out.join(own, f"{field}_text", "left").withColumn(f"{field}_confidence", F.coalesce(f"{field}_confidence", F.lit(0)))
+        parts = F.coalesce("__parts", F.lit(1).cast("long"))
+        own = own.join(heavy, text == F.col("__heavy"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__heavy", "__parts")
+        part = F.when(F.coalesce(text, F.lit("")) == "", spread).otherwise(F.pmod(spread, parts))
+        out = out.join(heavy, text == F.col("__heavy"), "left").withColumn("__part", part).drop("__heavy", "__parts")
+        out = out.join(own, [f"{field}_text", "__part"], "left").drop("__part").withColumn(f"{field}_confidence", F.coalesce(f"{field}_confidence", F.lit(0)))
     return out
 
 
@@ -54,7 +73,7 @@ def parse_messages(messages: DataFrame, nodes: DataFrame, commodities: DataFrame
     out = extract(messages)
     ends = candidates(match_entities(_texts(out, "origin_text", "dest_text"), nodes, "text", threshold))
     goods = candidates(match_entities(_texts(out, "commodity_text"), commodities, "text", threshold))
-    out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods})
+    out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods}, messages)
     overall = mean_truncated(*[F.col(f"{f}_confidence") for f in FIELDS])
     blank = clean_text(F.col("raw_text")) == ""
     return out.withColumn("overall_confidence", overall).withColumn("parse_status", F.when(blank, "PARSE_FAILED").otherwise("PENDING_CONFIRM"))
@@ -71,7 +90,7 @@ def parse_blended(messages: DataFrame, nodes: DataFrame, node_aliases: DataFrame
     named = ("id", "name", "matched", "score", "priority")
     ends = candidates(match_names(_texts(out, "origin_text", "dest_text"), nodes, node_aliases, "node_id"), named)
     goods = candidates(match_names(_texts(out, "commodity_text"), commodities, commodity_aliases, "commodity_id"), named)
-    out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods})
+    out = _linked(out, {"origin": ends, "dest": ends, "commodity": goods}, messages)
     given = lambda f: F.coalesce(F.col(f"{f}_extracted"), F.lit(0)).cast("int")
     out = out.withColumns({f"{f}_confidence": blended_confidence(given(f), F.col(f"{f}_id"), F.col(f"{f}_confidence")) for f in FIELDS})
     overall = mean_truncated(*[F.col(f"{f}_confidence") for f in FIELDS], given("tonnage"))

@@ -1,6 +1,7 @@
 """Filters, changes, codes, governance, statistics, routes and parsing on literal frames."""
 
 import datetime
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,6 +253,26 @@ def test_parsing(spark):
     assert rows(good, "k") == [(1,)] and rows(bad, "k") == [(2,)]
 
 
+def test_a_text_that_all_messages_share(spark, monkeypatch):
+    monkeypatch.setattr(parsing, "PART_ROWS", 500, raising=False)
+    ports = spark.createDataFrame([(1, "南京", []), (2, "宜昌", ["夷陵"])], "id long, name string, aliases array<string>")
+    goods = spark.createDataFrame([(7, "煤炭", [])], "id long, name string, aliases array<string>")
+    m = spark.range(6_000).select("id", F.when(F.col("id") % 10 == 9, "随便").otherwise(F.concat(F.when(F.col("id") % 2 == 0, "南京").otherwise("夷陵"), F.lit("到宜昌，3千吨煤炭"))).alias("raw_text"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = parsing.parse_messages(m, ports, goods).select("id", "origin_id", "dest_id", "commodity_id", "overall_confidence", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.id for r in got) == list(range(6_000))
+    for r in got:
+        want = (None, None, None, 0) if r.id % 10 == 9 else (1, 2, 7, 100) if r.id % 2 == 0 else (2, 2, 7, 98)
+        assert (r.origin_id, r.dest_id, r.commodity_id, r.overall_confidence) == want
+    assert max(Counter(r.task for r in got).values()) < 4_000  # of 4 tasks; one had all 5,400 of the text
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     seed = spark.createDataFrame([("ADMIN", "a"), ("VIEWER", "v")], "code string, name string")
