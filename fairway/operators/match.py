@@ -20,20 +20,21 @@ from pyspark.sql import functions as F
 from fairway.functions.scalars import strip_unicode
 from fairway.functions.similarity import FormIndex
 
-#: Rows of the dictionary in a shard; texts whose candidates are compared in one go.
-SHARD_ROWS, TOGETHER = 100_000, 256
+#: Forms (names and aliases) of the dictionary in a shard; texts, and about as many pairs, that are compared in one go.
+SHARD_ROWS, TOGETHER, PAIRS = 50_000, 256, 250_000
 
 Best = Callable[[list[str]], Iterator[list[tuple]]]
 
 
-def _cells(asked: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+def _cells(asked: DataFrame, rows: DataFrame, key: str, forms: Column) -> tuple[DataFrame, int]:
     """(cell, is_text, text, t, row...) sorted by cell, dictionary first, and the number of shards.
 
-    All rows of an entity are in one shard, by a hash of `key`. Dictionary and texts are dealt to shards times parts, of
-    which there are as many as shuffle partitions; a larger dictionary has more shards and each fewer parts.
+    `forms` is the number of a row's forms. All rows of an entity are in one shard, by a hash of `key`. Dictionary and
+    texts are dealt to shards times parts, of which there are as many as shuffle partitions; a larger dictionary has more
+    shards and each fewer parts.
     """
     spark = rows.sparkSession
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    shards = max(1, -(-(rows.agg(F.sum(forms)).first()[0] or 0) // SHARD_ROWS))
     parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
     left = rows.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("__cell", shard * parts + F.col("__part"))
@@ -107,6 +108,24 @@ def _owners(pairs: list[tuple[str | None, object]]) -> tuple[list[str], list[lis
     return list(by_form), list(by_form.values())
 
 
+def _compared(index: FormIndex, texts: list[str], ask: Callable[[str], tuple[dict | list, np.ndarray]]) -> Iterator[tuple]:
+    """(what ask() says, candidates, their similarities) of each text; some PAIRS at a time, as a text may meet the whole shard."""
+    held, pairs = [], 0
+    for text in texts:
+        held.append((text, *ask(text)))
+        pairs += len(held[-1][1]) + len(held[-1][2])
+        if pairs >= PAIRS or len(held) >= TOGETHER:
+            yield from _ratios(index, held)
+            held, pairs = [], 0
+    yield from _ratios(index, held)
+
+
+def _ratios(index: FormIndex, held: list[tuple]) -> Iterator[tuple]:
+    if held:
+        asked, said, found = zip(*held)
+        yield from zip(said, found, index.ratios(list(asked), list(found)))
+
+
 def _entities(threshold: int, top_k: int, fuzzy: bool, least: float):
     """The first matcher over the rows (id, name, __n, __a) of a shard: (id, name, score, via) of the best of each text."""
     rule = {(True, True): (100, "exact"), (True, False): (95, "alias_exact"), (False, True): (85, "contains"), (False, False): (80, "alias_contains")}
@@ -116,22 +135,20 @@ def _entities(threshold: int, top_k: int, fuzzy: bool, least: float):
         forms, owners = _owners([(n, (e, True)) for e, n in enumerate(lower)] + [(a, (e, False)) for e, al in enumerate(aliases) for a in al or ()])
         index = FormIndex(forms)
 
+        def ask(text: str) -> tuple[dict[int, tuple[int, str]], np.ndarray]:
+            equal, inside, count = index.related(text)
+            scores: dict[int, tuple[int, str]] = {}
+            for f in inside.tolist():
+                for e, is_name in owners[f]:
+                    scores[e] = max(scores.get(e, (0, "")), rule[f == equal, is_name])
+            if not fuzzy:
+                return scores, np.zeros(0, np.int64)
+            enough = heapq.nlargest(top_k, (s for s, _ in scores.values()))
+            floor = max(least, enough[-1] / 100 - 1e-9) if len(enough) == top_k and least > 0 else least  # what is below can't come in
+            return scores, index.candidates(text, count, floor, inside)
+
         def best(texts: list[str]) -> Iterator[list[tuple]]:
-            ruled, found = [], []
-            for text in texts:
-                equal, inside, count = index.related(text)
-                scores: dict[int, tuple[int, str]] = {}
-                for f in inside.tolist():
-                    for e, is_name in owners[f]:
-                        scores[e] = max(scores.get(e, (0, "")), rule[f == equal, is_name])
-                ruled.append(scores)
-                if not fuzzy:
-                    found.append(np.zeros(0, np.int64))
-                    continue
-                enough = heapq.nlargest(top_k, (s for s, _ in scores.values()))
-                floor = max(least, enough[-1] / 100 - 1e-9) if len(enough) == top_k and least > 0 else least  # what is below can't come in
-                found.append(index.candidates(text, count, floor, inside))
-            for scores, cand, ratios in zip(ruled, found, index.ratios(texts, found)):
+            for scores, cand, ratios in _compared(index, texts, ask):
                 near: dict[int, tuple[int, bool]] = {}
                 for f, r in zip(cand.tolist(), ratios.tolist()):
                     for e, is_name in owners[f]:
@@ -155,7 +172,7 @@ def match_entities(texts: DataFrame, entities: DataFrame, text_col: str = "text"
     """
     asked = _distinct_texts(texts, text_col)
     rows = entities.select("id", "name", F.lower("name").alias("__n"), F.transform("aliases", lambda a: F.lower(a)).alias("__a")).where("id IS NOT NULL")
-    cells, shards = _cells(asked, rows, "id")
+    cells, shards = _cells(asked, rows, "id", 1 + F.coalesce(F.array_size("__a"), F.lit(0)))
     kind = {f.name: f.dataType.simpleString() for f in entities.schema.fields}
     schema = pa.schema([("text", pa.string()), ("id", _arrow(kind["id"])), ("name", pa.string()), ("score", pa.int32()), ("via", pa.string())])
     least = threshold / 100 - 1e-9 if prune else 0.0
@@ -176,13 +193,12 @@ def _names(threshold: float, top_k: int, fuzzy: bool, least: float):
         forms, owners = _owners([(form[k], k) for k in range(len(ids)) if matched[k] != ""])
         index = FormIndex(forms)
 
+        def ask(text: str) -> tuple[list[tuple[int, float]], np.ndarray]:
+            equal, inside, count = index.related(text)
+            return [(f, 1.0 if f == equal else 0.85) for f in inside.tolist()], index.candidates(text, count, least, inside) if fuzzy else np.zeros(0, np.int64)
+
         def best(texts: list[str]) -> Iterator[list[tuple]]:
-            ruled, found = [], []
-            for text in texts:
-                equal, inside, count = index.related(text)
-                ruled.append([(f, 1.0 if f == equal else 0.85) for f in inside.tolist()])
-                found.append(index.candidates(text, count, least, inside) if fuzzy else np.zeros(0, np.int64))
-            for scored, cand, ratios in zip(ruled, found, index.ratios(texts, found)):
+            for scored, cand, ratios in _compared(index, texts, ask):
                 entities: dict = {}  # per entity: its best row as (-score, place, row), and its first place
                 for f, r in [*scored, *zip(cand.tolist(), ratios.tolist())]:
                     if r < threshold:
@@ -212,7 +228,7 @@ def match_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key:
     rows = aliases.where("status = 1").join(names.select(F.col("id").alias(key), "name"), key).select(F.col(key).alias("id"), "name", F.col("alias_name").alias("matched"), "priority", F.lit(0).alias("__kind"), F.col("id").alias("__order"))
     rows = rows.unionByName(names.select("id", "name", F.col("name").alias("matched"), F.lit(5).alias("priority"), F.lit(1).alias("__kind"), F.col("id").alias("__order")))
     rows = rows.withColumn("__m", F.lower(strip_unicode(F.col("matched")))).where("id IS NOT NULL")
-    cells, shards = _cells(_distinct_texts(texts, text_col), rows, "id")
+    cells, shards = _cells(_distinct_texts(texts, text_col), rows, "id", F.lit(1))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     fields = [("text", "string"), ("id", kind["id"]), ("name", "string"), ("matched", "string"), ("score", "int"), ("priority", kind["priority"]), ("__kind", "int"), ("__order", kind["__order"])]
     schema = pa.schema([(c, _arrow(k)) for c, k in fields])

@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 
 from fairway.operators import match
@@ -107,6 +108,29 @@ def test_entities_against_rules(spark, monkeypatch, shard_rows):
     assert got == {t: rules(t, rows) for t in texts}
 
 
+def test_texts_that_resemble_the_whole_shard(monkeypatch):
+    """Few pairs are held at a time, however many candidates the texts have."""
+    monkeypatch.setattr(match, "PAIRS", 2_000, raising=False)
+    held, real = [], match.FormIndex.ratios
+    monkeypatch.setattr(match.FormIndex, "ratios", lambda self, texts, found: held.append(sum(map(len, found))) or real(self, texts, found))
+    rows = [(i, f"Supplier#{i:09}", [f"S{i}"]) for i in range(300)]
+    texts = [f"supplier#{i:09}" for i in range(1_000, 1_060)]
+    t = pa.table({"id": [r[0] for r in rows], "name": [r[1] for r in rows], "__n": [r[1].lower() for r in rows], "__a": [[a.lower() for a in r[2]] for r in rows]})
+    got = list(match._entities(60, 3, True, 0.6 - 1e-9)(t)(texts))
+    assert [[(i, s, via) for i, _, s, via in g] for g in got] == [rules(text, rows) for text in texts]
+    assert sum(held) > 15_000 and max(held) < 2_700  # all were one array
+
+
+def test_shards_follow_the_forms(spark, monkeypatch):
+    """Few entities of many aliases are several shards too."""
+    monkeypatch.setattr(match, "SHARD_ROWS", 20)
+    made, real = [], match._cells
+    monkeypatch.setattr(match, "_cells", lambda *a: made.append(real(*a)) or made[-1])
+    rows = [(i, f"n{i}", [f"a{i}-{k}" for k in range(9)]) for i in range(10)]
+    df = match.match_entities(spark.createDataFrame([("a7-3",)], "text string"), entities(spark, rows))
+    assert [shards for _, shards in made] == [5] and tuple(df.orderBy("rank").first())[:4] == ("a7-3", 7, "n7", 95)
+
+
 def names_by_rules(text, entities, aliases, threshold=0.5, k=5):
     """The second matcher's rules, one row at a time: aliases first, then names."""
     if not text:
