@@ -35,9 +35,22 @@ def extract_by_rules(messages: DataFrame) -> DataFrame:
     ).drop("__clean")
 
 
-def _heavy(out: DataFrame) -> DataFrame:
-    """(__heavy, __parts): the texts of more than PART_ROWS fields and the parts that their messages make; at most three rows for PART_ROWS messages."""
-    return _texts(out, *[f"{f}_text" for f in FIELDS]).groupBy(F.col("text").alias("__heavy")).agg(F.ceil(F.count("*") / PART_ROWS).alias("__parts")).where("__parts > 1")
+def _heavy(out: DataFrame) -> DataFrame | None:
+    """(__heavy, __parts): the texts of more than PART_ROWS fields and the parts that their messages make; None without such texts.
+
+    They are at most three for PART_ROWS messages and become rows of the plan: a batch of a stream has no exchanges to
+    reuse, and would count its texts anew for each use.
+    """
+    texts = _texts(out, *[f"{f}_text" for f in FIELDS]).where("text <> ''")
+    found = texts.groupBy("text").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("parts > 1").collect()
+    return out.sparkSession.createDataFrame([tuple(r) for r in found], "__heavy string, __parts long") if found else None
+
+
+def _with_parts(df: DataFrame, text: str, heavy: DataFrame | None) -> DataFrame:
+    one = F.lit(1).cast("long")
+    if heavy is None:
+        return df.withColumn("__parts", one)
+    return df.join(F.broadcast(heavy), F.col(text) == F.col("__heavy"), "left").withColumn("__parts", F.coalesce("__parts", one)).drop("__heavy")
 
 
 def _linked(out: DataFrame, found: dict[str, DataFrame], messages: DataFrame) -> DataFrame:
@@ -46,16 +59,15 @@ def _linked(out: DataFrame, found: dict[str, DataFrame], messages: DataFrame) ->
     A text that very many messages share meets them in parts, to which they are dealt by a hash of the columns of `messages`,
     so none is a task of its own; messages whose text is null or empty match nothing and are spread the same way.
     """
-    heavy = F.broadcast(_heavy(out))
+    heavy = _heavy(out)
     spread = F.xxhash64(*[c for c, kind in messages.dtypes if "map<" not in kind])  # maps have no hash
     for field, c in found.items():
-        text = F.col(f"{field}_text")
-        own = c.select(F.col("text").alias(f"{field}_text"), F.col("matched_id").alias(f"{field}_id"), F.col("confidence").alias(f"{field}_confidence"), F.col("candidates").alias(f"{field}_candidates"))
-        parts = F.coalesce("__parts", F.lit(1).cast("long"))
-        own = own.join(heavy, text == F.col("__heavy"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__heavy", "__parts")
-        part = F.when(F.coalesce(text, F.lit("")) == "", spread).otherwise(F.pmod(spread, parts))
-        out = out.join(heavy, text == F.col("__heavy"), "left").withColumn("__part", part).drop("__heavy", "__parts")
-        out = out.join(own, [f"{field}_text", "__part"], "left").drop("__part").withColumn(f"{field}_confidence", F.coalesce(f"{field}_confidence", F.lit(0)))
+        text = f"{field}_text"
+        own = c.select(F.col("text").alias(text), F.col("matched_id").alias(f"{field}_id"), F.col("confidence").alias(f"{field}_confidence"), F.col("candidates").alias(f"{field}_candidates"))
+        own = _with_parts(own, text, heavy).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+        part = F.when(F.coalesce(text, F.lit("")) == "", spread).otherwise(F.pmod(spread, F.col("__parts")))
+        out = _with_parts(out, text, heavy).withColumn("__part", part).drop("__parts")
+        out = out.join(own, [text, "__part"], "left").drop("__part").withColumn(f"{field}_confidence", F.coalesce(f"{field}_confidence", F.lit(0)))
     return out
 
 
